@@ -169,3 +169,79 @@ PY_PARTS_SQL = r'''py_parts AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# --------------------------------------------------------------------------
+# questions and model replies
+# --------------------------------------------------------------------------
+#
+# Questions: one per part (template by key mod 4) and every conversation turn
+# as asked (non-ASCII prose). Replies: one per part question, shaped by key
+# mod 7 -- valid JSON, fenced JSON, single quotes, a missing key, no reply,
+# truncated JSON, and a code-related reply that names nothing.
+
+CONV_QID_BASE = 1_000_000_000
+
+
+def question_table(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``query_id, query_text``."""
+    p = table(spark, base_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    t = F.col("p_partkey") % 4
+    text = (F.when(t == 0, F.concat(F.lit("What does function part_"), k, F.lit("() call?")))
+             .when(t == 1, F.concat(F.lit("Where is the doc for Part_"), k, F.lit("?")))
+             .when(t == 2, F.concat(F.lit("  Explain size_"), k, F.lit("() in module Helper"),
+                                    (F.col("p_partkey") % 5).cast("string"), F.lit(" and h()  ")))
+             .otherwise(F.concat(F.lit("Héllo wörld, tell me about outer_"), k, F.lit(" "))))
+    parts = p.select(F.col("p_partkey").alias("query_id"), text.alias("query_text"))
+    c = table(spark, base_dir, "conversations")
+    convs = c.select((F.lit(CONV_QID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                     F.col("text").alias("query_text"))
+    return parts.unionByName(convs)
+
+
+def reply_table(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``query_id, text`` (text may be null)."""
+    p = table(spark, base_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    t = F.col("p_partkey") % 7
+    text = (F.when(t == 0, F.concat(F.lit('{"functions": ["part_'), k, F.lit('", "nosuch_'), k,
+                                    F.lit('", "size_'), k, F.lit('"], "modules": ["Part_'), k,
+                                    F.lit('"], "classification": "code-related"}')))
+             .when(t == 1, F.concat(F.lit('```json\n{"functions": [], "modules": ["Part_'), k,
+                                    F.lit('"], "classification": "documentation-related"}\n```')))
+             .when(t == 2, F.concat(F.lit("{'functions': ['outer_"), k,
+                                    F.lit("', 'h'], 'modules': [], 'classification': 'code-related'}")))
+             .when(t == 3, F.concat(F.lit('{"functions": ["part_'), k,
+                                    F.lit('"], "classification": "code-related"}')))
+             .when(t == 4, F.lit(None).cast("string"))
+             .when(t == 5, F.concat(F.lit('{"functions": ["part_'), k, F.lit('"')))
+             .otherwise(F.lit('{"functions": [], "modules": [], "classification": "code-related"}')))
+    return p.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+
+
+QUESTIONS_SQL = r"""questions AS (
+  SELECT p_partkey AS query_id,
+    CASE p_partkey % 4
+      WHEN 0 THEN 'What does function part_' || p_partkey || '() call?'
+      WHEN 1 THEN 'Where is the doc for Part_' || p_partkey || '?'
+      WHEN 2 THEN '  Explain size_' || p_partkey || '() in module Helper' || (p_partkey % 5) || ' and h()  '
+      ELSE 'Héllo wörld, tell me about outer_' || p_partkey || ' '
+    END AS query_text
+  FROM part
+  UNION ALL
+  SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations),
+replies AS (
+  SELECT p_partkey AS query_id,
+    CASE p_partkey % 7
+      WHEN 0 THEN '{"functions": ["part_' || p_partkey || '", "nosuch_' || p_partkey || '", "size_'
+                  || p_partkey || '"], "modules": ["Part_' || p_partkey || '"], "classification": "code-related"}'
+      WHEN 1 THEN '```json' || chr(10) || '{"functions": [], "modules": ["Part_' || p_partkey
+                  || '"], "classification": "documentation-related"}' || chr(10) || '```'
+      WHEN 2 THEN '{''functions'': [''outer_' || p_partkey || ''', ''h''], ''modules'': [], ''classification'': ''code-related''}'
+      WHEN 3 THEN '{"functions": ["part_' || p_partkey || '"], "classification": "code-related"}'
+      WHEN 4 THEN NULL
+      WHEN 5 THEN '{"functions": ["part_' || p_partkey || '"'
+      ELSE '{"functions": [], "modules": [], "classification": "code-related"}'
+    END AS text
+  FROM part)"""
