@@ -261,7 +261,7 @@ def _knn_block(V, vids, Q, qidx, k, rank_decimals):
     return out
 
 
-def _make_partition_fn(bq, dim: int, k: int, rank_decimals, with_class: bool):
+def _make_partition_fn(bq, dim: int, k: int, rank_decimals, with_class: bool, qid_type):
     def run(batches):
         q_ids, Q, q_cls = bq.value
         acc = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64),
@@ -292,14 +292,14 @@ def _make_partition_fn(bq, dim: int, k: int, rank_decimals, with_class: bool):
             acc = list(_topk_pairs(merged[0], merged[1], merged[2], merged[3], k))
         if len(acc[0]):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[acc[0]], pa.int64()), pa.array(acc[1], pa.int64()),
+                [pa.array(q_ids[acc[0]].tolist(), qid_type), pa.array(acc[1], pa.int64()),
                  pa.array(acc[2], pa.float64()), pa.array(acc[3], pa.float64())],
                 names=["query_id", "embedding_id", "dist", "_key"])
     return run
 
 
 def _collect_block(rows, dim, with_class):
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
+    ids = np.array([r[0] for r in rows], dtype=object)
     Q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
     cls = np.array([r[2] for r in rows], dtype=object) if with_class else None
     return ids, Q, cls
@@ -321,14 +321,19 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     """
     spark = vectors.sparkSession
     with_class = same_class is not None
-    qcols = [F.col(query_id).cast("long"), F.col(query_col)]
+    qtype = queries.schema[query_id].dataType
+    if isinstance(qtype, T.StringType):
+        qid_sql, qid_arrow = "string", pa.string()
+    else:
+        qid_sql, qid_arrow = "long", pa.int64()
+    qcols = [F.col(query_id).cast(qid_sql), F.col(query_col)]
     if with_class:
         qcols.append(F.col(same_class[1]))
     q = queries.select(*qcols).filter(F.col(query_col).isNotNull())
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_col)).alias("d"),
                   F.min(F.size(query_col)).alias("d0")).first()
     n_q, dim = stats["n"], stats["d"]
-    schema = "query_id long, embedding_id long, dist double, rank int"
+    schema = f"query_id {qid_sql}, embedding_id long, dist double, rank int"
     if not n_q:
         return spark.createDataFrame([], schema)
     if stats["d0"] != dim:
@@ -350,8 +355,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     partial = None
     for block in blocks:
         bq = sc.broadcast(_collect_block(block.collect(), dim, with_class))
-        fn = _make_partition_fn(bq, dim, k, rank_decimals, with_class)
-        part = v.mapInArrow(fn, "query_id long, embedding_id long, dist double, _key double")
+        fn = _make_partition_fn(bq, dim, k, rank_decimals, with_class, qid_arrow)
+        part = v.mapInArrow(fn, f"query_id {qid_sql}, embedding_id long, dist double, _key double")
         partial = part if partial is None else partial.unionByName(part)
     w = Window.partitionBy("query_id").orderBy("_key", "embedding_id")
     return (partial.withColumn("rank", F.row_number().over(w))
