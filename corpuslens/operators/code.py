@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_comments_and_blank_lines
+from ..session import spread
 
 CODE_TYPE = "CodeFile.class"
 
@@ -189,8 +190,8 @@ def parse_code(files: DataFrame, path_col: str = "file_path", text_col: str = "r
     ``quarantine(file_path, error)``. ``clean=True`` fills ``cleaned_code``
     with the B10 cleaning (the reference leaves it null).
     """
-    parsed = files.select(F.col(path_col).alias("file_path"),
-                          F.col(text_col).alias("raw_code")).mapInArrow(_parse_batches, PARSED)
+    src = spread(files.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("raw_code")))
+    parsed = src.mapInArrow(_parse_batches, PARSED)
     good = parsed.filter(F.col("error").isNull())
     code = good.select(
         "file_path", "entities", "raw_code",

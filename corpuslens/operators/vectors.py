@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 # Reference constants (fixed values): 512-token chunks and truncation, k = 5,
 # 768-wide vectors by default.
 CHUNK_SIZE = 512
@@ -93,14 +95,14 @@ class HashedEmbedder:
             F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(self.dim)))
 
     def embed_tokens(self, df: DataFrame, tokens_col: str, out_col: str = "embedding") -> DataFrame:
-        staged = df.withColumn("_buckets", self.buckets(F.col(tokens_col)))
+        staged = spread(df).withColumn("_buckets", self.buckets(F.col(tokens_col)))
         out_schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
                                   + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
         return staged.mapInArrow(_bucket_counts_fn(self.dim, out_col, list(out_schema.names)),
                                  out_schema)
 
     def embed_text(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        staged = df.withColumn("_tokens", tokenize(F.col(text_col)))
+        staged = spread(df).withColumn("_tokens", tokenize(F.col(text_col)))
         return self.embed_tokens(staged, "_tokens", out_col).drop("_tokens")
 
 
@@ -329,19 +331,23 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     qcols = [F.col(query_id).cast(qid_sql), F.col(query_col)]
     if with_class:
         qcols.append(F.col(same_class[1]))
-    q = queries.select(*qcols).filter(F.col(query_col).isNotNull())
+    # The query side is small and read twice (size check, then collection):
+    # keep it for the duration of the collection only.
+    q = queries.select(*qcols).filter(F.col(query_col).isNotNull()).persist()
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_col)).alias("d"),
                   F.min(F.size(query_col)).alias("d0")).first()
     n_q, dim = stats["n"], stats["d"]
     schema = f"query_id {qid_sql}, embedding_id long, dist double, rank int"
     if not n_q:
+        q.unpersist()
         return spark.createDataFrame([], schema)
     if stats["d0"] != dim:
+        q.unpersist()
         raise ValueError(f"query vectors must all have the same width; saw {stats['d0']}..{dim}")
     vcols = [F.col(vec_id).cast("long"), F.col(vec_col)]
     if with_class:
         vcols.append(F.col(same_class[0]))
-    v = vectors.select(*vcols)
+    v = spread(vectors.select(*vcols))
     rows_per_block = max(1, max_block_bytes // (8 * dim))
     n_blocks = math.ceil(n_q / rows_per_block)
     if n_blocks == 1:
@@ -358,6 +364,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
         fn = _make_partition_fn(bq, dim, k, rank_decimals, with_class, qid_arrow)
         part = v.mapInArrow(fn, f"query_id {qid_sql}, embedding_id long, dist double, _key double")
         partial = part if partial is None else partial.unionByName(part)
+    q.unpersist()
     w = Window.partitionBy("query_id").orderBy("_key", "embedding_id")
     return (partial.withColumn("rank", F.row_number().over(w))
                    .filter(F.col("rank") <= k)

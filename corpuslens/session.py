@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every corpuslens job assumes. AQE re-plans joins and coalesces
 # partitions at run time and splits skewed join partitions (hot callee names,
@@ -60,3 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a staged table under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return base.rstrip("/") + "/tables/" + name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy stage (a Python parse, tokenising, distance blocks)
+    at least one partition per core. Small inputs often arrive as a single
+    partition (one Parquet row group); large scans already have many
+    partitions and pass through unchanged."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
