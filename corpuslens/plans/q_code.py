@@ -49,9 +49,12 @@ ENTITIES_SQL = _union(_ENTITY_ROWS)
 CALLS_SQL = _union(_CALL_ROWS)
 
 
-def parsed_parts(spark, sf, clean: bool = False):
+def parsed_parts(spark, sf, clean: bool = False, materialize: bool = False):
+    """Parsed part modules. ``materialize=True`` parses once into the shared
+    checkpoint folder, for plans that read the records more than once (the
+    graph's node and edge folds, for instance)."""
     code, _ = C.parse_code(py_parts(spark, sf), clean=clean)
-    return code
+    return code.checkpoint(eager=True) if materialize else code
 
 
 @register("code_entities", f"""

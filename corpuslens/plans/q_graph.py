@@ -57,7 +57,7 @@ pairs AS (
 
 
 def _graph(spark, sf):
-    return G.build_graph(parsed_parts(spark, sf))
+    return G.build_graph(parsed_parts(spark, sf, materialize=True))
 
 
 def _probes(spark, sf):

@@ -167,7 +167,7 @@ LEFT JOIN keys d ON d.embedding_id = p.embedding_id AND d.kind = 'doc'""")
 def by_embedding_id(spark, sf):
     """the code record holding each id (array membership) and the doc
     record with that id, for every id and as many unknown ids."""
-    keys = _keys(spark, sf).persist()
+    keys = _keys(spark, sf)
     code_files = V.ids_per_file(keys).filter(F.col("kind") == "code")
     doc_files = keys.filter(F.col("kind") == "doc").select("embedding_id", "file_path")
     probes = keys.select("embedding_id").unionByName(

@@ -22,7 +22,8 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
+                                    InputPartition)
 
 from ..functions.text import universal_newlines
 
@@ -57,6 +58,41 @@ def list_files(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[str, int]
     return sorted(out)
 
 
+def list_files_by_age(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[str, int]]:
+    """Matching files ordered by (modification time, path): in an append-only
+    tree new files sort after the ones already seen."""
+    import pyarrow.fs as pafs
+    fs, base = _fs_and_path(root)
+    if fs.get_file_info(base).type == pafs.FileType.NotFound:
+        return []
+    found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
+    keep = [f for f in found
+            if f.type == pafs.FileType.File and any(f.base_name.endswith(e) for e in extensions)]
+    keep.sort(key=lambda f: (f.mtime_ns or 0, f.path))
+    return [(f.path, f.size or 0) for f in keep]
+
+
+def _slices(root: str, files, target: int, max_files: int):
+    parts, cur, size = [], [], 0
+    for path, n in files:
+        if cur and (size + n > target or len(cur) >= max_files):
+            parts.append(_Slice(root, cur))
+            cur, size = [], 0
+        cur.append(path)
+        size += n
+    if cur:
+        parts.append(_Slice(root, cur))
+    return parts
+
+
+def _read_slice(partition):
+    fs, _ = _fs_and_path(partition.root) if partition.root else (None, None)
+    for path in partition.paths:
+        with fs.open_input_stream(path) as fh:
+            data = fh.read()
+        yield (path, bytes(data), len(data))
+
+
 class _Slice(InputPartition):
     def __init__(self, root: str, paths: list[str]):
         super().__init__(paths)
@@ -74,23 +110,38 @@ class SourceFilesReader(DataSourceReader):
 
     def partitions(self):
         files = list_files(self.root, self.extensions) if self.root else []
-        parts, cur, size = [], [], 0
-        for path, n in files:
-            if cur and (size + n > self.target or len(cur) >= self.max_files):
-                parts.append(_Slice(self.root, cur))
-                cur, size = [], 0
-            cur.append(path)
-            size += n
-        if cur:
-            parts.append(_Slice(self.root, cur))
-        return parts or [_Slice(self.root or "", [])]
+        return _slices(self.root, files, self.target, self.max_files) or [_Slice(self.root or "", [])]
+
+    def read(self, partition):
+        return _read_slice(partition)
+
+
+class SourceFilesStreamReader(DataSourceStreamReader):
+    """Micro-batches of files added to the tree; the offset is the number of
+    files seen in (modification time, path) order."""
+
+    def __init__(self, options):
+        self.root = options.get("path")
+        exts = options.get("extensions")
+        self.extensions = tuple(exts.split(",")) if exts else DEFAULT_EXTENSIONS
+        self.target = int(options.get("partitionBytes", 32 << 20))
+        self.max_files = int(options.get("maxFilesPerPartition", 1024))
+
+    def initialOffset(self):
+        return {"seen": 0}
+
+    def latestOffset(self):
+        return {"seen": len(list_files_by_age(self.root, self.extensions))}
+
+    def partitions(self, start, end):
+        files = list_files_by_age(self.root, self.extensions)[start["seen"]:end["seen"]]
+        return _slices(self.root, files, self.target, self.max_files)
 
     def read(self, partition):
-        fs, _ = _fs_and_path(partition.root) if partition.root else (None, None)
-        for path in partition.paths:
-            with fs.open_input_stream(path) as fh:
-                data = fh.read()
-            yield (path, bytes(data), len(data))
+        return _read_slice(partition)
+
+    def commit(self, end):
+        pass
 
 
 class SourceFilesDataSource(DataSource):
@@ -104,6 +155,9 @@ class SourceFilesDataSource(DataSource):
     def reader(self, schema):
         return SourceFilesReader(self.options)
 
+    def streamReader(self, schema):
+        return SourceFilesStreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SourceFilesDataSource)
@@ -118,6 +172,11 @@ def read_sources(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS):
     register(spark)
     raw = (spark.read.format("srcfiles").option("extensions", ",".join(extensions))
            .load(root))
+    return decode_sources(raw)
+
+
+def decode_sources(raw: DataFrame):
+    """A2: ``raw(path, content)`` -> ``(files(path, text), quarantine)``."""
     text = F.col("content").cast("string")
     decoded = raw.select("path", text.alias("_t"), F.is_valid_utf8(text).alias("_ok"))
     files = decoded.filter("_ok").select("path", universal_newlines("_t").alias("text"))

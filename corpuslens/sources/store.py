@@ -67,13 +67,16 @@ class TableStore:
         w.parquet(self._version_path(name, v))
         self._set_version(name, v)
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         """Add rows to the current version (creating the table)."""
         v = self._version(name)
         if v is None:
-            self.write(name, df)
+            self.write(name, df, partition_by=partition_by)
             return
-        df.write.mode("append").parquet(self._version_path(name, v))
+        w = df.write.mode("append")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(self._version_path(name, v))
 
     def clear(self, name: str, schema: T.StructType) -> None:
         """A new, empty version with the declared schema."""
