@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
-
 # Reference constants (fixed values): 512-token chunks and truncation, k = 5,
 # 768-wide vectors by default.
 CHUNK_SIZE = 512
@@ -95,14 +93,14 @@ class HashedEmbedder:
             F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(self.dim)))
 
     def embed_tokens(self, df: DataFrame, tokens_col: str, out_col: str = "embedding") -> DataFrame:
-        staged = spread(df).withColumn("_buckets", self.buckets(F.col(tokens_col)))
+        staged = df.withColumn("_buckets", self.buckets(F.col(tokens_col)))
         out_schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
                                   + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
         return staged.mapInArrow(_bucket_counts_fn(self.dim, out_col, list(out_schema.names)),
                                  out_schema)
 
     def embed_text(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        staged = spread(df).withColumn("_tokens", tokenize(F.col(text_col)))
+        staged = df.withColumn("_tokens", tokenize(F.col(text_col)))
         return self.embed_tokens(staged, "_tokens", out_col).drop("_tokens")
 
 
@@ -300,10 +298,13 @@ def _make_partition_fn(bq, dim: int, k: int, rank_decimals, with_class: bool, qi
     return run
 
 
-def _collect_block(rows, dim, with_class):
-    ids = np.array([r[0] for r in rows], dtype=object)
-    Q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    cls = np.array([r[2] for r in rows], dtype=object) if with_class else None
+def _collect_block(block: DataFrame, dim, with_class):
+    """Bring one bounded query block to the driver as Arrow (no Row objects)."""
+    t = block.toArrow()
+    ids = np.array(t.column(0).to_pylist(), dtype=object)
+    vec = t.column(1).combine_chunks()
+    Q, _ = _to_matrix(vec, dim)
+    cls = np.array(t.column(2).to_pylist(), dtype=object) if with_class else None
     return ids, Q, cls
 
 
@@ -347,7 +348,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     vcols = [F.col(vec_id).cast("long"), F.col(vec_col)]
     if with_class:
         vcols.append(F.col(same_class[0]))
-    v = spread(vectors.select(*vcols))
+    v = vectors.select(*vcols)
     rows_per_block = max(1, max_block_bytes // (8 * dim))
     n_blocks = math.ceil(n_q / rows_per_block)
     if n_blocks == 1:
@@ -360,7 +361,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     sc = spark.sparkContext
     partial = None
     for block in blocks:
-        bq = sc.broadcast(_collect_block(block.collect(), dim, with_class))
+        bq = sc.broadcast(_collect_block(block, dim, with_class))
         fn = _make_partition_fn(bq, dim, k, rank_decimals, with_class, qid_arrow)
         part = v.mapInArrow(fn, f"query_id {qid_sql}, embedding_id long, dist double, _key double")
         partial = part if partial is None else partial.unionByName(part)

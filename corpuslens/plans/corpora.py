@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import table
 
 NL = "\n"
@@ -30,7 +31,7 @@ NL = "\n"
 
 def md_pages(spark: SparkSession, base_dir: str) -> DataFrame:
     """``file_path, raw_content`` -- one Markdown file per page."""
-    p = table(spark, base_dir, "pages")
+    p = spread(table(spark, base_dir, "pages"))
     pid = F.col("page_id").cast("string")
     md = F.regexp_replace("html", r"<h1>([^<]*)</h1>", NL + "# $1" + NL)
     md = F.regexp_replace(md, "<p>", NL + NL)
@@ -105,7 +106,7 @@ def _py_escape(c):
 
 def py_parts(spark: SparkSession, base_dir: str) -> DataFrame:
     """``file_path, raw_code, p_partkey, p_size`` -- one Python module per part."""
-    p = table(spark, base_dir, "part")
+    p = spread(table(spark, base_dir, "part"))
     k = F.col("p_partkey").cast("string")
     k1 = (F.col("p_partkey") + 1).cast("string")
     size = F.col("p_size").cast("string")

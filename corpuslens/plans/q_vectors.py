@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
+from ..session import spread
 from ..sources import table
 from .registry import register
 from .sqlparts import sql_embedding, sql_l2, sql_rank_key, sql_tokens
@@ -65,7 +66,7 @@ SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no,
 FROM c""")
 def chunk_tokens(spark, sf):
     """512-token chunks of every whole document."""
-    ch = V.chunk_tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    ch = V.chunk_tokens(spread(table(spark, sf, "documents")), "text", ["doc_id"])
     return ch.select("doc_id", "chunk_no", F.size("tokens").alias("n_tokens"),
                      F.md5(F.array_join("tokens", " ")).alias("chunk_md5"))
 
@@ -76,7 +77,7 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS dim, round(v[i]::DOUBLE, 6) AS value
 FROM e, range(1, {DOC_DIM} + 1) r(i) WHERE v[i] <> 0""")
 def embed_docs(spark, sf):
     """Hashed-count embedding of every document (non-zero entries)."""
-    emb = V.embed(table(spark, sf, "documents"), "text", V.HashedEmbedder(DOC_DIM))
+    emb = V.embed(spread(table(spark, sf, "documents")), "text", V.HashedEmbedder(DOC_DIM))
     return (emb.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
                .filter(F.col("value") != 0)
                .select("doc_id", F.col("dim").cast("int").alias("dim"),
@@ -95,7 +96,7 @@ FROM r WHERE rank <= 5""")
 def knn_docs(spark, sf):
     """D2 + D6: embed benchmark questions and all documents, 5 nearest docs each."""
     emb = V.HashedEmbedder(DOC_DIM)
-    docs = V.embed(table(spark, sf, "documents"), "text", emb).select(
+    docs = V.embed(spread(table(spark, sf, "documents")), "text", emb).select(
         F.col("doc_id").alias("embedding_id"), "embedding")
     qs = V.embed(table(spark, sf, "benchmark"), "text", emb).select(
         F.col("item_id").alias("query_id"), "embedding")

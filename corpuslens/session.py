@@ -65,9 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage (a Python parse, tokenising, distance blocks)
+    """Give CPU-heavy work on a scan (a Python parse, tokenising whole texts)
     at least one partition per core. Small inputs often arrive as a single
     partition (one Parquet row group); large scans already have many
-    partitions and pass through unchanged."""
+    partitions and pass through unchanged.
+
+    Call it on scan-level DataFrames only: counting the partitions of a plan
+    that contains a shuffle would run the stages before it."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
