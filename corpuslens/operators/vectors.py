@@ -151,6 +151,8 @@ def assign_embedding_ids(code_chunks: DataFrame, doc_rows: DataFrame, start=0) -
 
     ``code_chunks``: file_path, chunk_no, ...; ``doc_rows``: file_path, ....
     Returns ``embedding_id, kind, file_path, chunk_no`` plus shared columns.
+    Ranks rows directly; ``number_chunks`` is the cheaper form when the rows
+    are expensive to compute.
     """
     from .ids import dense_ids
     code = code_chunks.withColumn("kind", F.lit("code"))
@@ -159,6 +161,41 @@ def assign_embedding_ids(code_chunks: DataFrame, doc_rows: DataFrame, start=0) -
     return dense_ids(both, ["file_path", "chunk_no"], "embedding_id", start=start)
 
 
+def file_first_ids(code_counts: DataFrame, doc_files: DataFrame, start=0) -> DataFrame:
+    """D4 at file level: ``file_path, kind, first_id`` where code file ``f``
+    with ``n_chunks`` chunks owns ids ``first_id .. first_id + n_chunks - 1``
+    and each document owns one id, all dense in file-path order.
+
+    ``code_counts``: file_path, n_chunks; ``doc_files``: file_path."""
+    from .ids import dense_offsets
+    files = code_counts.select("file_path", F.col("n_chunks").cast("long").alias("n_chunks"),
+                               F.lit("code").alias("kind")) \
+        .unionByName(doc_files.select("file_path", F.lit(1).cast("long").alias("n_chunks"),
+                                      F.lit("doc").alias("kind")))
+    return dense_offsets(files.filter(F.col("n_chunks") > 0), ["file_path"], "n_chunks",
+                         "first_id", start=start).select("file_path", "kind", "first_id")
+
+
+def number_chunks(first_ids: DataFrame, counts: DataFrame) -> DataFrame:
+    """Chunk keys from file offsets: ``embedding_id, kind, file_path,
+    chunk_no`` (``counts``: file_path, n_chunks for code files)."""
+    n = counts.select("file_path", F.lit("code").alias("kind"), "n_chunks")
+    f = first_ids.join(n, ["file_path", "kind"], "left") \
+                 .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
+    return f.select(F.posexplode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no", "_x"),
+                    "first_id", "kind", "file_path") \
+            .select((F.col("first_id") + F.col("chunk_no")).alias("embedding_id"), "kind", "file_path",
+                    F.col("chunk_no").cast("int").alias("chunk_no"))
+
+
+def chunk_count(tokens, chunk_size: int | None = CHUNK_SIZE) -> Column:
+    """How many chunks ``chunk_array`` makes of a token array."""
+    n = F.size(_c(tokens))
+    if chunk_size is None:
+        return F.lit(1)
+    return F.when(n <= 0, F.lit(0)).otherwise(F.ceil(n / F.lit(chunk_size)).cast("int"))
+
+
 def ids_per_file(vectors: DataFrame) -> DataFrame:
     """``file_path -> embedding_ids`` in chunk order, for the file records."""
     return (vectors.groupBy("file_path", "kind")

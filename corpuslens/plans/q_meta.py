@@ -148,9 +148,9 @@ keys AS (SELECT file_path, CAST(chunk_no AS INTEGER) AS chunk_no, kind,
 
 def _keys(spark, sf):
     code, _ = C.parse_code(py_parts(spark, sf))
-    chunks = V.chunk_tokens(code, "raw_code", ["file_path"])
-    return V.assign_embedding_ids(chunks.select("file_path", "chunk_no"),
-                                  md_pages(spark, sf).select("file_path"))
+    counts = code.select("file_path", V.chunk_count(V.tokenize(F.col("raw_code"))).alias("n_chunks"))
+    first = V.file_first_ids(counts, md_pages(spark, sf).select("file_path"))
+    return V.number_chunks(first, counts)
 
 
 @register("dense_ids", _KEYS_SQL + "SELECT file_path, chunk_no, kind, embedding_id FROM keys")
