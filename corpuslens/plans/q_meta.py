@@ -148,7 +148,10 @@ keys AS (SELECT file_path, CAST(chunk_no AS INTEGER) AS chunk_no, kind,
 
 def _keys(spark, sf):
     code, _ = C.parse_code(py_parts(spark, sf))
-    counts = code.select("file_path", V.chunk_count(V.tokenize(F.col("raw_code"))).alias("n_chunks"))
+    # per-file chunk counts: read by the range pass (twice) and the chunk
+    # expansion, so parse once into the checkpoint folder
+    counts = code.select("file_path", V.chunk_count(V.tokenize(F.col("raw_code"))).alias("n_chunks")) \
+                 .checkpoint(eager=True)
     first = V.file_first_ids(counts, md_pages(spark, sf).select("file_path"))
     return V.number_chunks(first, counts)
 
