@@ -131,7 +131,8 @@ def merge_graphs(old: tuple, new: tuple):
     edges = (old_edges.unionByName(new_edges)
              .groupBy("src", "dst")
              .agg(F.sum("n_calls").alias("n_calls"),
-                  F.min(F.struct("first_file", "first_seq")).alias("f"))
+                  F.min(F.struct(F.col("first_file").isNull().alias("bare"), "first_file",
+                                 "first_seq")).alias("f"))
              .select("src", "dst", "n_calls", "f.first_file", "f.first_seq"))
     return nodes, edges, sites
 
@@ -228,3 +229,76 @@ def all_edges(edges: DataFrame) -> DataFrame:
 def empty_graph(spark):
     """An empty graph with the declared schemas."""
     return spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
+
+
+class CodeGraph:
+    """Single-name lookups over the graph tables, for interactive use.
+
+    Each call is a filtered Spark job whose result is bounded by one node's
+    neighbourhood; batch work should use the DataFrame functions above.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, sites: DataFrame | None = None):
+        self.nodes, self.edges, self.sites = nodes, edges, sites
+
+    def entity_exists(self, name: str) -> bool:
+        """E7."""
+        return bool(self.nodes.filter(F.col("name") == name).limit(1).count())
+
+    function_exists = entity_exists
+
+    def _require(self, name: str) -> None:
+        if not self.entity_exists(name):
+            raise KeyError(f"The node {name} is not in the graph.")
+
+    def get_dependencies(self, name: str) -> list[str]:
+        """E5: callees in first-call order; unknown names raise ``KeyError``."""
+        self._require(name)
+        rows = (self.edges.filter(F.col("src") == name)
+                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("dst").collect())
+        return [r[0] for r in rows]
+
+    get_callees = get_dependencies
+
+    def get_dependents(self, name: str) -> list[str]:
+        """Callers in first-call order; unknown names raise ``KeyError``."""
+        self._require(name)
+        rows = (self.edges.filter(F.col("dst") == name)
+                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("src").collect())
+        return [r[0] for r in rows]
+
+    get_callers = get_dependents
+
+    def get_function_file(self, name: str) -> str | None:
+        """E8."""
+        row = self.nodes.filter(F.col("name") == name).select("file_path").first()
+        return row[0] if row else None
+
+    def get_call_line_number(self, caller: str, callee: str, strict: bool = False):
+        """Call lines of an edge in arrival order; None when there is no edge."""
+        has = self.edges.filter((F.col("src") == caller) & (F.col("dst") == callee)).limit(1).count()
+        if not has:
+            return None
+        if strict or self.sites is None:
+            return []
+        rows = (self.sites.filter((F.col("src") == caller) & (F.col("dst") == callee))
+                .orderBy("ord").select("line_number").collect())
+        return [r[0] for r in rows]
+
+    def get_all_entities(self) -> DataFrame:
+        """E10 (a DataFrame: the node list grows with the corpus)."""
+        return all_nodes(self.nodes)
+
+    get_all_functions = get_all_entities
+
+    def get_all_dependencies(self) -> DataFrame:
+        """E11."""
+        return all_edges(self.edges)
+
+    get_all_call_relationships = get_all_dependencies
+
+    def add_dependency(self, src: str, dst: str) -> "CodeGraph":
+        """A new graph with the bare edge added."""
+        pairs = self.nodes.sparkSession.createDataFrame([(src, dst)], "src string, dst string")
+        nodes, edges = add_edges(self.nodes, self.edges, pairs)
+        return CodeGraph(nodes, edges, self.sites)

@@ -228,6 +228,17 @@ def validate_vectors(vectors: DataFrame, dim: int, vec_col: str = "embedding"):
         "error", F.lit(f"embedding must have {dim} finite float entries"))
 
 
+def append_vectors(store, vectors: DataFrame, dim: int, name: str = "vectors",
+                   vec_col: str = "embedding") -> int:
+    """Append vectors to the store after the D5 check; any row that is not
+    ``dim`` finite floats refuses the whole append (``ValueError``)."""
+    chk = check_vectors(vectors, dim, vec_col).first()
+    if chk["n_bad"]:
+        raise ValueError(f"{chk['n_bad']} vectors are not {dim} finite floats")
+    store.append(name, vectors, partition_by=["kind"] if "kind" in vectors.columns else None)
+    return chk["n_rows"]
+
+
 # --------------------------------------------------------------------------
 # D6/D7 exact k-nearest
 # --------------------------------------------------------------------------

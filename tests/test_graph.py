@@ -92,3 +92,26 @@ def test_lookups_and_add_edge(spark):
     assert sorted(r["name"] for r in n2.collect()) == ["f", "g", "h", "x", "y"]
     ff = {r["name"]: r["file_path"] for r in G.node_file(nodes, probes).collect()}
     assert ff == {"f": "a.py", "g": "a.py", "zz": None}
+
+
+def test_single_name_api(spark):
+    files = [("a.py", [{"name": "f", "type": "function", "file_path": "a.py", "line_number": 1,
+                        "docstring": None, "decorators": [], "parents": []}],
+              [{"caller": "f", "callee": "h", "file_path": "a.py", "line_number": 2},
+               {"caller": "f", "callee": "g", "file_path": "a.py", "line_number": 3},
+               {"caller": "f", "callee": "h", "file_path": "a.py", "line_number": 4}])]
+    nodes, edges, sites = G.build_graph(spark.createDataFrame(files, SCHEMA))
+    g = G.CodeGraph(nodes, edges, sites)
+    assert g.get_callees("f") == ["h", "g"]
+    assert g.get_callers("g") == ["f"]
+    assert g.get_call_line_number("f", "h") == [2, 4]
+    assert g.get_call_line_number("f", "h", strict=True) == []
+    assert g.get_call_line_number("h", "f") is None
+    assert g.get_function_file("g") == "a.py" and g.get_function_file("zz") is None
+    try:
+        g.get_dependencies("zz")
+        raise AssertionError("expected KeyError")
+    except KeyError:
+        pass
+    g2 = g.add_dependency("g", "new")
+    assert g2.get_callees("g") == ["new"] and g2.entity_exists("new")

@@ -86,3 +86,33 @@ def test_chunking(spark):
     assert sorted(tuple(r) for r in ch.collect()) == [(1, 0, 512), (1, 1, 512), (1, 2, 76), (3, 0, 2)]
     whole = V.chunk_tokens(df, "t", ["id"], chunk_size=None).select("id", F.size("tokens").alias("n"))
     assert sorted(tuple(r) for r in whole.collect()) == [(1, 1100), (2, 0), (3, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_file_numbering_matches_row_ranks(spark, parts):
+    from corpuslens.operators.ids import dense_offsets
+    rows = [(f"f{i:03d}", (i * 7) % 5) for i in range(120)]   # weight 0 files own no id
+    df = spark.createDataFrame(rows, "file_path string, n long").repartition(4)
+    out = dense_offsets(df, ["file_path"], "n", "off", start=3, num_partitions=parts).collect()
+    got = {r["file_path"]: r["off"] for r in out}
+    acc, want = 3, {}
+    for f, n in sorted(rows):
+        want[f] = acc
+        acc += n
+    assert got == want
+    counts = spark.createDataFrame([("b.py", 2), ("d.py", 1), ("e.py", 0)], "file_path string, n_chunks int")
+    docs = spark.createDataFrame([("a.md",), ("c.md",)], "file_path string")
+    keys = V.number_chunks(V.file_first_ids(counts, docs), counts).collect()
+    assert sorted((r["embedding_id"], r["file_path"], r["chunk_no"]) for r in keys) == [
+        (0, "a.md", 0), (1, "b.py", 0), (2, "b.py", 1), (3, "c.md", 0), (4, "d.py", 0)]
+
+
+def test_append_vectors_validates(spark, tmp_path):
+    from corpuslens.sources.store import TableStore
+    st = TableStore(spark, str(tmp_path / "v"))
+    good = spark.createDataFrame([(0, "code", [1.0, 2.0])], "embedding_id long, kind string, embedding array<float>")
+    bad = spark.createDataFrame([(1, "doc", [1.0])], "embedding_id long, kind string, embedding array<float>")
+    assert V.append_vectors(st, good, 2) == 1
+    with pytest.raises(ValueError):
+        V.append_vectors(st, good.unionByName(bad), 2)
+    assert st.read("vectors").count() == 1
