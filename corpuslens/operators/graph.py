@@ -234,8 +234,10 @@ def empty_graph(spark):
 class CodeGraph:
     """Single-name lookups over the graph tables, for interactive use.
 
-    Each call is a filtered Spark job whose result is bounded by one node's
-    neighbourhood; batch work should use the DataFrame functions above.
+    Scalar answers (exists, file) come back as Python values; neighbour and
+    call-line lists come back as ordered DataFrames, since a hub name or a hot
+    edge can hold any number of rows. Batch work should use the DataFrame
+    functions above.
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, sites: DataFrame | None = None):
@@ -251,21 +253,19 @@ class CodeGraph:
         if not self.entity_exists(name):
             raise KeyError(f"The node {name} is not in the graph.")
 
-    def get_dependencies(self, name: str) -> list[str]:
+    def get_dependencies(self, name: str) -> DataFrame:
         """E5: callees in first-call order; unknown names raise ``KeyError``."""
         self._require(name)
-        rows = (self.edges.filter(F.col("src") == name)
-                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("dst").collect())
-        return [r[0] for r in rows]
+        return (self.edges.filter(F.col("src") == name)
+                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("dst"))
 
     get_callees = get_dependencies
 
-    def get_dependents(self, name: str) -> list[str]:
+    def get_dependents(self, name: str) -> DataFrame:
         """Callers in first-call order; unknown names raise ``KeyError``."""
         self._require(name)
-        rows = (self.edges.filter(F.col("dst") == name)
-                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("src").collect())
-        return [r[0] for r in rows]
+        return (self.edges.filter(F.col("dst") == name)
+                .orderBy(F.col("first_file").isNull(), "first_file", "first_seq").select("src"))
 
     get_callers = get_dependents
 
@@ -275,15 +275,14 @@ class CodeGraph:
         return row[0] if row else None
 
     def get_call_line_number(self, caller: str, callee: str, strict: bool = False):
-        """Call lines of an edge in arrival order; None when there is no edge."""
+        """Call lines of an edge in arrival order (a DataFrame); None when
+        there is no edge; no rows with ``strict=True``."""
         has = self.edges.filter((F.col("src") == caller) & (F.col("dst") == callee)).limit(1).count()
         if not has:
             return None
-        if strict or self.sites is None:
-            return []
-        rows = (self.sites.filter((F.col("src") == caller) & (F.col("dst") == callee))
-                .orderBy("ord").select("line_number").collect())
-        return [r[0] for r in rows]
+        lines = (self.sites.filter((F.col("src") == caller) & (F.col("dst") == callee))
+                 .orderBy("ord").select("line_number"))
+        return lines.limit(0) if strict else lines
 
     def get_all_entities(self) -> DataFrame:
         """E10 (a DataFrame: the node list grows with the corpus)."""

@@ -102,10 +102,11 @@ def test_single_name_api(spark):
                {"caller": "f", "callee": "h", "file_path": "a.py", "line_number": 4}])]
     nodes, edges, sites = G.build_graph(spark.createDataFrame(files, SCHEMA))
     g = G.CodeGraph(nodes, edges, sites)
-    assert g.get_callees("f") == ["h", "g"]
-    assert g.get_callers("g") == ["f"]
-    assert g.get_call_line_number("f", "h") == [2, 4]
-    assert g.get_call_line_number("f", "h", strict=True) == []
+    rows = lambda df: [r[0] for r in df.collect()]
+    assert rows(g.get_callees("f")) == ["h", "g"]
+    assert rows(g.get_callers("g")) == ["f"]
+    assert rows(g.get_call_line_number("f", "h")) == [2, 4]
+    assert rows(g.get_call_line_number("f", "h", strict=True)) == []
     assert g.get_call_line_number("h", "f") is None
     assert g.get_function_file("g") == "a.py" and g.get_function_file("zz") is None
     try:
@@ -114,4 +115,4 @@ def test_single_name_api(spark):
     except KeyError:
         pass
     g2 = g.add_dependency("g", "new")
-    assert g2.get_callees("g") == ["new"] and g2.entity_exists("new")
+    assert rows(g2.get_callees("g")) == ["new"] and g2.entity_exists("new")
