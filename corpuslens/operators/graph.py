@@ -105,15 +105,26 @@ def build_graph(code_files: DataFrame):
     return fold_nodes(events(code_files)), fold_edges(sites), sites
 
 
-def merge_graphs(old: tuple, new: tuple):
+def merge_graphs(old: tuple, new: tuple, nodes: bool = True):
     """Fold a later batch of files into an existing graph (incremental ingest).
 
     Node and edge folds are min/max over order keys, so the merge of two
     folds equals the fold of the union (the new files must sort after the
-    old ones for the reference's order to hold).
+    old ones for the reference's order to hold). ``old``/``new`` are
+    ``(nodes, edges, edge_calls)``; call sites may be None (kept as rows
+    elsewhere), and ``nodes=False`` merges only the edges.
     """
     old_nodes, old_edges, old_sites = old
     new_nodes, new_edges, new_sites = new
+    sites = None if old_sites is None or new_sites is None else old_sites.unionByName(new_sites)
+    edges = (old_edges.unionByName(new_edges)
+             .groupBy("src", "dst")
+             .agg(F.sum("n_calls").alias("n_calls"),
+                  F.min(F.struct(F.col("first_file").isNull().alias("bare"), "first_file",
+                                 "first_seq")).alias("f"))
+             .select("src", "dst", "n_calls", "f.first_file", "f.first_seq"))
+    if not nodes:
+        return None, edges, sites
     both = old_nodes.unionByName(new_nodes)
     first = F.min(F.struct(F.col("first_ord").alias("ord"), "type", "file_path", "line_number",
                            "docstring", "decorators", "parents", F.col("last_call_ord"))).alias("a")
@@ -127,13 +138,6 @@ def merge_graphs(old: tuple, new: tuple):
                      F.col("a.decorators").alias("decorators"),
                      F.col("a.parents").alias("parents"),
                      F.col("a.ord").alias("first_ord"), F.col("b.ord").alias("last_call_ord"))
-    sites = old_sites.unionByName(new_sites)
-    edges = (old_edges.unionByName(new_edges)
-             .groupBy("src", "dst")
-             .agg(F.sum("n_calls").alias("n_calls"),
-                  F.min(F.struct(F.col("first_file").isNull().alias("bare"), "first_file",
-                                 "first_seq")).alias("f"))
-             .select("src", "dst", "n_calls", "f.first_file", "f.first_seq"))
     return nodes, edges, sites
 
 

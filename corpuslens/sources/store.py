@@ -26,18 +26,26 @@ class TableStore:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"
 
-    def _version(self, name: str) -> int | None:
+    def _pointer_row(self, name: str) -> tuple[int, str | None] | None:
         try:
             row = self.spark.read.text(self._pointer(name)).first()
         except Exception:  # noqa: BLE001 - no pointer yet
             return None
-        return int(row[0]) if row else None
+        if not row:
+            return None
+        version, _, tag = row[0].partition("\t")
+        return int(version), (tag or None)
+
+    def _version(self, name: str) -> int | None:
+        got = self._pointer_row(name)
+        return got[0] if got else None
 
     def _version_path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version:08d}"
 
-    def _set_version(self, name: str, version: int) -> None:
-        self.spark.createDataFrame([(str(version),)], "value string") \
+    def _set_version(self, name: str, version: int, tag: str | None = None) -> None:
+        value = str(version) if tag is None else f"{version}\t{tag}"
+        self.spark.createDataFrame([(value,)], "value string") \
             .coalesce(1).write.mode("overwrite").text(self._pointer(name))
 
     # -- public API ---------------------------------------------------------
@@ -54,18 +62,38 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(self._version_path(name, v))
 
+    def version_tag(self, name: str) -> str | None:
+        """The tag stored with the current version (e.g. the last applied
+        batch), or None."""
+        got = self._pointer_row(name)
+        return got[1] if got else None
+
     def write(self, name: str, df: DataFrame, sort_by: list[str] | None = None,
-              partition_by: list[str] | None = None) -> None:
+              partition_by: list[str] | None = None, tag: str | None = None) -> None:
         """Replace the table with ``df`` as a new version. ``sort_by`` clusters
         rows inside files so point lookups skip row groups; ``partition_by``
-        lays out folders that filters on those columns prune."""
+        lays out folders that filters on those columns prune. The new version
+        folder is not referenced until the pointer moves, so a retried write
+        may overwrite what a failed attempt left there."""
         v = (self._version(name) or 0) + 1
         out = df.sortWithinPartitions(*sort_by) if sort_by else df
-        w = out.write.mode("errorifexists")
+        w = out.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(self._version_path(name, v))
-        self._set_version(name, v)
+        self._set_version(name, v, tag)
+
+    def put_partitions(self, name: str, df: DataFrame, partition_by: list[str]) -> None:
+        """Write ``df`` into the current version, replacing exactly the
+        partitions it contains (dynamic partition overwrite): writing the same
+        batch twice leaves one copy, so a replayed micro-batch is harmless."""
+        v = self._version(name)
+        created = v is None
+        v = 1 if created else v
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(*partition_by).parquet(self._version_path(name, v)))
+        if created:
+            self._set_version(name, v)
 
     def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         """Add rows to the current version (creating the table)."""

@@ -8,7 +8,7 @@
 The graph rules are order-dependent (first writer, last call); a later batch
 holds later files, and the folds are min/max over order keys, so merging the
 stored fold with the batch fold equals a full rebuild over all files in
-arrival order. Batches already applied (by epoch id) are skipped on replay.
+arrival order. Every step is idempotent, so a replayed batch is harmless.
 """
 
 from __future__ import annotations
@@ -21,41 +21,46 @@ from ..plans.ingest import index_corpus, split_sources
 from ..sources.srcfiles import DEFAULT_EXTENSIONS, decode_sources, register
 from ..sources.store import TableStore
 
-_EPOCHS = "_epochs"
-
-
 def apply_batch(store: TableStore, raw: DataFrame, epoch_id: int, embedder=None) -> None:
-    """Index one batch of ``raw(path, content, size)`` files into ``store``."""
-    spark = raw.sparkSession
-    if store.exists(_EPOCHS) and store.read(_EPOCHS).filter(F.col("epoch") == epoch_id).count():
-        return
+    """Index one batch of ``raw(path, content, size)`` files into ``store``.
+
+    Idempotent, so a micro-batch replayed after a failure leaves the store as
+    one application would: per-batch rows go to ``_epoch=<id>`` partitions
+    written with dynamic partition overwrite; ids continue after the largest
+    id of earlier batches; the merged graph versions are tagged with the
+    batch they include and are not merged twice.
+    """
+    epoch = F.lit(epoch_id).cast("long")
     files, undecodable = decode_sources(raw)
     code_src, doc_src, skipped = split_sources(files)
     start = 0
     if store.exists("vectors"):
-        top = store.read("vectors").agg(F.max("embedding_id")).first()[0]
+        top = (store.read("vectors").filter(F.col("_epoch") != epoch_id)
+               .agg(F.max("embedding_id")).first()[0])
         start = 0 if top is None else top + 1
     idx = index_corpus(code_src, doc_src, embedder=embedder, id_start=start)
-    store.append("code_files", idx.code_files)
-    store.append("doc_files", idx.doc_files)
-    store.append("vectors", idx.vectors, partition_by=["kind"])
+    store.put_partitions("code_files", idx.code_files.withColumn("_epoch", epoch), ["_epoch"])
+    store.put_partitions("doc_files", idx.doc_files.withColumn("_epoch", epoch), ["_epoch"])
+    store.put_partitions("vectors", idx.vectors.withColumn("_epoch", epoch), ["_epoch", "kind"])
     bad = (idx.quarantine.select("file_path", "error")
            .unionByName(undecodable).unionByName(skipped))
-    store.append("quarantine", bad)
-    if store.exists("nodes"):
-        old = (store.read("nodes"), store.read("edges"), store.read("edge_calls"))
-        nodes, edges, sites = G.merge_graphs(old, (idx.nodes, idx.edges, idx.edge_calls))
-        # the merged folds read the stored versions: cut that lineage before
-        # the new versions are written next to them
-        nodes, edges = nodes.checkpoint(eager=True), edges.checkpoint(eager=True)
-        store.write("nodes", nodes)
-        store.write("edges", edges)
-        store.append("edge_calls", idx.edge_calls)
-    else:
-        store.write("nodes", idx.nodes)
-        store.write("edges", idx.edges)
-        store.write("edge_calls", idx.edge_calls)
-    store.append(_EPOCHS, spark.createDataFrame([(epoch_id,)], "epoch long"))
+    store.put_partitions("quarantine", bad.withColumn("_epoch", epoch), ["_epoch"])
+    store.put_partitions("edge_calls", idx.edge_calls.withColumn("_epoch", epoch), ["_epoch"])
+    tag = str(epoch_id)
+    if store.version_tag("nodes") != tag:
+        nodes = idx.nodes
+        if store.exists("nodes"):
+            old = (store.read("nodes"), store.read("edges"), None)
+            nodes = G.merge_graphs(old, (idx.nodes, idx.edges, None))[0]
+            # cut the lineage to the stored version before writing the next one
+            nodes = nodes.checkpoint(eager=True)
+        store.write("nodes", nodes, tag=tag)
+    if store.version_tag("edges") != tag:
+        edges = idx.edges
+        if store.exists("edges"):
+            edges = G.merge_graphs((None, store.read("edges"), None),
+                                   (None, idx.edges, None), nodes=False)[1].checkpoint(eager=True)
+        store.write("edges", edges, tag=tag)
 
 
 def start_incremental_ingest(spark: SparkSession, root: str, store: TableStore,
