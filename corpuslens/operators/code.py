@@ -25,6 +25,7 @@ Extraction rules (the reference behaviour):
 from __future__ import annotations
 
 import ast
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,50 +100,57 @@ def _call_target(func: ast.AST) -> str | None:
 def extract_python(path: str, source: str) -> dict:
     """Extract entities, calls, imports and assignments from one module.
 
+    One breadth-first walk of the module. A function's calls are listed in
+    the breadth-first order of its own subtree, which is the module's order
+    restricted to that subtree, so each call is credited, in walk order, to
+    every function that encloses it -- no subtree is walked twice.
+
     Raises ``SyntaxError``/``ValueError``/``RecursionError`` on bad input.
     """
     tree = ast.parse(source, filename=path)
-    out = {"entities": [], "function_calls": [], "imports": [], "global_variables": []}
-
-    def on_function(node):
-        out["entities"].append({
-            "name": node.name, "type": "function", "file_path": path,
-            "line_number": node.lineno, "docstring": ast.get_docstring(node),
-            "decorators": [n for n in map(_short_name, node.decorator_list) if n is not None],
-            "parents": []})
-        for sub in ast.walk(node):
-            if isinstance(sub, ast.Call):
-                target = _call_target(sub.func)
+    entities, imports, assigned = [], [], []
+    calls_of: dict[int, list] = {}
+    functions: list[ast.FunctionDef] = []
+    queue = deque([(tree, ())])
+    while queue:
+        node, enclosing = queue.popleft()
+        kind = type(node)
+        if kind is ast.FunctionDef:
+            functions.append(node)
+            calls_of[id(node)] = []
+            entities.append({
+                "name": node.name, "type": "function", "file_path": path,
+                "line_number": node.lineno, "docstring": ast.get_docstring(node),
+                "decorators": [n for n in map(_short_name, node.decorator_list) if n is not None],
+                "parents": []})
+            inner = enclosing + (node,)
+        else:
+            inner = enclosing
+            if kind is ast.Call and enclosing:
+                target = _call_target(node.func)
                 if target:
-                    out["function_calls"].append({"caller": node.name, "callee": target,
-                                                  "file_path": path, "line_number": sub.lineno})
-
-    def on_class(node):
-        out["entities"].append({
-            "name": node.name, "type": "class", "file_path": path,
-            "line_number": node.lineno, "docstring": ast.get_docstring(node),
-            "decorators": [],
-            "parents": [n for n in map(_short_name, node.bases) if n is not None]})
-
-    def on_import(node):
-        out["imports"].extend(a.name for a in node.names)
-
-    def on_import_from(node):
-        prefix = node.module or ""
-        out["imports"].extend(f"{prefix}.{a.name}" for a in node.names)
-
-    def on_assign(node):
-        out["global_variables"].extend(
-            {"name": t.id, "line_number": node.lineno}
-            for t in node.targets if isinstance(t, ast.Name))
-
-    handlers = {ast.FunctionDef: on_function, ast.ClassDef: on_class, ast.Import: on_import,
-                ast.ImportFrom: on_import_from, ast.Assign: on_assign}
-    for node in ast.walk(tree):
-        handler = handlers.get(type(node))
-        if handler is not None:
-            handler(node)
-    return out
+                    for fn in enclosing:
+                        calls_of[id(fn)].append((node.lineno, target))
+            elif kind is ast.ClassDef:
+                entities.append({
+                    "name": node.name, "type": "class", "file_path": path,
+                    "line_number": node.lineno, "docstring": ast.get_docstring(node),
+                    "decorators": [],
+                    "parents": [n for n in map(_short_name, node.bases) if n is not None]})
+            elif kind is ast.Import:
+                imports.extend(a.name for a in node.names)
+            elif kind is ast.ImportFrom:
+                prefix = node.module or ""
+                imports.extend(f"{prefix}.{a.name}" for a in node.names)
+            elif kind is ast.Assign:
+                assigned.extend({"name": t.id, "line_number": node.lineno}
+                                for t in node.targets if isinstance(t, ast.Name))
+        for child in ast.iter_child_nodes(node):
+            queue.append((child, inner))
+    calls = [{"caller": fn.name, "callee": target, "file_path": path, "line_number": line}
+             for fn in functions for line, target in calls_of[id(fn)]]
+    return {"entities": entities, "function_calls": calls, "imports": imports,
+            "global_variables": assigned}
 
 
 def _parse_batches(batches):

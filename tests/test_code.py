@@ -82,3 +82,33 @@ def test_malformed_files_go_to_quarantine(spark):
 def test_clean_code(spark):
     df = spark.createDataFrame([("  x = '#no'  # c\n\n\ty = 2\r\n",)], "t string")
     assert df.select(C.clean_code("t").alias("c")).first()["c"] == "x = '\ny = 2"
+
+
+def _nested_walk_calls(source):
+    """Plain model: walk the module; under each def, walk its whole subtree."""
+    import ast
+    out = []
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.FunctionDef):
+            for sub in ast.walk(node):
+                if isinstance(sub, ast.Call):
+                    f = sub.func
+                    if isinstance(f, ast.Name):
+                        out.append((node.name, f.id, sub.lineno))
+                    elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
+                        out.append((node.name, f"{f.value.id}.{f.attr}", sub.lineno))
+    return out
+
+
+def test_single_walk_matches_nested_walks_on_stdlib():
+    import glob
+    import os
+    import sysconfig
+    files = sorted(glob.glob(os.path.join(sysconfig.get_paths()["stdlib"], "*.py")))[:120]
+    assert files
+    for path in files:
+        with open(path, encoding="utf-8") as fh:
+            src = fh.read()
+        got = C.extract_python(path, src)
+        calls = [(c["caller"], c["callee"], c["line_number"]) for c in got["function_calls"]]
+        assert calls == _nested_walk_calls(src), path
