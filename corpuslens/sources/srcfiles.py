@@ -2,9 +2,13 @@
 
     spark.read.format("srcfiles").option("extensions", ".py,.md").load(root)
 
-The driver lists the tree once and groups files into partitions of about
-``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files); executors
-read the files of their partition. Names
+Listing is shared between the driver and the executors. The driver walks
+the tree breadth-first only until it holds ``listingPartitions`` directories
+(or has listed ``driverListLimit`` entries); each of those directories becomes
+a partition whose executor lists and reads its whole subtree, and the files
+the driver met on the way are grouped into partitions of about
+``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files). So the
+driver never holds the path list of a large tree. Names
 are matched with ``endswith`` (case-sensitive) like the reference crawler,
 and -- unlike Spark's file sources, which skip names starting with ``_`` or
 ``.`` -- hidden names such as ``__init__.py`` are kept. A missing root gives
@@ -72,6 +76,35 @@ def list_files_by_age(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[st
     return [(f.path, f.size or 0) for f in keep]
 
 
+def _matches(info, extensions) -> bool:
+    import pyarrow.fs as pafs
+    return info.type == pafs.FileType.File and any(info.base_name.endswith(e) for e in extensions)
+
+
+def expand_tree(root: str, extensions, want_dirs: int, max_entries: int):
+    """Driver side: breadth-first expansion of ``root`` until ``want_dirs``
+    directories are pending or ``max_entries`` entries were listed.
+    Returns ``(files met, pending directories)``; a missing root gives
+    nothing."""
+    import pyarrow.fs as pafs
+    fs, base = _fs_and_path(root)
+    if fs.get_file_info(base).type == pafs.FileType.NotFound:
+        log.error("Directory %s does not exist.", root)
+        return [], []
+    files, dirs, listed = [], [base], 0
+    while dirs and len(dirs) < want_dirs and listed < max_entries:
+        deeper = []
+        for d in dirs:
+            for info in fs.get_file_info(pafs.FileSelector(d, recursive=False)):
+                listed += 1
+                if info.type == pafs.FileType.Directory:
+                    deeper.append(info.path)
+                elif _matches(info, extensions):
+                    files.append((info.path, info.size or 0))
+        dirs = deeper
+    return sorted(files), sorted(dirs)
+
+
 def _slices(root: str, files, target: int, max_files: int):
     parts, cur, size = [], [], 0
     for path, n in files:
@@ -86,18 +119,29 @@ def _slices(root: str, files, target: int, max_files: int):
 
 
 def _read_slice(partition):
-    fs, _ = _fs_and_path(partition.root) if partition.root else (None, None)
-    for path in partition.paths:
+    if not partition.root:
+        return
+    import pyarrow.fs as pafs
+    fs, _ = _fs_and_path(partition.root)
+    paths = partition.paths
+    if partition.subtree is not None:
+        # executor side: list this directory's whole subtree
+        found = fs.get_file_info(pafs.FileSelector(partition.subtree, recursive=True))
+        paths = sorted(f.path for f in found if _matches(f, partition.extensions))
+    for path in paths:
         with fs.open_input_stream(path) as fh:
             data = fh.read()
         yield (path, bytes(data), len(data))
 
 
 class _Slice(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        super().__init__(paths)
+    def __init__(self, root: str, paths: list[str], subtree: str | None = None,
+                 extensions=DEFAULT_EXTENSIONS):
+        super().__init__(subtree or paths)
         self.root = root
         self.paths = paths
+        self.subtree = subtree
+        self.extensions = tuple(extensions)
 
 
 class SourceFilesReader(DataSourceReader):
@@ -107,10 +151,16 @@ class SourceFilesReader(DataSourceReader):
         self.extensions = tuple(exts.split(",")) if exts else DEFAULT_EXTENSIONS
         self.target = int(options.get("partitionBytes", 32 << 20))
         self.max_files = int(options.get("maxFilesPerPartition", 1024))
+        self.want_dirs = int(options.get("listingPartitions", 256))
+        self.max_entries = int(options.get("driverListLimit", 100_000))
 
     def partitions(self):
-        files = list_files(self.root, self.extensions) if self.root else []
-        return _slices(self.root, files, self.target, self.max_files) or [_Slice(self.root or "", [])]
+        if not self.root:
+            return [_Slice("", [])]
+        files, dirs = expand_tree(self.root, self.extensions, self.want_dirs, self.max_entries)
+        parts = _slices(self.root, files, self.target, self.max_files)
+        parts += [_Slice(self.root, [], subtree=d, extensions=self.extensions) for d in dirs]
+        return parts or [_Slice(self.root, [])]
 
     def read(self, partition):
         return _read_slice(partition)

@@ -80,3 +80,17 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):
     raw = spark.read.format("srcfiles").load(tree).filter(F.col("path").contains("/b/"))
     apply_batch(store, raw, 1)          # the second batch, delivered again
     assert snapshot() == before
+
+
+def test_listing_split_between_driver_and_executors(spark, tmp_path):
+    tree = str(tmp_path / "t")
+    files = {f"d{i}/sub{j}/m{k}.py": "x = 1\n" for i in range(3) for j in range(3) for k in range(2)}
+    files.update({"top.py": "y = 2\n", "_hid/__init__.py": "", "d0/.h.md": "# h\n", "d1/x.PY": ""})
+    _write(tree, files)
+    register(spark)
+    for want in (1, 2, 4, 100):
+        df = (spark.read.format("srcfiles").option("listingPartitions", str(want)).load(tree))
+        got = sorted(r["path"][len(tree) + 1:] for r in df.select("path").collect())
+        assert got == sorted(k for k in files if not k.endswith(".PY")), want
+    missing = spark.read.format("srcfiles").load(str(tmp_path / "nope"))
+    assert missing.count() == 0
