@@ -5,7 +5,8 @@
 Listing is shared between the driver and the executors. The driver walks
 the tree breadth-first only until it holds ``listingPartitions`` directories
 (or has listed ``driverListLimit`` entries); each of those directories becomes
-a partition whose executor lists and reads its whole subtree, and the files
+``shardsPerDirectory`` partitions whose executors list its subtree and read
+the files whose path hash falls in their shard, and the files
 the driver met on the way are grouped into partitions of about
 ``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files). So the
 driver never holds the path list of a large tree. Names
@@ -23,6 +24,7 @@ quarantine table instead of stopping the job.
 from __future__ import annotations
 
 import logging
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +130,8 @@ def _read_slice(partition):
         # executor side: list this directory's whole subtree
         found = fs.get_file_info(pafs.FileSelector(partition.subtree, recursive=True))
         paths = sorted(f.path for f in found if _matches(f, partition.extensions))
+    if partition.shards > 1:
+        paths = [p for p in paths if zlib.crc32(p.encode()) % partition.shards == partition.shard]
     for path in paths:
         with fs.open_input_stream(path) as fh:
             data = fh.read()
@@ -136,12 +140,13 @@ def _read_slice(partition):
 
 class _Slice(InputPartition):
     def __init__(self, root: str, paths: list[str], subtree: str | None = None,
-                 extensions=DEFAULT_EXTENSIONS):
-        super().__init__(subtree or paths)
+                 extensions=DEFAULT_EXTENSIONS, shard: int = 0, shards: int = 1):
+        super().__init__((subtree, shard) if subtree else paths)
         self.root = root
         self.paths = paths
         self.subtree = subtree
         self.extensions = tuple(extensions)
+        self.shard, self.shards = shard, shards
 
 
 class SourceFilesReader(DataSourceReader):
@@ -153,13 +158,18 @@ class SourceFilesReader(DataSourceReader):
         self.max_files = int(options.get("maxFilesPerPartition", 1024))
         self.want_dirs = int(options.get("listingPartitions", 256))
         self.max_entries = int(options.get("driverListLimit", 100_000))
+        self.shards = int(options.get("shardsPerDirectory", 4))
 
     def partitions(self):
         if not self.root:
             return [_Slice("", [])]
         files, dirs = expand_tree(self.root, self.extensions, self.want_dirs, self.max_entries)
         parts = _slices(self.root, files, self.target, self.max_files)
-        parts += [_Slice(self.root, [], subtree=d, extensions=self.extensions) for d in dirs]
+        # a directory may hold a large share of the tree: split its files
+        # over several tasks by a stable hash of the path
+        parts += [_Slice(self.root, [], subtree=d, extensions=self.extensions, shard=k,
+                         shards=self.shards)
+                  for d in dirs for k in range(self.shards)]
         return parts or [_Slice(self.root, [])]
 
     def read(self, partition):
