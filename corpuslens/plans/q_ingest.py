@@ -8,8 +8,19 @@ from ..sources.srcfiles import read_sources
 from .corpora import md_pages, py_parts
 from .ingest import index_corpus, split_sources
 from .registry import register
+from .q_graph import _EVENTS_SQL
+from .q_meta import _KEYS_SQL
 from .tree import write_tree
 
+STORE_SQL = _KEYS_SQL + ", " + _EVENTS_SQL.strip() + """
+SELECT 'code_files' AS table_name, (SELECT count(*) FROM py_parts) AS n_rows
+UNION ALL SELECT 'doc_files', (SELECT count(*) FROM md_pages)
+UNION ALL SELECT 'vectors', (SELECT count(*) FROM keys)
+UNION ALL SELECT 'nodes', (SELECT count(*) FROM node_rows)
+UNION ALL SELECT 'edges', (SELECT count(*) FROM edge_rows)
+UNION ALL SELECT 'edge_calls', (SELECT count(*) FROM cal)
+UNION ALL SELECT 'quarantine', 0"""
+
 
 def corpus_tree(spark, sf):
     """Files for every part and page, laid out with the names the scan must
@@ -53,3 +64,23 @@ def ingest_tree(spark, sf):
     for c in counts[1:]:
         out = out.unionByName(c)
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("store_roundtrip", STORE_SQL)
+def store_roundtrip(spark, sf):
+    """Write the whole index through the versioned store and
+    read every table back (rows per table)."""
+    from ..sources.store import TableStore
+    from ..session import scratch_path
+    from .ingest import write_index
+    from .q_retrieve import _index
+    import uuid
+    store = TableStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
+    write_index(store, _index(spark, sf))
+    names = ["code_files", "doc_files", "vectors", "nodes", "edges", "edge_calls", "quarantine"]
+    out = None
+    for name in names:
+        part = store.read(name).agg(F.count(F.lit(1)).alias("n_rows")) \
+                    .select(F.lit(name).alias("table_name"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
