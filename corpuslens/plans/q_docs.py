@@ -94,3 +94,25 @@ def doc_records(spark, sf):
     docs, _ = D.parse_docs(md_pages(spark, sf))
     return docs.select("file_path", F.size("sections").cast("int").alias("n_sections"),
                        F.length("raw_content").cast("long").alias("n_chars"), "embedding_id", "type")
+
+
+@register("doc_strict_quarantine", _MD + r"""
+SELECT file_path, CASE WHEN page_id_mod = 0 THEN 'quarantine' ELSE 'doc' END AS outcome,
+       CASE WHEN page_id_mod = 0 THEN NULL
+            ELSE CAST(len(regexp_extract_all(raw_content, '(?m)^(#{1,6})\s+(.+?)$', 2)) AS INTEGER) END
+         AS n_sections
+FROM (SELECT file_path, raw_content,
+             CAST(regexp_extract(file_path, '([0-9]+)', 1) AS BIGINT) % 5 AS page_id_mod FROM md_pages) m""")
+def doc_strict_quarantine(spark, sf):
+    """C2 with ``strict=True`` (Q1 as written): every page whose id is a
+    multiple of 5 gets a line of six backticks, which the written fence
+    pattern cannot read -- those pages are quarantined, the rest parsed."""
+    md = md_pages(spark, sf)
+    pid = F.regexp_extract("file_path", r"([0-9]+)", 1).cast("long")
+    md = md.withColumn("raw_content", F.when(pid % 5 == 0, F.concat("raw_content", F.lit("``````\n")))
+                       .otherwise(F.col("raw_content")))
+    docs, bad = D.parse_docs(md, strict=True)
+    return (docs.select("file_path", F.lit("doc").alias("outcome"),
+                        F.size("sections").cast("int").alias("n_sections"))
+                .unionByName(bad.select("file_path", F.lit("quarantine").alias("outcome"),
+                                        F.lit(None).cast("int").alias("n_sections"))))
