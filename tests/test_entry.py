@@ -19,7 +19,8 @@ def test_oracles_have_queries():
 def test_every_query_plans(spark):
     for name, fn in E.queries().items():
         if name in ("q_prompts", "q_code_context", "q_doc_context", "retrieve_topk", "ingest_summary",
-                    "dense_ids", "by_embedding_id", "ingest_tree", "store_roundtrip"):
+                    "dense_ids", "by_embedding_id", "ingest_tree", "store_roundtrip",
+                    "q_doc_context_strict"):
             continue  # these run jobs while planning (checkpoint / query-side collection)
         df = fn(spark, SMOKE)
         assert df.columns, name

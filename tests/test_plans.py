@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SMOKE
 
 PLAN_HEAVY = {"q_prompts", "q_code_context", "q_doc_context", "retrieve_topk", "ingest_summary",
-              "ingest_tree", "dense_ids", "by_embedding_id", "store_roundtrip"}
+              "ingest_tree", "dense_ids", "by_embedding_id", "store_roundtrip", "q_doc_context_strict"}
 
 
 def _plan(df):
