@@ -3,7 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.operators import docs as D
