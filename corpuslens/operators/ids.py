@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _PART_BITS = 33  # monotonically_increasing_id = partition index << 33 | row
 
 
@@ -38,7 +40,7 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "row_id",
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("long"), _PART_BITS))
-                .checkpoint(eager=True))
+                .transform(materialize))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a window without PARTITION BY is bounded by the
     # partition count here, not by the data.
@@ -61,7 +63,7 @@ def dense_offsets(df: DataFrame, order_cols: list[str], weight_col: str, out_col
     n = num_partitions or _range_partitions(df)
     ranged = (df.repartitionByRange(n, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+                .transform(materialize))
     within = Window.partitionBy("_pid").orderBy(*order_cols) \
                    .rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_before", F.coalesce(F.sum(weight_col).over(within), F.lit(0)))

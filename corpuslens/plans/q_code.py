@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import code as C
 from .corpora import PY_PARTS_SQL, py_parts, with_ctes
 from .registry import register
+from ..session import materialize as checkpoint_now
 
 FP = "'src/part_' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.py'"
 K = "CAST(p_partkey AS VARCHAR)"
@@ -54,7 +55,7 @@ def parsed_parts(spark, sf, clean: bool = False, materialize: bool = False):
     checkpoint folder, for plans that read the records more than once (the
     graph's node and edge folds, for instance)."""
     code, _ = C.parse_code(py_parts(spark, sf), clean=clean)
-    return code.checkpoint(eager=True) if materialize else code
+    return code.transform(checkpoint_now) if materialize else code
 
 
 @register("code_entities", f"""

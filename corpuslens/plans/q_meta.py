@@ -13,6 +13,7 @@ from ..operators import code as C
 from ..operators import docs as D
 from ..operators import metadata as M
 from ..operators import vectors as V
+from ..session import materialize
 from ..sources import table
 from .corpora import MD_PAGES_SQL, PY_PARTS_SQL, md_pages, py_parts, with_ctes
 from .q_code import FP, K
@@ -151,7 +152,7 @@ def _keys(spark, sf):
     # per-file chunk counts: read by the range pass (twice) and the chunk
     # expansion, so parse once into the checkpoint folder
     counts = code.select("file_path", V.chunk_count(V.tokenize(F.col("raw_code"))).alias("n_chunks")) \
-                 .checkpoint(eager=True)
+                 .transform(materialize)
     first = V.file_first_ids(counts, md_pages(spark, sf).select("file_path"))
     return V.number_chunks(first, counts)
 

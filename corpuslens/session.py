@@ -74,3 +74,10 @@ def spread(df: DataFrame) -> DataFrame:
     that contains a shuffle would run the stages before it."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Eagerly checkpoint ``df`` into the shared checkpoint folder (set up on
+    first use if the session has none, as in ``checkpoint_dir``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..plans.ingest import index_corpus, split_sources
+from ..session import materialize
 from ..sources.srcfiles import DEFAULT_EXTENSIONS, decode_sources, register
 from ..sources.store import TableStore
 
@@ -53,13 +54,13 @@ def apply_batch(store: TableStore, raw: DataFrame, epoch_id: int, embedder=None)
             old = (store.read("nodes"), store.read("edges"), None)
             nodes = G.merge_graphs(old, (idx.nodes, idx.edges, None))[0]
             # cut the lineage to the stored version before writing the next one
-            nodes = nodes.checkpoint(eager=True)
+            nodes = nodes.transform(materialize)
         store.write("nodes", nodes, tag=tag)
     if store.version_tag("edges") != tag:
         edges = idx.edges
         if store.exists("edges"):
             edges = G.merge_graphs((None, store.read("edges"), None),
-                                   (None, idx.edges, None), nodes=False)[1].checkpoint(eager=True)
+                                   (None, idx.edges, None), nodes=False)[1].transform(materialize)
         store.write("edges", edges, tag=tag)
 
 
