@@ -116,3 +116,23 @@ def test_append_vectors_validates(spark, tmp_path):
     with pytest.raises(ValueError):
         V.append_vectors(st, good.unionByName(bad), 2)
     assert st.read("vectors").count() == 1
+
+
+def test_index_numbers_multi_chunk_files(spark):
+    from corpuslens.plans.ingest import index_corpus
+    long_src = "\n".join(f"v{i} = {i}" for i in range(400))      # 1,200 tokens -> 3 chunks
+    code = spark.createDataFrame([("b.py", long_src), ("d.py", "x = 1\n"), ("e.py", "")],
+                                 "file_path string, raw_code string")
+    docs = spark.createDataFrame([("a.md", "# A\n"), ("c.md", "# C\n")],
+                                 "file_path string, raw_content string")
+    idx = index_corpus(code, docs, embedder=V.HashedEmbedder(dim=8))
+    got = sorted((r["embedding_id"], r["file_path"], r["chunk_no"], r["kind"])
+                 for r in idx.vectors.collect())
+    assert got == [(0, "a.md", 0, "doc"), (1, "b.py", 0, "code"), (2, "b.py", 1, "code"),
+                   (3, "b.py", 2, "code"), (4, "c.md", 0, "doc"), (5, "d.py", 0, "code")]
+    ids = {r["file_path"]: list(r["embedding_ids"]) for r in idx.code_files.collect()}
+    assert ids == {"b.py": [1, 2, 3], "d.py": [5], "e.py": []}
+    assert {r["file_path"]: r["embedding_id"] for r in idx.doc_files.collect()} == {"a.md": 0, "c.md": 4}
+    whole = index_corpus(code, docs, embedder=V.HashedEmbedder(dim=8), chunk_size=None, id_start=10)
+    got = sorted((r["embedding_id"], r["file_path"]) for r in whole.vectors.collect())
+    assert got == [(10, "a.md"), (11, "b.py"), (12, "c.md"), (13, "d.py"), (14, "e.py")]
