@@ -51,3 +51,17 @@ def test_insert_metadata_validation(spark, tmp_path):
     with pytest.raises(ValueError):
         M.insert_metadata(st, "meta", good.unionByName(bad), "record")
     assert st.read("meta").count() == 1
+
+
+def test_typed_views_fill_defaults(spark):
+    code = spark.createDataFrame(
+        [("a.py", None, None, None)],
+        "file_path string, entities array<struct<name:string>>, embedding_ids array<long>, type string")
+    r = M.with_defaults(code).first()
+    assert (list(r["entities"]), list(r["embedding_ids"]), r["type"]) == ([], [], "CodeFile.class")
+    docs = spark.createDataFrame([("d.md", None, None, None, None)],
+                                 "file_path string, sections array<string>, api_references string, "
+                                 "embedding_id long, type string")
+    d = M.doc_with_defaults(docs).first()
+    assert (list(d["sections"]), d["api_references"], d["embedding_id"], d["type"]) == \
+           ([], "", -1, "DocumentationFile.class")
