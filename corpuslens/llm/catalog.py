@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .neardup import near_duplicates
+from .quality import COUNTS, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,4 +34,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, threshold=80)
 
 
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return quality(docs).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
