@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .langid import held_out, identify, trained_on_rest
 from .neardup import near_duplicates
 from .quality import COUNTS, quality
 
@@ -40,4 +42,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@_query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), trained_on_rest(docs))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
