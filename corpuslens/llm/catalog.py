@@ -17,6 +17,7 @@ import public_tokenizers
 
 from .langid import held_out, identify, trained_on_rest
 from .neardup import near_duplicates
+from .packing import pack_documents
 from .pieces import decode, encode
 from .quality import COUNTS, quality
 
@@ -53,6 +54,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), path, capacity=1024, closing=2).select(
+        "row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @_query
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")

@@ -22,7 +22,6 @@ in no longer piece, so texts are cut there into units and units are remembered.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -31,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import UnitMemo
+
 SPACE = "▁"
-#: Units, and token pairs, remembered in each of two generations by a worker.
-REMEMBERED = 300_000
+#: Token pairs remembered by a Python worker before it starts afresh.
+REMEMBERED = 400_000
 _NEVER = 1 << 60
 
 
@@ -62,8 +63,7 @@ class PieceModel:
         self._edges()
         self._units()
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = UnitMemo(self._encode_unit)
 
     def _merges(self, word: str) -> list:
         """Byte-pair merging of a short string: the remaining parts, each a
@@ -118,7 +118,8 @@ class PieceModel:
         return True
 
     def _encode_unit(self, unit: str) -> list[int]:
-        """Ids of a unit whose spaces are space marks, by its prefix table."""
+        """Ids of a unit by its prefix table."""
+        unit = unit.replace(" ", SPACE)
         n = len(unit)
         last = [-1] * (n + 1)   # token that ends the encoding of each prefix; -1: a character without piece
         width = [1] * (n + 1)
@@ -146,25 +147,9 @@ class PieceModel:
         ids.reverse()
         return ids
 
-    def _unit_ids(self, unit: str) -> bytes:
-        got = self.known.get(unit) or self.older.get(unit)
-        if got is None:
-            got = array("i", self._encode_unit(unit.replace(" ", SPACE))).tobytes()
-        if len(unit) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[unit] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as the machine's 32-bit integers."""
-        if not text:
-            return b""
-        units = self.unit.findall(" " + text.replace(SPACE, " "))
-        out = list(map(self.known.get, units))
-        if None in out:
-            out = [self._unit_ids(u) if got is None else got for u, got in zip(units, out)]
-        return b"".join(out)
+        return self.memo.joined(self.unit.findall(" " + text.replace(SPACE, " "))) if text else b""
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids as the library's ``decode``: byte pieces are read as
