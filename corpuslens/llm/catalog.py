@@ -20,6 +20,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import decode, encode
 from .quality import COUNTS, quality
+from .secret_scan import BASE_RULES, listed, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,15 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, threshold=80)
 
 
+@_query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    return found.select("row.doc_id", *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)),
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a key table (a few longs each) up to which it is sent to all tasks.
+SENT_ROWS = 1_000_000
+
+
+def hinted(keys: DataFrame) -> DataFrame:
+    """A staged table of narrow keys, marked for broadcast where its row count,
+    taken here, proves it small; a larger one is left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
