@@ -6,7 +6,7 @@ from array import array
 from collections.abc import Callable
 
 #: Units remembered in each of two generations by a Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longest unit that is remembered, in characters.
 LONGEST = 64
 
@@ -14,27 +14,22 @@ LONGEST = 64
 class UnitMemo:
     """Ids of text units, as bytes of 32-bit integers. When the young
     generation is full it becomes the old one, so units in use survive and
-    memory stays bounded."""
+    memory stays bounded. ``encode`` gives the ids of each of some units."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _find(self, unit: str) -> bytes:
-        got = self.young.get(unit)
-        if got is None:
-            got = self.old.get(unit)
-            if got is None:
-                got = array("i", self.encode(unit)).tobytes()
-            if len(unit) <= LONGEST:
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-                self.young[unit] = got
-        return got
-
     def joined(self, units: list[str]) -> bytes:
         out = list(map(self.young.get, units))
         if None in out:
-            out = [self._find(u) if got is None else got for u, got in zip(units, out)]
+            young, old = self.young, self.old
+            missing = {u: old.get(u) for u, got in zip(units, out) if got is None}
+            new = [u for u, got in missing.items() if got is None]
+            missing.update(zip(new, (array("i", ids).tobytes() for ids in self.encode(new))))
+            out = [missing[u] if got is None else got for u, got in zip(units, out)]
+            if len(young) + len(missing) > REMEMBERED:
+                self.old, self.young = young, {}
+            self.young.update(item for item in missing.items() if len(item[0]) <= LONGEST)
         return b"".join(out)

@@ -17,6 +17,8 @@ plan, whose size depends on the number of configurations, not on the data.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -36,29 +38,36 @@ from .staging import staged
 RATE, AHEAD, STEP, STEPS = 10.0, 0.3, 0.1, 1500
 
 # The pre-tokenising pattern of byte-level BPE.
+# PLAIN_TOKENS is the same for texts without a character that ODD finds, on
+# which the two regex libraries' classes of letters, digits and spaces agree.
 PRE_TOKENS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PLAIN_TOKENS = rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
+ODD = "[^\x00-\x1b\x20-\x84\x86-±´-¸º»¿-ɏ]"
+
 
 class ByteTokens:
     """A byte-level BPE tokenizer file; frequent pre-tokens are remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work out
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unit = regex.compile(PRE_TOKENS)
+        self.unit, self.plain, self.odd = regex.compile(PRE_TOKENS), re.compile(PLAIN_TOKENS), re.compile(ODD)
         self.memo = UnitMemo(self._ids)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as the machine's 32-bit integers; the strings of
         added tokens are those tokens, as in the library."""
         if any(t in text for t in self.added):
-            return np.array(self._ids(text), np.uint32).tobytes()
-        return self.memo.joined(self.unit.findall(text))
+            return np.array(self._ids([text])[0], np.uint32).tobytes()
+        return self.memo.joined((self.unit if self.odd.search(text) else self.plain).findall(text))
 
 
 @lru_cache(maxsize=2)

@@ -63,7 +63,7 @@ class PieceModel:
         self._edges()
         self._units()
         self.pairs: dict[int, bool] = {}
-        self.memo = UnitMemo(self._encode_unit)
+        self.memo = UnitMemo(lambda units: [self._encode_unit(u) for u in units])
 
     def _merges(self, word: str) -> list:
         """Byte-pair merging of a short string: the remaining parts, each a
