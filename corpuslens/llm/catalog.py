@@ -16,6 +16,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from .langid import held_out, identify, trained_on_rest
+from .merkle import edited_fingerprints
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import decode, encode
@@ -78,4 +79,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                       "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
