@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
+from .html_text import main_text
 from .langid import held_out, identify, trained_on_rest
 from .merkle import edited_fingerprints
 from .neardup import near_duplicates
@@ -45,6 +46,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@_query
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return rows.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, threshold=80)
