@@ -23,6 +23,12 @@ from .packing import pack_documents
 from .pieces import decode, encode
 from .quality import COUNTS, quality
 from .secret_scan import BASE_RULES, listed, scan
+from .sharding import assign_shards
+from .urls import UrlRule, judge_urls
+
+URL_RULES = (UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"),
+             UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/"))
+SHARD_BYTES = 1 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,12 +72,43 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+@_query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = assign_shards(_table(spark, sf_dir, "documents", "doc_id", "text"), SHARD_BYTES)
+    return rows.select("row.doc_id", "n_bytes", "shard_id", F.col("depth").cast("long").alias("depth"), "shard_bytes",
+                       "shard_rows")
+
+
+ORACLES["op5_sharding"] = f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+         lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::UBIGINT), 60, '0') AS bits
+  FROM documents),
+nodes AS (
+  SELECT d AS depth, substr(bits, 1, d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows
+  FROM h, range(0, 33) AS r(d) GROUP BY ALL),
+placed AS (
+  SELECT h.doc_id, h.n_bytes, h.bits, count(*) FILTER (WHERE n.shard_bytes > {SHARD_BYTES} AND n.shard_rows > 1) AS depth
+  FROM h JOIN nodes n ON n.prefix = substr(h.bits, 1, n.depth) GROUP BY ALL)
+SELECT a.doc_id, a.n_bytes, n.prefix AS shard_id, a.depth, n.shard_bytes, n.shard_rows
+FROM placed a JOIN nodes n ON n.depth = a.depth AND n.prefix = substr(a.bits, 1, n.depth)
+"""
+
+
 @_query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@_query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge_urls(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    names = F.array(*(F.lit(r.name) for r in URL_RULES))
+    rule = F.when(F.col("rule").isNotNull(), F.get(names, F.col("rule")))
+    return rows.select("row.page_id", "host", "path", rule.alias("rule"), "verdict", "score")
+
+
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
