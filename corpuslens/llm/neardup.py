@@ -30,9 +30,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import connected_components
-from .staging import staged
+from .staging import hinted, staged
 from .words import chunks, find_words, hash_ranges, mix64
 
 BINS, ROWS = 128, 4
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
                     F.col("doc_id").alias("comp")))
     rows = staged(_open(rows), "dup-buckets")
 
-    wanted = rows.select(F.col("cid").alias("doc_id")).distinct()
+    wanted = hinted(staged(rows.select(F.col("cid").alias("doc_id")).distinct(), "dup-wanted"))
     sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), _SET_SCHEMA), "dup-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -265,3 +266,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     return out.select("doc_id", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each
+    group. Of rows that repeat a doc_id, the least text stays; rows without a
+    doc_id all stay. The ids to drop are the few; texts are not shuffled where
+    their list is short."""
+    flags = staged(near_duplicates(docs, shingle, threshold).select("doc_id", "kept"), "dup-flags")
+    gone = staged(flags.where("NOT kept").select("doc_id").distinct(), "dup-gone")
+    again = staged(flags.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+                   .where("n > 1").select("doc_id"), "dup-again")
+    left = docs.join(hinted(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    many = left.join(hinted(again), "doc_id", "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    first = Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_first(), F.to_json("row"))
+    many = many.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
+    return left.join(hinted(again), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(many)

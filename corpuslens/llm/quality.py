@@ -146,7 +146,8 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     high = F.min(F.when(F.expr("4 * run >= 3 * total"), F.col("value")))
     margin = F.create_map(*(F.lit(x) for kv in MARGINS.items() for x in kv))[F.col("rate")]
     each = run.groupBy(*by, "rate", "total").agg(low.alias("low"), high.alias("high"))
-    each = each.withColumn("fence", F.col("high") + SPREAD * (F.col("high") - F.col("low")) + margin)
+    each = each.withColumn(
+        "fence", (F.col("high") + SPREAD * (F.col("high") - F.col("low")) + margin).cast("long"))
     return each.groupBy(*by, F.col("total").alias("size")).agg(
         F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("fences"))
 
@@ -160,11 +161,11 @@ def adaptive_fences(rows: DataFrame) -> DataFrame:
     group = fences(sketch, ["lang", "source"])
     lang = fences(merged(sketch, ["lang"]), ["lang"]).select(
         F.col("lang").alias("l2"), F.col("size").alias("n2"), F.col("fences").alias("f2"))
-    whole = fences(merged(sketch.withColumn("one", F.lit(1)), ["one"]), ["one"]).select(
-        F.lit(1).alias("one"), F.col("fences").alias("f3"))
-    out = (group.join(lang, F.col("lang").eqNullSafe(F.col("l2"))).withColumn("one", F.lit(1)).join(whole, "one")
+    whole = fences(merged(sketch, []), []).first()  # one row of as many numbers as there are rates
+    f3 = F.create_map(*(x for k, v in (whole.fences if whole else {}).items() for x in (F.lit(k), F.lit(v).cast("long"))))
+    out = (group.join(lang, F.col("lang").eqNullSafe(F.col("l2")))
            .select("lang", "source", F.when(F.col("size") >= MIN_GROUP, F.col("fences"))
-                   .when(F.col("n2") >= MIN_GROUP, F.col("f2")).otherwise(F.col("f3")).alias("fences")))
+                   .when(F.col("n2") >= MIN_GROUP, F.col("f2")).otherwise(f3.cast("map<string,bigint>")).alias("fences")))
     return staged(out, "quality-fences")
 
 
