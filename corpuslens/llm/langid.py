@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import schema_with
 from .words import Chunk, chunks
 
 BUCKETS = 1 << 18
@@ -284,10 +285,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     row = [F.col(f"`{c}`") for c in docs.columns]
     src = docs.select(F.struct(*row).alias("row"), F.col(text).cast("string").alias("_text"))
-    schema = src.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return src.mapInArrow(_identify(shared), f"row {schema}, lang_pred string, score double, "
-                                             "spans array<struct<start: long, end: long, lang: string>>")
+    return src.mapInArrow(_identify(shared), schema_with(
+        [src.schema["row"]], "lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"))
 
 
 def trained_on_rest(docs: DataFrame) -> Model:

@@ -226,7 +226,9 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     asked = hinted(staged(candidates(texts, rules), "secret-candidates"))
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"),
+    # the columns travel under other names, and flat: struct fields are not pruned through generators
+    kept = [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)), F.col("doc_id").alias("_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = own.join(asked.withColumnRenamed("doc_id", "_doc"), F.col("_id").eqNullSafe(F.col("_doc")), "left")
 
@@ -253,8 +255,9 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         each = F.transform(each, lambda x: F.struct(
             x[f"s{k}"].alias("start"), F.lit(k).alias("rank"), (x[f"s{k}"] + x[f"h{k}"]).alias("end")))  # noqa: B023
         spans.append(F.coalesce(each, none))
-    return settled(rows.select("row", *(x.alias(f"p{k}") for k, x in enumerate(spans))),
-                   spans=F.array_sort(F.concat(*(f"p{k}" for k in ks)))).select("row", "spans")
+    rows = settled(rows.select(*kept, *(x.alias(f"p{k}") for k, x in enumerate(spans))),
+                   spans=F.array_sort(F.concat(*(f"p{k}" for k in ks))))
+    return rows.select(F.struct(*(F.col(k).alias(c) for c, k in zip(docs.columns, kept))).alias("row"), "spans")
 
 
 def _quick(rule: Rule) -> str:

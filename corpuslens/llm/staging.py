@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,9 @@ def hinted(keys: DataFrame) -> DataFrame:
     """A staged table of narrow keys, marked for broadcast where its row count,
     taken here, proves it small; a larger one is left to a shuffled join."""
     return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
+def schema_with(kept: list[T.StructField], added: str) -> T.StructType:
+    """Result schema of a ``mapInArrow``: fields kept as they are (of any name)
+    and the fields of a DDL string."""
+    return T.StructType([*kept, *T.StructType.fromDDL(added).fields])

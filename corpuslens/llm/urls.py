@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import schema_with
+
 ORDERS = 5
 #: Hashed contexts of a model, and kinds of characters.
 CONTEXTS, SYMBOLS = 1 << 16, 64
@@ -167,8 +169,7 @@ def scored(urls: DataFrame, models: UrlModels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("url")))],
                                                  [*part.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
-    return urls.mapInArrow(run, f"{schema}, score double")
+    return urls.mapInArrow(run, schema_with(urls.schema.fields, "score double"))
 
 
 def threshold(labelled: DataFrame) -> float:
