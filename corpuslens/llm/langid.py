@@ -35,7 +35,7 @@ LEAST_SHARE = 0.005
 #: Languages counted at a time in a training task before it hands on its counts.
 HELD_LANGS = 16
 #: Elements of the word x language table decoded at a time.
-DECODE_ELEMENTS = 8 << 20
+DECODE_ELEMENTS = 4 << 20
 
 # First code points of Unicode script ranges, with the script.
 SCRIPTS = (
@@ -234,8 +234,9 @@ def _identify(model):
                 plain = np.concatenate([[0], np.cumsum(_ASCII_LETTER[c.data])])
                 plain = plain[c.offsets[1:]] > plain[c.offsets[:-1]]
                 real = np.array([p or any(x.isalpha() for x in (texts[c.lo + d].as_py() or "")) for d, p in enumerate(plain)], bool)
-                held.append((c, g.words_of, word_scores(g, m), g.end - g.start, points[g.start] - base, points[g.end] - base, real))
-                elements += len(g.start) * n_langs
+                start, end = points[g.start] - base, points[g.end] - base
+                held.append((c, g.words_of, word_scores(g, m), start.astype(np.int32), end.astype(np.int32), real))
+                elements += len(start) * n_langs
                 if elements >= DECODE_ELEMENTS:
                     yield _labelled(batch, held, m)
                     held, elements = [], 0
@@ -248,12 +249,13 @@ def _labelled(batch, held, m) -> pa.RecordBatch:
     lo, hi = held[0][0].lo, held[-1][0].hi
     counts = np.concatenate([np.diff(h[1]) for h in held])
     words_of = np.concatenate([[0], np.cumsum(counts)])
-    scores, size, start, end = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4, 5))
-    real = np.concatenate([h[6] for h in held])
+    scores, start, end = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
+    real = np.concatenate([h[5] for h in held])
+    held.clear()
     n, doc = hi - lo, np.repeat(np.arange(hi - lo), counts)
     if m.langs:
         label = decode(scores, words_of)
-        letters = np.bincount(doc * len(m.langs) + label, weights=size, minlength=n * len(m.langs)).reshape(n, -1)
+        letters = np.bincount(doc * len(m.langs) + label, weights=end - start, minlength=n * len(m.langs)).reshape(n, -1)
         pred, total = letters.argmax(axis=1), letters.sum(axis=1)
         known = real & (total > 0)
         share = np.where(known, letters.max(axis=1) / np.maximum(total, 1), 0.0)
@@ -266,7 +268,7 @@ def _labelled(batch, held, m) -> pa.RecordBatch:
     opens = np.flatnonzero(turn)
     closes = np.flatnonzero(np.concatenate([(label[1:] != label[:-1]) | (doc[1:] != doc[:-1]), np.ones(min(len(doc), 1), bool)]) & known[doc])
     spans = pa.StructArray.from_arrays(
-        [pa.array(start[opens]), pa.array(end[closes]), names.take(pa.array(label[opens].astype(np.int64)))], ["start", "end", "lang"])
+        [pa.array(start[opens].astype(np.int64)), pa.array(end[closes].astype(np.int64)), names.take(pa.array(label[opens].astype(np.int64)))], ["start", "end", "lang"])
     at = np.concatenate([[0], np.cumsum(np.bincount(doc[opens], minlength=n))]).astype(np.int32)
     lang = names.take(pa.array(pred)).to_numpy(zero_copy_only=False).astype(object)
     lang[~known] = "und"

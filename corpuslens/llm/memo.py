@@ -6,7 +6,7 @@ from array import array
 from collections.abc import Callable
 
 #: Units remembered in each of two generations by a Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longest unit that is remembered, in characters.
 LONGEST = 64
 

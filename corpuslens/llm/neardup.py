@@ -41,7 +41,7 @@ BANDS = BINS // ROWS
 #: Rounds of one centre a bucket; what is open then is decided in tiles.
 STAR_ROUNDS = 2
 #: Members of a block; a tile holds two blocks at most.
-TILE = 512
+TILE = 256
 
 _SIG_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 _SET_SCHEMA = "doc_id long, shingles array<long>"
