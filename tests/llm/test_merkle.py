@@ -74,7 +74,7 @@ def test_edge_rows(spark):
     check(edited_fingerprints(edge_docs(spark)).withColumn("edited_sha256", F.sha2("edited", 256)).collect(), docs)
     assert edited_fingerprints(no_docs(spark)).count() == 0 and fingerprints(no_docs(spark)).count() == 0
     one = edited_fingerprints(spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")).first()
-    assert one.edited == "a b c d e fa b" and one.near_next == 1.0
+    assert one.edited == "a b c d e f a b" and one.near_next == 1.0
 
 
 def test_ties_are_followed_once(spark, monkeypatch):
