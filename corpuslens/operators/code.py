@@ -25,6 +25,7 @@ Extraction rules (the reference behaviour):
 from __future__ import annotations
 
 import ast
+import json
 from collections import deque
 
 import pyarrow as pa
@@ -164,6 +165,7 @@ def _parse_batches(batches):
                 if text is None:
                     raise ValueError("no text")
                 got, err = extract_python(path, text), None
+                json.dumps(got, ensure_ascii=False).encode()  # a lone surrogate cannot be stored: quarantine
             except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                 got, err = empty, f"{type(e).__name__}: {e}"
             for k in ("entities", "function_calls", "imports", "global_variables"):

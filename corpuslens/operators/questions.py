@@ -59,11 +59,25 @@ def classify(col) -> Column:
     return F.when(is_doc, F.lit(DOC_LABEL)).when(is_code, F.lit(CODE_LABEL)).otherwise(F.lit(INVALID_LABEL))
 
 
+# String literals and everything but brackets, for _one_value.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+
+
+def _one_value(s: Column) -> Column:
+    """Whether the text is a single bracketed value: with strings taken out, the
+    bracket that opens it closes at the last character and not before."""
+    marks = F.regexp_replace(F.regexp_replace(strip_(s), F.lit(_JSON_STRING), F.lit("")), F.lit(r"[^{}\[\]]+"), F.lit("-"))
+    steps = F.split(F.regexp_replace(marks, F.lit("-"), F.lit("")), "")
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("open"), F.lit(0).alias("closed")), lambda acc, c: F.struct(
+        (acc["open"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("open"),
+        (acc["closed"] + F.when(c.isin("}", "]") & (acc["open"] == 1), 1).otherwise(0)).alias("closed")))
+    return marks.startswith("{") & marks.endswith("}") & (depth["open"] == 0) & (depth["closed"] == 1)
+
+
 def _json_object(s: Column) -> Column:
-    """Strict-enough JSON object test: parses as JSON, is an object, and has
-    nothing after the closing brace (``try_parse_json`` alone accepts junk)."""
-    return (F.try_parse_json(s).isNotNull() & F.json_object_keys(s).isNotNull()
-            & strip_(s).endswith("}"))
+    """JSON object test: parses as JSON, is an object, and nothing follows it
+    (``try_parse_json`` alone accepts text after the value)."""
+    return F.try_parse_json(s).isNotNull() & F.json_object_keys(s).isNotNull() & _one_value(s)
 
 
 def read_replies(queries: DataFrame, responses: DataFrame | None, strict: bool = False) -> DataFrame:

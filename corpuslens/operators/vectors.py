@@ -1,13 +1,13 @@
 """Chunking, embedding, vector ids, validation and exact nearest-vector search.
 
-Exact k-nearest search (D6) is a scan of the vector table. The query batch is
-the small side: it is size-checked, collected in bounded blocks, and shipped to
-executors as a broadcast variable. Each vector partition computes squared L2
-distances against the block with numpy (Arrow batches in, no per-row Python)
-and keeps only its local top-k per query, so the shuffle that follows carries
-``partitions x queries x k`` rows rather than ``queries x vectors``. A final
-``row_number() <= k`` per query (planned as a WindowGroupLimit) picks the
-global winners. Ties are broken by vector id ascending.
+Exact k-nearest search (D6) lays queries and vectors out on a grid of blocks:
+every query meets every vector in exactly one cell. A cell's rows are shuffled
+together, queries first, so a task holds one bounded query block and streams the
+cell's vectors past it (Arrow batches and numpy, no per-row Python), keeping the
+local top-k per query. Nothing passes through the driver. A final
+``row_number() <= k`` per query (planned as a WindowGroupLimit, so it is applied
+before the shuffle as well) picks the global winners. Ties are broken by vector
+id ascending.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ DEFAULT_DIM = 768
 # non-space character. The same pattern runs in Java and RE2.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\x0B]"
 
-# Largest query block shipped to executors at once (float64 matrix bytes).
-MAX_QUERY_BLOCK_BYTES = 256 << 20
+# Query block held by a task, and vectors streamed past it (float64 bytes).
+MAX_QUERY_BLOCK_BYTES = 32 << 20
+VECTOR_BLOCK_BYTES = 128 << 20
 
 
 def _c(col) -> Column:
@@ -212,11 +213,11 @@ def ids_per_file(vectors: DataFrame) -> DataFrame:
 def bad_vector(vec_col: str, dim: int) -> Column:
     v = F.col(vec_col)
     return (v.isNull() | (F.size(v) != dim)
-            | F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+            | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def check_vectors(vectors: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
-    """One row: rows, bad rows (wrong width, null or NaN entries)."""
+    """One row: rows, bad rows (wrong width, null, NaN or infinite entries)."""
     return vectors.agg(F.count(F.lit(1)).alias("n_rows"),
                        F.count_if(bad_vector(vec_col, dim)).alias("n_bad"))
 
@@ -244,7 +245,8 @@ def append_vectors(store, vectors: DataFrame, dim: int, name: str = "vectors",
 # --------------------------------------------------------------------------
 
 def _to_matrix(list_array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arrow list<float> -> (n x dim float64 matrix, valid mask)."""
+    """Arrow list<float> -> (n x dim float64 matrix, valid mask): rows of the
+    right width with finite entries only (a null entry counts as NaN)."""
     n = len(list_array)
     if n == 0:
         return np.zeros((0, dim)), np.zeros(0, dtype=bool)
@@ -252,13 +254,14 @@ def _to_matrix(list_array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     valid = lengths == dim
     flat = list_array.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if valid.all():
-        return flat.reshape(n, dim), valid
+        out = flat.reshape(n, dim)
+        return out, np.isfinite(out).all(axis=1)
     out = np.zeros((n, dim))
     offsets = list_array.offsets.to_numpy()
     base = offsets[0]
     for i in np.nonzero(valid)[0]:
         out[i] = flat[offsets[i] - base: offsets[i] - base + dim]
-    return out, valid
+    return out, valid & np.isfinite(out).all(axis=1)
 
 
 def _topk_pairs(qi, vid, dist, key, k):
@@ -299,6 +302,8 @@ def _knn_block(V, vids, Q, qidx, k, rank_decimals):
         approx = vn[:, None] + qns[None, :] - 2.0 * (V @ Qs.T)
         kth = np.partition(approx, m - 1, axis=0)[m - 1]
         tol = 1e-9 * (vn.max() + qns) + 1e-12
+        if rank_decimals is not None:
+            tol = tol + 10.0 ** -rank_decimals  # all that may round to the same key
         rows, cols = np.nonzero(approx <= (kth + tol)[None, :])
         diff = V[rows] - Qs[cols]
         dist = np.einsum("ij,ij->i", diff, diff)
@@ -309,58 +314,77 @@ def _knn_block(V, vids, Q, qidx, k, rank_decimals):
     return out
 
 
-def _make_partition_fn(bq, dim: int, k: int, rank_decimals, with_class: bool, qid_type):
+class _Cell:
+    """One cell of the grid: its queries, then the best vectors so far."""
+
+    def __init__(self, dim: int, k: int, rank_decimals, with_class: bool):
+        self.dim, self.k, self.rank_decimals, self.with_class = dim, k, rank_decimals, with_class
+        self.held: list[tuple] = []
+        self.queries = None
+        self.best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+
+    def add_queries(self, rb) -> None:
+        Q, valid = _to_matrix(rb.column("vec"), self.dim)
+        ids = np.array(rb.column("query_id").to_pylist(), dtype=object)
+        cls = np.array(rb.column("cls").to_pylist(), dtype=object)
+        self.held.append((ids[valid], Q[valid], cls[valid]))
+
+    def add_vectors(self, rb) -> None:
+        if self.queries is None:
+            self.queries = tuple(np.concatenate(x) for x in zip(*self.held)) if self.held else None
+            if self.queries is None:
+                return
+        ids, Q, cls = self.queries
+        V, valid = _to_matrix(rb.column("vec"), self.dim)
+        vids = rb.column("embedding_id").to_numpy(zero_copy_only=False).astype(np.int64)[valid]
+        V = V[valid]
+        if self.with_class:
+            vcls = np.array(rb.column("cls").to_pylist(), dtype=object)[valid]
+            groups = [(V[vcls == c], vids[vcls == c], Q[cls == c], np.flatnonzero(cls == c)) for c in set(cls.tolist())]
+        else:
+            groups = [(V, vids, Q, np.arange(len(Q)))]
+        parts = [[x] for x in self.best]
+        for Vg, vg, Qg, qg in groups:
+            for part, got in zip(parts, _knn_block(Vg, vg, Qg, qg, self.k, self.rank_decimals)):
+                part.extend(got)
+        self.best = list(_topk_pairs(*(np.concatenate(x) for x in parts), self.k))
+
+    def result(self, qid_type) -> pa.RecordBatch | None:
+        if self.queries is None or not len(self.best[0]):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.queries[0][self.best[0]].tolist(), qid_type), pa.array(self.best[1], pa.int64()),
+             pa.array(self.best[2], pa.float64()), pa.array(self.best[3], pa.float64())],
+            names=["query_id", "embedding_id", "dist", "_key"])
+
+
+def _grid_fn(dim: int, k: int, rank_decimals, with_class: bool, qid_type):
+    """Rows arrive ordered by cell, a cell's queries (side 0) before its vectors."""
     def run(batches):
-        q_ids, Q, q_cls = bq.value
-        acc = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64),
-               np.zeros(0), np.zeros(0)]
-        by_class = None
-        if with_class:
-            by_class = {c: np.nonzero(q_cls == c)[0] for c in np.unique(q_cls)}
+        cell, at = None, None
         for rb in batches:
-            vids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            V, valid = _to_matrix(rb.column(1), dim)
-            if not valid.all():
-                V, vids = V[valid], vids[valid]
-            if with_class:
-                vcls = np.asarray(rb.column(2).to_pylist(), dtype=object)[valid]
-                groups = []
-                for c, qidx in by_class.items():
-                    sel = vcls == c
-                    if sel.any():
-                        groups.append((V[sel], vids[sel], Q[qidx], qidx))
-            else:
-                groups = [(V, vids, Q, np.arange(len(Q)))]
-            parts = [[a] for a in acc]
-            for Vg, vg, Qg, qg in groups:
-                got = _knn_block(Vg, vg, Qg, qg, k, rank_decimals)
-                for i in range(4):
-                    parts[i].extend(got[i])
-            merged = [np.concatenate(p) for p in parts]
-            acc = list(_topk_pairs(merged[0], merged[1], merged[2], merged[3], k))
-        if len(acc[0]):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[acc[0]].tolist(), qid_type), pa.array(acc[1], pa.int64()),
-                 pa.array(acc[2], pa.float64()), pa.array(acc[3], pa.float64())],
-                names=["query_id", "embedding_id", "dist", "_key"])
+            key = rb.column("cell").to_numpy(zero_copy_only=False)
+            side = rb.column("side").to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((np.diff(key) != 0) | (np.diff(side) != 0)) + 1
+            for lo, hi in zip([0, *turns], [*turns, len(key)]):
+                if hi == lo:
+                    continue
+                if at != key[lo]:
+                    if cell is not None and (out := cell.result(qid_type)) is not None:
+                        yield out
+                    cell, at = _Cell(dim, k, rank_decimals, with_class), key[lo]
+                (cell.add_vectors if side[lo] else cell.add_queries)(rb.slice(lo, hi - lo))
+        if cell is not None and (out := cell.result(qid_type)) is not None:
+            yield out
     return run
 
 
-def _collect_block(block: DataFrame, dim, with_class):
-    """Bring one bounded query block to the driver as Arrow (no Row objects)."""
-    t = block.toArrow()
-    ids = np.array(t.column(0).to_pylist(), dtype=object)
-    vec = t.column(1).combine_chunks()
-    Q, _ = _to_matrix(vec, dim)
-    cls = np.array(t.column(2).to_pylist(), dtype=object) if with_class else None
-    return ids, Q, cls
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
         vec_id: str = "embedding_id", vec_col: str = "embedding",
         query_id: str = "query_id", query_col: str = "embedding",
         same_class: tuple[str, str] | None = None, rank_decimals: int | None = None,
-        max_block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
+        max_block_bytes: int = MAX_QUERY_BLOCK_BYTES,
+        vector_block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """Exact k nearest vectors by squared L2 for every query row.
 
     Returns ``query_id, embedding_id, dist, rank`` (rank 1..k; fewer rows when
@@ -368,7 +392,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     query_col)`` restricts each query to vectors of its own class (D7).
     ``rank_decimals`` makes distances equal to that many decimals tie (then
     the id decides), which keeps rankings stable across engines.
-    Vectors with a wrong width or null entries are skipped (see D5).
+    Vectors with a wrong width or null, NaN or infinite entries are skipped
+    (see D5), and so are queries with such entries.
     """
     spark = vectors.sparkSession
     with_class = same_class is not None
@@ -377,43 +402,33 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
         qid_sql, qid_arrow = "string", pa.string()
     else:
         qid_sql, qid_arrow = "long", pa.int64()
-    qcols = [F.col(query_id).cast(qid_sql), F.col(query_col)]
+    cls = [F.col(c).cast("string").alias("cls") if with_class else F.lit(None).cast("string").alias("cls")
+           for c in (same_class or ("", ""))]
+    q = queries.select(F.col(query_id).cast(qid_sql).alias("query_id"), F.lit(None).cast("long").alias("embedding_id"),
+                       F.col(query_col).cast("array<double>").alias("vec"), cls[1]).filter("vec IS NOT NULL")
+    v = vectors.select(F.lit(None).cast(qid_sql).alias("query_id"), F.col(vec_id).cast("long").alias("embedding_id"),
+                       F.col(vec_col).cast("array<double>").alias("vec"), cls[0]).filter("vec IS NOT NULL")
     if with_class:
-        qcols.append(F.col(same_class[1]))
-    # The query side is small and read twice (size check, then collection):
-    # keep it for the duration of the collection only.
-    q = queries.select(*qcols).filter(F.col(query_col).isNotNull()).persist()
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_col)).alias("d"),
-                  F.min(F.size(query_col)).alias("d0")).first()
+        q, v = q.filter("cls IS NOT NULL"), v.filter("cls IS NOT NULL")
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.min(F.size("vec")).alias("d0")).first()
     n_q, dim = stats["n"], stats["d"]
-    schema = f"query_id {qid_sql}, embedding_id long, dist double, rank int"
     if not n_q:
-        q.unpersist()
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"query_id {qid_sql}, embedding_id long, dist double, rank int")
     if stats["d0"] != dim:
-        q.unpersist()
         raise ValueError(f"query vectors must all have the same width; saw {stats['d0']}..{dim}")
-    vcols = [F.col(vec_id).cast("long"), F.col(vec_col)]
-    if with_class:
-        vcols.append(F.col(same_class[0]))
-    v = vectors.select(*vcols)
-    rows_per_block = max(1, max_block_bytes // (8 * dim))
-    n_blocks = math.ceil(n_q / rows_per_block)
-    if n_blocks == 1:
-        blocks = [q]
-    else:
-        from .ids import dense_ids
-        numbered = dense_ids(q, [query_id], "_qrow")
-        blocks = [numbered.filter(F.floor(F.col("_qrow") / rows_per_block) == b).drop("_qrow")
-                  for b in range(n_blocks)]
-    sc = spark.sparkContext
-    partial = None
-    for block in blocks:
-        bq = sc.broadcast(_collect_block(block, dim, with_class))
-        fn = _make_partition_fn(bq, dim, k, rank_decimals, with_class, qid_arrow)
-        part = v.mapInArrow(fn, f"query_id {qid_sql}, embedding_id long, dist double, _key double")
-        partial = part if partial is None else partial.unionByName(part)
-    q.unpersist()
+    q_blocks = max(1, math.ceil(n_q * 8 * dim / max_block_bytes))
+    # at least one vector block for each core, so that every core has a cell
+    v_blocks = max(spark.sparkContext.defaultParallelism, math.ceil(v.count() * 8 * dim / vector_block_bytes))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = F.xxhash64("qb", "vb", F.coalesce("cls", F.lit("")))
+    grid = (q.withColumn("qb", block("query_id", q_blocks)).withColumn("vb", every(v_blocks)).withColumn("side", F.lit(0))
+            .unionByName(v.withColumn("qb", every(q_blocks)).withColumn("vb", block("embedding_id", v_blocks))
+                         .withColumn("side", F.lit(1))))
+    rows = (grid.select(cell.alias("cell"), "side", "query_id", "embedding_id", "vec", "cls")
+            .repartition("cell").sortWithinPartitions("cell", "side"))
+    partial = rows.mapInArrow(_grid_fn(dim, k, rank_decimals, with_class, qid_arrow),
+                              f"query_id {qid_sql}, embedding_id long, dist double, _key double")
     w = Window.partitionBy("query_id").orderBy("_key", "embedding_id")
     return (partial.withColumn("rank", F.row_number().over(w))
                    .filter(F.col("rank") <= k)
