@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .code import CODE_TYPE
 from .docs import DOC_TYPE
 
 REQUIRED_KEYS = ("function_name", "file_path", "api_reference")
 SEQ = "_seq"
+#: Free keys of a metadata entry, as ``map<string,string>``.
+EXTRA = "extra"
+METADATA_COLUMNS = (SEQ, *REQUIRED_KEYS, EXTRA)
 
 CODE_FIELDS = ["file_path", "raw_code", "cleaned_code", "docstrings", "entities",
                "function_calls", "imports", "global_variables", "embedding_ids", "type"]
@@ -33,6 +37,9 @@ DOC_FIELDS = ["file_path", "sections", "raw_content", "cleaned_content", "api_re
 
 def _field_match(df: DataFrame, field: str, value) -> Column:
     if field not in df.columns:
+        if EXTRA in df.columns:  # a free key of a metadata entry
+            found = F.col(EXTRA)[field]
+            return found.isNull() if value is None else F.coalesce(found == F.lit(str(value)), F.lit(False))
         # a missing field only matches None
         return F.lit(value is None)
     c = F.col(field)
@@ -176,6 +183,11 @@ def _apply_set(staged: DataFrame, columns: list[str], values: dict) -> DataFrame
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     for k, v in values.items():
         val = v if isinstance(v, Column) else F.lit(v)
+        if k not in columns and EXTRA in columns:  # set a free key of a metadata entry
+            others = F.map_filter(F.coalesce(EXTRA, F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")),
+                                  lambda key, _: key != k)  # noqa: B023
+            out = out.withColumn(EXTRA, F.when(hit, F.map_concat(others, F.create_map(F.lit(k), val.cast("string")))).otherwise(F.col(EXTRA)))
+            continue
         old = F.col(k) if k in columns else F.lit(None)
         out = out.withColumn(k, F.when(hit, val).otherwise(old))
     return out.drop("_hit")
@@ -225,11 +237,58 @@ def validate_metadata(records: DataFrame, record_col: str | None = None) -> Data
     return records.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(lacks).alias("n_invalid"))
 
 
+def metadata_entries(records: DataFrame, record_col: str | None = None) -> DataFrame:
+    """Entries in the stored shape: the required keys as columns, every other
+    key in ``extra`` (a key keeps its null value)."""
+    if record_col is not None:
+        m = F.col(record_col)
+        free = F.map_filter(m, lambda k, _: ~k.isin(*REQUIRED_KEYS))
+        return records.select(*(m[k].alias(k) for k in REQUIRED_KEYS), free.alias(EXTRA))
+    free = [c for c in records.columns if c not in METADATA_COLUMNS]
+    pairs = F.map_from_arrays(F.array(*(F.lit(c) for c in free)), F.array(*(F.col(c).cast("string") for c in free)))
+    extra = pairs if free else F.map_from_arrays(F.array(), F.array())
+    if EXTRA in records.columns:
+        extra = F.map_concat(F.coalesce(EXTRA, F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")),
+                             extra.cast("map<string,string>"))
+    return records.select(*REQUIRED_KEYS, extra.cast("map<string,string>").alias(EXTRA))
+
+
 def insert_metadata(store, name: str, records: DataFrame, record_col: str | None = None) -> int:
     """Append entries only if every one has the three required keys;
-    otherwise nothing is written and ``ValueError`` is raised."""
-    check = validate_metadata(records, record_col).first()
+    otherwise nothing is written and ``ValueError`` is raised.
+
+    Stored rows are ``_seq`` (insertion order, after all rows already there),
+    the required keys, and ``extra`` with every other key. The input is staged
+    once, so what was checked is what is stored."""
+    if record_col is None and (missing := [k for k in REQUIRED_KEYS if k not in records.columns]):
+        n = records.count()
+        if n:
+            raise ValueError(f"{n} metadata entries lack {missing} of {REQUIRED_KEYS}")
+        return 0
+    held = stage(records, "metadata-insert")
+    check = validate_metadata(held, record_col).first()
     if check["n_invalid"]:
         raise ValueError(f"{check['n_invalid']} metadata entries lack one of {REQUIRED_KEYS}")
-    store.append(name, records)
+    last = store.read(name).agg(F.max(SEQ)).first()[0] if store.exists(name) else None
+    entries = metadata_entries(held, record_col)
+    number = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
+    store.append(name, entries.select(number.alias(SEQ), *REQUIRED_KEYS, EXTRA))
     return check["n_entries"]
+
+
+def insert_one(store, name: str, entry: dict[str, str | None]) -> int:
+    """A7 for a single entry."""
+    return insert_metadata(store, name, store.spark.createDataFrame([(entry,)], "record map<string,string>"), "record")
+
+
+def find_everywhere(tables: dict[str, DataFrame], flt=None) -> DataFrame:
+    """F8 over the whole collection: code, documentation and metadata records
+    together, as ``collection, record`` (the record as JSON, null fields left
+    out). An empty filter gives every record; a field that a table lacks only
+    matches None there."""
+    out = None
+    for kind, df in tables.items():
+        found = find(df, flt)
+        part = found.select(F.lit(kind).alias("collection"), F.to_json(F.struct(*found.columns)).alias("record"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -64,6 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + name
 
 
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table of the shared folder and read it back:
+    later plans read only the columns and partitions they need, and the files
+    survive the loss of executors."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    w = df.write
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work on a scan (a Python parse, tokenising whole texts)
     at least one partition per core. Small inputs often arrive as a single

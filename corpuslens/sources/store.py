@@ -1,16 +1,20 @@
-"""Versioned Parquet table store.
+"""Versioned Parquet tables.
 
 Each table lives under ``root/<name>/`` as numbered version folders
-(``v00000001``, ...) plus a one-row ``_current`` pointer written by Spark.
-Rewrites (update, delete, clear) go to a new version and then move the
-pointer, so a job never overwrites the files it is reading; appends add files
-to the current version. Everything goes through Spark readers and writers,
-so ``root`` may be any file system the cluster can reach -- by default a
-folder under ``spark.checkpoint.dir``.
+(``v00000001``, ...). A version becomes current when its entry, a small file
+under ``_versions``, appears by an atomic rename; entries are never changed, and
+the highest one is current, so a crash leaves the table as it was. An entry holds
+the folder, the table's schema and a tag. Rewrites (update, delete, clear) make
+a new folder, so a job never overwrites the files it is reading; appends add
+files to the current one. ``root`` may be any file system the cluster can reach,
+by default a folder under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -22,51 +26,56 @@ class TableStore:
         self.spark = spark
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
 
-    # -- pointer handling ---------------------------------------------------
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    # -- version entries ----------------------------------------------------
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer_row(self, name: str) -> tuple[int, str | None] | None:
-        try:
-            row = self.spark.read.text(self._pointer(name)).first()
-        except Exception:  # noqa: BLE001 - no pointer yet
+    def _entry(self, name: str) -> dict | None:
+        """The current entry; None only where no entry exists. Any failure to
+        list or read raises, so it is never taken for an empty table."""
+        fs, folder = self._fs(f"{self.root}/{name}/_versions")
+        if not fs.exists(folder):
             return None
-        if not row:
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[0].isdigit()]
+        if not numbers:
             return None
-        version, _, tag = row[0].partition("\t")
-        return int(version), (tag or None)
-
-    def _version(self, name: str) -> int | None:
-        got = self._pointer_row(name)
-        return got[0] if got else None
-
-    def _version_path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version:08d}"
-
-    def _set_version(self, name: str, version: int, tag: str | None = None) -> None:
-        value = str(version) if tag is None else f"{version}\t{tag}"
-        self.spark.createDataFrame([(value,)], "value string") \
-            .coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        newest = f"{folder.toString()}/{max(numbers):08d}.json"
+        return json.loads(self.spark.read.text(newest, wholetext=True).first()[0]) | {"number": max(numbers)}
+
+    def _publish(self, name: str, number: int, schema: T.StructType, folder: str, tag: str | None) -> None:
+        text = json.dumps({"folder": folder, "schema": schema.jsonValue(), "tag": tag})
+        path = f"{self.root}/{name}/_versions"
+        fs, hidden = self._fs(f"{path}/.{uuid.uuid4().hex}")
+        out = fs.create(hidden, False)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        if not fs.rename(hidden, self._fs(f"{path}/{number:08d}.json")[1]):
+            raise RuntimeError(f"version {number} of table {name!r} was written by another job")
+
+    def _folder(self, name: str, folder: str) -> str:
+        return f"{self.root}/{name}/{folder}"
 
     # -- public API ---------------------------------------------------------
     def exists(self, name: str) -> bool:
         """the table has been created."""
-        return self._version(name) is not None
+        return self._entry(name) is not None
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """A10: open the table, or an empty one with ``schema`` if absent."""
-        v = self._version(name)
-        if v is None:
+        entry = self._entry(name)
+        if entry is None:
             if schema is None:
                 raise FileNotFoundError(f"table {name!r} does not exist")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self._version_path(name, v))
+        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(self._folder(name, entry["folder"]))
 
     def version_tag(self, name: str) -> str | None:
         """The tag stored with the current version (e.g. the last applied
         batch), or None."""
-        got = self._pointer_row(name)
-        return got[1] if got else None
+        entry = self._entry(name)
+        return entry["tag"] if entry else None
 
     def write(self, name: str, df: DataFrame, sort_by: list[str] | None = None,
               partition_by: list[str] | None = None, tag: str | None = None) -> None:
@@ -75,36 +84,44 @@ class TableStore:
         lays out folders that filters on those columns prune. The new version
         folder is not referenced until the pointer moves, so a retried write
         may overwrite what a failed attempt left there."""
-        v = (self._version(name) or 0) + 1
+        entry = self._entry(name)
+        number = entry["number"] + 1 if entry else 1
+        folder = f"v{number:08d}"
         out = df.sortWithinPartitions(*sort_by) if sort_by else df
         w = out.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(self._version_path(name, v))
-        self._set_version(name, v, tag)
+        w.parquet(self._folder(name, folder))
+        self._publish(name, number, df.schema, folder, tag)
+
+    def _add(self, name: str, df: DataFrame, write) -> None:
+        """Add files to the current folder (or the first one), and an entry
+        with the merged schema where the table is new or gains columns."""
+        entry = self._entry(name)
+        folder = entry["folder"] if entry else "v00000001"
+        old = T.StructType.fromJson(entry["schema"]) if entry else T.StructType([])
+        types = {f.name: f.dataType for f in old}
+        for f in df.schema:
+            if types.get(f.name, f.dataType).simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name!r} of table {name!r} is {types[f.name].simpleString()}")
+        write(self._folder(name, folder))
+        new = [f for f in df.schema if f.name not in types]
+        if new or entry is None:
+            self._publish(name, entry["number"] + 1 if entry else 1, T.StructType([*old, *new]), folder,
+                          entry["tag"] if entry else None)
 
     def put_partitions(self, name: str, df: DataFrame, partition_by: list[str]) -> None:
         """Write ``df`` into the current version, replacing exactly the
         partitions it contains (dynamic partition overwrite): writing the same
         batch twice leaves one copy, so a replayed micro-batch is harmless."""
-        v = self._version(name)
-        created = v is None
-        v = 1 if created else v
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(*partition_by).parquet(self._version_path(name, v)))
-        if created:
-            self._set_version(name, v)
+        self._add(name, df, df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy(*partition_by).parquet)
 
     def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """Add rows to the current version (creating the table)."""
-        v = self._version(name)
-        if v is None:
-            self.write(name, df, partition_by=partition_by)
-            return
+        """Add rows to the current version (creating the table);
+        columns that the table lacks are added to it."""
         w = df.write.mode("append")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(self._version_path(name, v))
+        self._add(name, df, (w.partitionBy(*partition_by) if partition_by else w).parquet)
 
     def clear(self, name: str, schema: T.StructType) -> None:
         """A new, empty version with the declared schema."""

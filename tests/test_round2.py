@@ -75,3 +75,55 @@ FULL = '{"functions": ["f"], "modules": [], "classification": "Code-related"}'
 def test_reply_is_one_json_object(spark, reply, usable):
     df = spark.createDataFrame([(reply,)], "r string")
     assert df.select(F.coalesce(Q._json_object(F.col("r")), F.lit(False))).first()[0] == usable
+
+
+def test_failed_entry_read_never_writes(spark, tmp_path, monkeypatch):
+    from corpuslens.sources.store import TableStore
+    st = TableStore(spark, str(tmp_path / "s"))
+    two = spark.createDataFrame([(1,), (2,)], "x int")
+    st.write("t", two)
+    entry = tmp_path / "s" / "t" / "_versions" / "00000001.json"
+    kept = entry.read_text()
+    entry.write_text("{broken")
+    (entry.parent / f".{entry.name}.crc").unlink(missing_ok=True)
+    for act in (lambda: st.append("t", two), lambda: st.write("t", two), lambda: st.read("t"), lambda: st.exists("t")):
+        with pytest.raises(Exception):
+            act()
+    entry.write_text(kept)
+    assert st.read("t").count() == 2
+    with pytest.raises(RuntimeError):  # two writers of one version: the second fails
+        st._publish("t", 1, two.schema, "v00000001", None)
+
+
+def test_append_adds_columns_and_refuses_other_types(spark, tmp_path):
+    from corpuslens.sources.store import TableStore
+    st = TableStore(spark, str(tmp_path / "s"))
+    st.append("t", spark.createDataFrame([(1,)], "x int"))
+    st.append("t", spark.createDataFrame([(2, "y")], "x int, more string"))
+    st.append("t", spark.createDataFrame([(3,)], "x int"))
+    assert sorted(tuple(r) for r in st.read("t").collect()) == [(1, None), (2, "y"), (3, None)]
+    with pytest.raises(ValueError):
+        st.append("t", spark.createDataFrame([("z",)], "x string"))
+
+
+def test_metadata_insert_find_update_delete(spark, tmp_path):
+    from corpuslens.operators import metadata as M
+    from corpuslens.sources.store import TableStore
+    st = TableStore(spark, str(tmp_path / "m"))
+    rows = spark.createDataFrame([("f", "p.py", "api", 3), ("g", "p.py", None, 4)],
+                                 "function_name string, file_path string, api_reference string, size int")
+    assert M.insert_metadata(st, "metadata", rows.coalesce(1)) == 2
+    assert M.insert_one(st, "metadata", {"function_name": "h", "file_path": "q.py", "api_reference": "x", "owner": "me"}) == 1
+    with pytest.raises(ValueError):
+        M.insert_metadata(st, "metadata", rows.drop("file_path"))
+    df = st.read("metadata")
+    assert df.columns == ["_seq", "function_name", "file_path", "api_reference", "extra"]
+    assert M.find_one(df, {"file_path": "p.py"}).first().function_name == "f"
+    assert M.find_one(df, {"owner": "me"}).first().function_name == "h"
+    assert M.count(df, {"owner": None}) == 2 and M.count(df, {"size": 4}) == 1
+    st.write("metadata", M.update(df, {"file_path": "p.py"}, {"api_reference": "new", "owner": "you"}))
+    got = {r.function_name: (r.api_reference, r.extra) for r in st.read("metadata").collect()}
+    assert got["f"] == ("new", {"size": "3", "owner": "you"}) and got["g"] == (None, {"size": "4"})
+    assert sorted(r.function_name for r in M.delete(st.read("metadata"), {"owner": "you"}).collect()) == ["g", "h"]
+    everything = M.find_everywhere({"metadata": df, "other": rows})
+    assert everything.count() == 5 and M.find_everywhere({"metadata": df, "other": rows}, {"size": 4}).count() == 2
