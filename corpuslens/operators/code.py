@@ -193,15 +193,18 @@ def docstrings_of(entities) -> Column:
 
 
 def parse_code(files: DataFrame, path_col: str = "file_path", text_col: str = "raw_code",
-               clean: bool = False):
+               clean: bool = False, keep=None):
     """One ``CodeFile`` record per parsable file.
 
     Returns ``(code_files, quarantine)``; files that fail to parse go to
     ``quarantine(file_path, error)``. ``clean=True`` fills ``cleaned_code``
-    with the B10 cleaning (the reference leaves it null).
+    with the B10 cleaning (the reference leaves it null). ``keep`` may stage
+    the parsed rows, so that both results come from a single parse.
     """
     src = spread(files.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("raw_code")))
     parsed = src.mapInArrow(_parse_batches, PARSED)
+    if keep is not None:
+        parsed = keep(parsed)
     good = parsed.filter(F.col("error").isNull())
     code = good.select(
         "file_path", "entities", "raw_code",

@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 
 from .code import calls as explode_calls
 from .code import entities as explode_entities
+from .lookup import probe
 
+ORD_SCHEMA = T.StructType([T.StructField("f", T.StringType()), T.StructField("p", T.IntegerType()),
+                           T.StructField("s", T.IntegerType())])
 NODE_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -36,6 +39,8 @@ NODE_SCHEMA = T.StructType([
     T.StructField("docstring", T.StringType()),
     T.StructField("decorators", T.ArrayType(T.StringType())),
     T.StructField("parents", T.ArrayType(T.StringType())),
+    T.StructField("first_ord", ORD_SCHEMA),
+    T.StructField("last_call_ord", ORD_SCHEMA),
 ])
 EDGE_SCHEMA = T.StructType([
     T.StructField("src", T.StringType()),
@@ -44,6 +49,13 @@ EDGE_SCHEMA = T.StructType([
     T.StructField("first_file", T.StringType()),
     T.StructField("first_seq", T.IntegerType()),
 ])
+SITE_SCHEMA = T.StructType([
+    T.StructField("src", T.StringType()),
+    T.StructField("dst", T.StringType()),
+    T.StructField("file_path", T.StringType()),
+    T.StructField("line_number", T.IntegerType()),
+    T.StructField("ord", ORD_SCHEMA),
+])
 
 
 def _ord(file_path: Column, phase: int, seq: Column) -> Column:
@@ -175,18 +187,15 @@ def callers(edges: DataFrame, nodes: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def _neighbours(edges, nodes, probes, on, other, out):
-    known = probes.select("name").join(nodes.select("name", F.lit(True).alias("known")),
-                                       "name", "left")
     e = edges.select(F.col(on).alias("name"), F.col(other).alias(out), "first_file", "first_seq")
-    return (known.withColumn("known", F.coalesce("known", F.lit(False)))
-                 .join(e, "name", "left"))
+    return probe(exists(nodes, probes).withColumnRenamed("exists", "known"), e, ["name"])
 
 
 def exists(nodes: DataFrame, probes: DataFrame) -> DataFrame:
     """``name, exists`` for each probe."""
     flag = nodes.select("name", F.lit(True).alias("exists"))
-    return probes.select("name").join(flag, "name", "left") \
-                 .withColumn("exists", F.coalesce("exists", F.lit(False)))
+    return probe(probes.select("name"), flag, ["name"]) \
+        .withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
 def existing(nodes: DataFrame, probes: DataFrame) -> DataFrame:
@@ -196,7 +205,7 @@ def existing(nodes: DataFrame, probes: DataFrame) -> DataFrame:
 
 def node_file(nodes: DataFrame, probes: DataFrame) -> DataFrame:
     """File of each probe name (null when unknown)."""
-    return probes.select("name").join(nodes.select("name", "file_path"), "name", "left")
+    return probe(probes.select("name"), nodes.select("name", "file_path"), ["name"])
 
 
 def call_lines(sites: DataFrame, edges: DataFrame, pairs: DataFrame,
@@ -208,8 +217,7 @@ def call_lines(sites: DataFrame, edges: DataFrame, pairs: DataFrame,
     written lookup, which reads a key that is never stored: an existing edge
     then reports no lines.
     """
-    flagged = pairs.select("src", "dst").join(
-        edges.select("src", "dst", F.lit(True).alias("has_edge")), ["src", "dst"], "left") \
+    flagged = probe(pairs.select("src", "dst"), edges.select("src", "dst", F.lit(True).alias("has_edge")), ["src", "dst"]) \
         .withColumn("has_edge", F.coalesce("has_edge", F.lit(False)))
     if strict:
         return flagged.select("src", "dst", "has_edge",
@@ -217,7 +225,7 @@ def call_lines(sites: DataFrame, edges: DataFrame, pairs: DataFrame,
                               F.lit(None).cast("string").alias("file_path"),
                               F.lit(None).cast("int").alias("seq"))
     s = sites.select("src", "dst", "line_number", "file_path", F.col("ord.s").alias("seq"))
-    return flagged.join(s, ["src", "dst"], "left")
+    return probe(flagged, s, ["src", "dst"])
 
 
 def all_nodes(nodes: DataFrame) -> DataFrame:
@@ -231,8 +239,9 @@ def all_edges(edges: DataFrame) -> DataFrame:
 
 
 def empty_graph(spark):
-    """An empty graph with the declared schemas."""
-    return spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA)
+    """An empty graph ``(nodes, edges, edge_calls)``, the shape of
+    ``build_graph``, into which later batches can be merged."""
+    return tuple(spark.createDataFrame([], s) for s in (NODE_SCHEMA, EDGE_SCHEMA, SITE_SCHEMA))
 
 
 class CodeGraph:

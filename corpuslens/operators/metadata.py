@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..session import stage
 from .code import CODE_TYPE
 from .docs import DOC_TYPE
+from .lookup import probe
 
 REQUIRED_KEYS = ("function_name", "file_path", "api_reference")
 SEQ = "_seq"
@@ -112,9 +113,10 @@ def by_path(records: DataFrame, paths: DataFrame, fields: list[str] | None = Non
     ``_seq`` when present (find_one semantics)."""
     rec = records
     if SEQ in rec.columns:
-        rec = find_first_per(rec, ["file_path"])
+        wanted = rec.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+        rec = find_first_per(wanted, ["file_path"])
     cols = ["file_path"] + [c for c in (fields or rec.columns) if c not in ("file_path", SEQ)]
-    return paths.select("file_path").join(rec.select(*cols), "file_path", "left")
+    return probe(paths.select("file_path"), rec.select(*cols), ["file_path"])
 
 
 def code_by_embedding_id(code_files: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,13 +125,12 @@ def code_by_embedding_id(code_files: DataFrame, ids: DataFrame) -> DataFrame:
     Scales as an equi-join on the exploded ids rather than an
     ``array_contains`` scan per probe."""
     owner = code_files.select(F.explode("embedding_ids").alias("embedding_id"), "file_path")
-    return ids.select("embedding_id").join(owner, "embedding_id", "left")
+    return probe(ids.select("embedding_id"), owner, ["embedding_id"])
 
 
 def doc_by_embedding_id(doc_files: DataFrame, ids: DataFrame) -> DataFrame:
     """Documentation record with that scalar id."""
-    return ids.select("embedding_id").join(
-        doc_files.select("embedding_id", "file_path"), "embedding_id", "left")
+    return probe(ids.select("embedding_id"), doc_files.select("embedding_id", "file_path"), ["embedding_id"])
 
 
 def with_defaults(code_files: DataFrame) -> DataFrame:

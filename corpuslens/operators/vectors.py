@@ -93,16 +93,21 @@ class HashedEmbedder:
         return F.transform(t, lambda x: F.pmod(
             F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"), F.lit(self.dim)))
 
-    def embed_tokens(self, df: DataFrame, tokens_col: str, out_col: str = "embedding") -> DataFrame:
-        staged = df.withColumn("_buckets", self.buckets(F.col(tokens_col)))
-        out_schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
+    def embed_tokens(self, df: DataFrame, tokens_col: str, out_col: str = "embedding",
+                     keys: list[str] | None = None) -> DataFrame:
+        """``keys``: the columns to keep (all by default); naming them spares
+        the others, texts above all, the way to Python and back."""
+        kept = df.columns if keys is None else keys
+        staged = df.select(*kept, self.buckets(F.col(tokens_col)).alias("_buckets"))
+        out_schema = T.StructType([f for f in staged.schema.fields if f.name not in (out_col, "_buckets")]
                                   + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
         return staged.mapInArrow(_bucket_counts_fn(self.dim, out_col, list(out_schema.names)),
                                  out_schema)
 
-    def embed_text(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+    def embed_text(self, df: DataFrame, text_col: str, out_col: str = "embedding",
+                   keys: list[str] | None = None) -> DataFrame:
         staged = df.withColumn("_tokens", tokenize(F.col(text_col)))
-        return self.embed_tokens(staged, "_tokens", out_col).drop("_tokens")
+        return self.embed_tokens(staged, "_tokens", out_col, df.columns if keys is None else keys)
 
 
 def _bucket_counts_fn(dim: int, out_col: str, names: list[str]):

@@ -90,7 +90,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint ``df`` into the shared checkpoint folder (set up on
-    first use if the session has none, as in ``checkpoint_dir``)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``stage`` for an intermediate result without a name of its own."""
+    return stage(df, "intermediate")
