@@ -129,14 +129,16 @@ def _sets(size: int):
 def _centers(rows: DataFrame) -> DataFrame:
     """One centre a bucket, the least member in an order drawn for the bucket."""
     turn = F.xxhash64("key", "cid")
-    return rows.groupBy("key").agg(F.min_by("cid", turn).alias("a"), F.min_by("n", turn).alias("na"),
-                                   F.min_by("comp", turn).alias("ca"))
+    heads = rows.groupBy("key").agg(F.min_by("cid", turn).alias("a"), F.min_by("n", turn).alias("na"),
+                                    F.min_by("comp", turn).alias("ca"))
+    return hinted(staged(heads, "dup-centers"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of buckets whose members lie in two components or more."""
+    """Rows of buckets whose members lie in two components or more. Their keys
+    are a table of its own, so a bucket of many rows can be split in the join."""
     live = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return rows.join(live.select("key"), "key")
+    return rows.join(hinted(staged(live.select("key"), "dup-open")), "key")
 
 
 def _rest(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -146,7 +148,7 @@ def _rest(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     blocks (and each block with itself) make a tile, a group of bounded size
     that is decided by one sparse product of its sets. A tile returns links
     that span its components, fewer than its members."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("g"))
+    blocks = hinted(staged(rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("g")), "dup-blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("g")).cast("int")
     dealt = (rows.join(blocks, "key").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
