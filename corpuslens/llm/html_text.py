@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import schema_with
+from .staging import arrow_map, schema_with
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -304,4 +304,4 @@ def main_text(pages: DataFrame, markup: str = "html") -> DataFrame:
     """
     rest = [F.col(f"`{c}`") for c in pages.columns if c != markup]
     src = pages.select(F.struct(*rest).alias("row"), F.col(f"`{markup}`").cast("string").alias("_html"))
-    return src.mapInArrow(_extracted(trained_tree()), schema_with([src.schema["row"]], "text string"))
+    return arrow_map(src, _extracted(trained_tree()), schema_with([src.schema["row"]], "text string"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import schema_with
+from .staging import arrow_map, schema_with
 from .words import Chunk, chunks
 
 BUCKETS = 1 << 18
@@ -161,8 +161,8 @@ def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs(lang, text)``; rows with a null lang or
     text add nothing. Tasks count n-grams of their texts and Spark adds the
     counts, so only the model (of fixed size for each language) is collected."""
-    rows = (docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-            .mapInArrow(_counts, "lang string, slot long, n long")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    rows = (arrow_map(known, _counts, "lang string, slot long, n long")
             .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow())
     lang = np.array(rows["lang"].to_pylist(), object)
     langs = sorted(set(lang))
@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     row = [F.col(f"`{c}`") for c in docs.columns]
     src = docs.select(F.struct(*row).alias("row"), F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return src.mapInArrow(_identify(shared), schema_with(
+    return arrow_map(src, _identify(shared), schema_with(
         [src.schema["row"]], "lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>"))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import connected_components
-from .staging import hinted, staged
+from .staging import arrow_map, hinted, staged
 from .words import chunks, find_words, hash_ranges, mix64
 
 BINS, ROWS = 128, 4
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     kept. Other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = staged(texts.mapInArrow(_signatures(shingle), _SIG_SCHEMA), "dup-signatures")
+    sigs = staged(arrow_map(texts, _signatures(shingle), _SIG_SCHEMA), "dup-signatures")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     classes = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     rows = staged(_open(rows), "dup-buckets")
 
     wanted = hinted(staged(rows.select(F.col("cid").alias("doc_id")).distinct(), "dup-wanted"))
-    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), _SET_SCHEMA), "dup-sets")
+    sets = staged(arrow_map(texts.join(wanted, "doc_id", "left_semi"), _sets(shingle), _SET_SCHEMA), "dup-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))

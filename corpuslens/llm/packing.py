@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .memo import UnitMemo
-from .staging import schema_with, staged
+from .staging import arrow_map, schema_with, staged
 
 #: Multiplicative weights: fall of a weight as its length is covered once, lead
 #: in coverage from which a length has no value, coverage of one step, and steps.
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, closing: int
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     src = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").alias("_text"))
-    out = src.mapInArrow(_pieces(path, capacity, closing), schema_with(
+    out = arrow_map(src, _pieces(path, capacity, closing), schema_with(
         [src.schema["row"]], "piece int, start long, length long, ids_crc32 long, part int, nth long"))
     return staged(out, "pack-pieces")
 
@@ -279,7 +279,7 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("base"))
-    return ranked.mapInArrow(_placed(Places(plan(histogram, capacity))), schema_with(
+    return arrow_map(ranked, _placed(Places(plan(histogram, capacity))), schema_with(
         [pieces.schema["row"]], "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 

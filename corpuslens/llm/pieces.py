@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memo import UnitMemo
-from .staging import schema_with
+from .staging import arrow_map, schema_with
 
 SPACE = "▁"
 #: Token pairs remembered by a Python worker before it starts afresh.
@@ -256,11 +256,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     gives no rows."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     src = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").alias("_text"))
-    return src.mapInArrow(_encoded(path), schema_with([src.schema["row"]], "ids array<int>"))
+    return arrow_map(src, _encoded(path), schema_with([src.schema["row"]], "ids array<int>"))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows(row, ids)`` of ``encode`` with their decoded ``text``; null ids
     are no ids, whose text is empty."""
     src = rows.select("row", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return src.mapInArrow(_decoded(path), schema_with([src.schema["row"]], "ids array<int>, text string"))
+    return arrow_map(src, _decoded(path), schema_with([src.schema["row"]], "ids array<int>, text string"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import schema_with, staged
+from .staging import arrow_map, schema_with, staged
 from .words import Chunk, chunks, find_words, hash_ranges, mix64
 
 #: Per rate, the distance in per mille beyond the spread that is still ordinary.
@@ -119,7 +119,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     rates: whole texts, null as empty, read by one narrow task a partition."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     src = docs.select(F.struct(*rest).alias("doc"), F.col(text).cast("string").alias("_text"))
-    return src.mapInArrow(_measured, schema_with([src.schema["doc"]], ", ".join(f"{k} long" for k in _ALL)))
+    return arrow_map(src, _measured, schema_with([src.schema["doc"]], ", ".join(f"{k} long" for k in _ALL)))
 
 
 def base_failed() -> Column:

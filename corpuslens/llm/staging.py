@@ -47,6 +47,20 @@ def hinted(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
 
 
+#: Bytes of the Arrow batches that Python tasks are handed.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes: Spark's own bound is a
+    number of rows, which says little of long texts. The session's setting is
+    left alone where it has one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def schema_with(kept: list[T.StructField], added: str) -> T.StructType:
     """Result schema of a ``mapInArrow``: fields kept as they are (of any name)
     and the fields of a DDL string."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import schema_with
+from .staging import arrow_map, schema_with
 
 ORDERS = 5
 #: Hashed contexts of a model, and kinds of characters.
@@ -153,7 +153,7 @@ class UrlModels:
 def train(urls: DataFrame) -> UrlModels:
     """Models of all rows of ``urls(url, accepted)``: tasks count, Spark adds up,
     and the table of fixed size is collected."""
-    got = (urls.select("url", "accepted").mapInArrow(_counts, "accepted boolean, slot long, n long")
+    got = (arrow_map(urls.select("url", "accepted"), _counts, "accepted boolean, slot long, n long")
            .groupBy("accepted", "slot").agg(F.sum("n").alias("n")).toArrow())
     return UrlModels(got["slot"].to_numpy(), np.array(got["accepted"].to_pylist(), bool), got["n"].to_numpy())
 
@@ -169,7 +169,7 @@ def scored(urls: DataFrame, models: UrlModels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("url")))],
                                                  [*part.schema.names, "score"])
 
-    return urls.mapInArrow(run, schema_with(urls.schema.fields, "score double"))
+    return arrow_map(urls, run, schema_with(urls.schema.fields, "score double"))
 
 
 def threshold(labelled: DataFrame) -> float:
