@@ -237,10 +237,21 @@ def _json_str_list(arr: Column) -> Column:
         F.concat(F.lit("[\n    "), F.array_join(esc, ",\n    "), F.lit("\n  ]")))
 
 
+def prompt_context(code_files: DataFrame) -> DataFrame:
+    """G11's name context, whole: every known function and class name with how
+    often it occurs, numbered in order of type and name (``pos, type, name, n``).
+
+    It is the same for every question, so it is one table, written once, to which
+    all prompts of a batch refer, rather than a copy in each prompt."""
+    from .ids import dense_ids
+    return dense_ids(known_names(code_files), ["type", "name"], "pos").select("pos", "type", "name", "n")
+
+
 def extraction_prompts(queries: DataFrame, code_files: DataFrame) -> DataFrame:
     """The extraction prompt per query.
 
-    Re-aimed for scale: the name context holds the distinct known names that
+    Every known name stands in ``prompt_context``; a prompt repeats from it
+    what its question mentions: its context holds the distinct known names that
     occur as words of the query (a distributed join of query words against
     the name table), not every name of the corpus with repeats, so no prompt
     grows with the corpus and nothing passes through the driver."""
