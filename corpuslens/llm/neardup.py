@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     sigs = staged(arrow_map(texts, _signatures(shingle), _SIG_SCHEMA), "dup-signatures")
     real = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    classes = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so the copies of one text can be split in the join
+    classes = staged(real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "dup-classes")
     members = staged(real.join(classes, ["n_shingles", "s1", "s2"]).select(
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")),
         "dup-members")
