@@ -38,7 +38,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a key table (a few longs each) up to which it is sent to all tasks.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 250_000
 
 
 def hinted(keys: DataFrame) -> DataFrame:
