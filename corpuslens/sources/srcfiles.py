@@ -4,9 +4,10 @@
 
 Listing is shared between the driver and the executors. The driver walks
 the tree breadth-first only until it holds ``listingPartitions`` directories
-(or has listed ``driverListLimit`` entries); each of those directories becomes
-``shardsPerDirectory`` partitions whose executors list its subtree and read
-the files whose path hash falls in their shard, and the files
+(or has listed ``driverListLimit`` entries); those directories are dealt into at
+most ``listingPartitions`` partitions, whose executors list the subtrees. Few
+directories are each split over up to ``shardsPerDirectory`` partitions, which
+read the files whose path hash falls in their shard. The files
 the driver met on the way are grouped into partitions of about
 ``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files). So the
 driver never holds the path list of a large tree. Names
@@ -23,7 +24,9 @@ quarantine table instead of stopping the job.
 
 from __future__ import annotations
 
+import json
 import logging
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,20 +67,6 @@ def list_files(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[str, int]
     return sorted(out)
 
 
-def list_files_by_age(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[str, int]]:
-    """Matching files ordered by (modification time, path): in an append-only
-    tree new files sort after the ones already seen."""
-    import pyarrow.fs as pafs
-    fs, base = _fs_and_path(root)
-    if fs.get_file_info(base).type == pafs.FileType.NotFound:
-        return []
-    found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
-    keep = [f for f in found
-            if f.type == pafs.FileType.File and any(f.base_name.endswith(e) for e in extensions)]
-    keep.sort(key=lambda f: (f.mtime_ns or 0, f.path))
-    return [(f.path, f.size or 0) for f in keep]
-
-
 def _matches(info, extensions) -> bool:
     import pyarrow.fs as pafs
     return info.type == pafs.FileType.File and any(info.base_name.endswith(e) for e in extensions)
@@ -96,7 +85,10 @@ def expand_tree(root: str, extensions, want_dirs: int, max_entries: int):
     files, dirs, listed = [], [base], 0
     while dirs and len(dirs) < want_dirs and listed < max_entries:
         deeper = []
-        for d in dirs:
+        for n, d in enumerate(dirs):
+            if listed >= max_entries:  # the rest of this level is left to the executors
+                deeper.extend(dirs[n:])
+                break
             for info in fs.get_file_info(pafs.FileSelector(d, recursive=False)):
                 listed += 1
                 if info.type == pafs.FileType.Directory:
@@ -126,10 +118,10 @@ def _read_slice(partition):
     import pyarrow.fs as pafs
     fs, _ = _fs_and_path(partition.root)
     paths = partition.paths
-    if partition.subtree is not None:
+    for subtree in partition.subtrees:
         # executor side: list this directory's whole subtree
-        found = fs.get_file_info(pafs.FileSelector(partition.subtree, recursive=True))
-        paths = sorted(f.path for f in found if _matches(f, partition.extensions))
+        found = fs.get_file_info(pafs.FileSelector(subtree, recursive=True))
+        paths = paths + sorted(f.path for f in found if _matches(f, partition.extensions))
     if partition.shards > 1:
         paths = [p for p in paths if zlib.crc32(p.encode()) % partition.shards == partition.shard]
     for path in paths:
@@ -139,12 +131,12 @@ def _read_slice(partition):
 
 
 class _Slice(InputPartition):
-    def __init__(self, root: str, paths: list[str], subtree: str | None = None,
+    def __init__(self, root: str, paths: list[str], subtrees: tuple[str, ...] = (),
                  extensions=DEFAULT_EXTENSIONS, shard: int = 0, shards: int = 1):
-        super().__init__((subtree, shard) if subtree else paths)
+        super().__init__((subtrees, shard) if subtrees else paths)
         self.root = root
         self.paths = paths
-        self.subtree = subtree
+        self.subtrees = tuple(subtrees)
         self.extensions = tuple(extensions)
         self.shard, self.shards = shard, shards
 
@@ -165,11 +157,12 @@ class SourceFilesReader(DataSourceReader):
             return [_Slice("", [])]
         files, dirs = expand_tree(self.root, self.extensions, self.want_dirs, self.max_entries)
         parts = _slices(self.root, files, self.target, self.max_files)
-        # a directory may hold a large share of the tree: split its files
-        # over several tasks by a stable hash of the path
-        parts += [_Slice(self.root, [], subtree=d, extensions=self.extensions, shard=k,
-                         shards=self.shards)
-                  for d in dirs for k in range(self.shards)]
+        # a directory may hold a large share of the tree: where there are few,
+        # split their files over several tasks by a stable hash of the path
+        shards = max(1, min(self.shards, self.want_dirs // max(len(dirs), 1)))
+        groups = [dirs[k::self.want_dirs] for k in range(min(len(dirs), self.want_dirs))]
+        parts += [_Slice(self.root, [], subtrees=g, extensions=self.extensions, shard=k, shards=shards)
+                  for g in groups for k in range(shards)]
         return parts or [_Slice(self.root, [])]
 
     def read(self, partition):
@@ -177,8 +170,14 @@ class SourceFilesReader(DataSourceReader):
 
 
 class SourceFilesStreamReader(DataSourceStreamReader):
-    """Micro-batches of files added to the tree; the offset is the number of
-    files seen in (modification time, path) order."""
+    """Micro-batches of files added to the tree.
+
+    Arrivals are known by path, not by time: each look at the tree that finds
+    new paths writes them as the next entry of a log (option ``arrivalLog``, a
+    folder outside the tree, such as one below the query's checkpoint), and the
+    offset is the number of entries. So a file is delivered exactly once whatever
+    its modification time, and a replayed batch holds the same files. Entries
+    appear by a rename and are never changed."""
 
     def __init__(self, options):
         self.root = options.get("path")
@@ -186,16 +185,41 @@ class SourceFilesStreamReader(DataSourceStreamReader):
         self.extensions = tuple(exts.split(",")) if exts else DEFAULT_EXTENSIONS
         self.target = int(options.get("partitionBytes", 32 << 20))
         self.max_files = int(options.get("maxFilesPerPartition", 1024))
+        self.log = options.get("arrivalLog")
+        if not self.log:
+            raise ValueError("streaming from srcfiles needs the option arrivalLog")
+
+    def _entries(self):
+        import pyarrow.fs as pafs
+        fs, base = _fs_and_path(self.log)
+        fs.create_dir(base, recursive=True)
+        return fs, base, sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".json"))
+
+    def _files(self, fs, paths) -> list[tuple[str, int]]:
+        out = []
+        for p in paths:
+            with fs.open_input_stream(p) as fh:
+                out.extend(tuple(x) for x in json.loads(fh.read()))
+        return out
 
     def initialOffset(self):
-        return {"seen": 0}
+        return {"entry": 0}
 
     def latestOffset(self):
-        return {"seen": len(list_files_by_age(self.root, self.extensions))}
+        fs, base, entries = self._entries()
+        known = {p for p, _ in self._files(fs, entries)}
+        new = [f for f in list_files(self.root, self.extensions) if f[0] not in known]
+        if not new:
+            return {"entry": len(entries)}
+        hidden, number = f"{base}/{uuid.uuid4().hex}.tmp", len(entries) + 1
+        with fs.open_output_stream(hidden) as fh:
+            fh.write(json.dumps(new).encode())
+        fs.move(hidden, f"{base}/{number:08d}.json")
+        return {"entry": number}
 
     def partitions(self, start, end):
-        files = list_files_by_age(self.root, self.extensions)[start["seen"]:end["seen"]]
-        return _slices(self.root, files, self.target, self.max_files)
+        fs, _, entries = self._entries()
+        return _slices(self.root, self._files(fs, entries[start["entry"]:end["entry"]]), self.target, self.max_files)
 
     def read(self, partition):
         return _read_slice(partition)

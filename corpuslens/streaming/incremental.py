@@ -74,7 +74,8 @@ def start_incremental_ingest(spark: SparkSession, root: str, store: TableStore,
     """
     register(spark)
     stream = (spark.readStream.format("srcfiles")
-              .option("extensions", ",".join(extensions)).load(root))
+              .option("extensions", ",".join(extensions))
+              .option("arrivalLog", checkpoint_location.rstrip("/") + "/arrivals").load(root))
     writer = (stream.writeStream
               .foreachBatch(lambda df, epoch: apply_batch(store, df, epoch, embedder))
               .option("checkpointLocation", checkpoint_location))

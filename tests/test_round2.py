@@ -127,3 +127,30 @@ def test_metadata_insert_find_update_delete(spark, tmp_path):
     assert sorted(r.function_name for r in M.delete(st.read("metadata"), {"owner": "you"}).collect()) == ["g", "h"]
     everything = M.find_everywhere({"metadata": df, "other": rows})
     assert everything.count() == 5 and M.find_everywhere({"metadata": df, "other": rows}, {"size": 4}).count() == 2
+
+
+def test_late_file_with_an_old_time_is_read_once(spark, tmp_path):
+    import os
+    from corpuslens.sources.store import TableStore
+    from corpuslens.streaming import start_incremental_ingest
+    tree, store, ckpt = tmp_path / "tree", TableStore(spark, str(tmp_path / "store")), str(tmp_path / "ckpt")
+    tree.mkdir()
+    for round_, name in enumerate(["m.py", "z.py", "a.py"]):
+        (tree / name).write_text("def f(): pass\n")
+        os.utime(tree / name, (1_000_000 - round_, 1_000_000 - round_))  # each older than those before
+        start_incremental_ingest(spark, str(tree), store, ckpt).awaitTermination()
+    got = sorted(r.file_path.rsplit("/", 1)[1] for r in store.read("code_files").collect())
+    assert got == ["a.py", "m.py", "z.py"]
+
+
+def test_many_small_directories_make_few_tasks(spark, tmp_path):
+    from corpuslens.sources import srcfiles
+    for k in range(1000):
+        (tmp_path / f"d{k:04d}").mkdir()
+        (tmp_path / f"d{k:04d}" / "m.py").write_text("x = 1\n")
+    reader = srcfiles.SourceFilesReader({"path": str(tmp_path), "listingPartitions": "50"})
+    parts = reader.partitions()
+    assert len(parts) <= 50
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(str(p) for p in tmp_path.glob("*/m.py"))
+    files, dirs = srcfiles.expand_tree(str(tmp_path), (".py",), 10_000, 1100)
+    assert len(files) <= 150 and len(files) + len(dirs) == 1000  # the budget holds within a level
