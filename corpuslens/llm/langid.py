@@ -164,11 +164,13 @@ def train(docs: DataFrame) -> Model:
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     rows = (arrow_map(known, _counts, "lang string, slot long, n long")
             .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow())
-    lang = np.array(rows["lang"].to_pylist(), object)
-    langs = sorted(set(lang))
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    langs = sorted(found)
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
-    column = {x: k for k, x in enumerate(langs)}
-    n[rows["slot"].to_numpy(), np.array([column[x] for x in lang], np.int64)] = rows["n"].to_numpy()
+    if langs:
+        column = np.array([langs.index(x) for x in found])
+        n[rows["slot"].to_numpy(), column[coded.indices.to_numpy()]] = rows["n"].to_numpy()
     grams, scripts = n[:BUCKETS], n[BUCKETS:]
     logp = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
