@@ -184,19 +184,19 @@ def by_embedding_id(spark, sf):
 @register("by_path", with_ctes(MD_PAGES_SQL, PY_PARTS_SQL) + """,
 probes AS (SELECT file_path FROM py_parts UNION ALL SELECT file_path FROM md_pages
            UNION ALL SELECT 'missing/' || file_path FROM py_parts)
-SELECT p.file_path, length(c.raw_code) AS code_chars, d.n_sections
+SELECT p.file_path, length(c.raw_code) AS code_chars, md5(c.raw_code) AS code_md5, d.n_sections
 FROM probes p LEFT JOIN py_parts c ON c.file_path = p.file_path
 LEFT JOIN (SELECT file_path, CAST(len(regexp_extract_all(raw_content, '(?m)^(#{1,6})\\s+(.+?)$', 2))
                   AS INTEGER) AS n_sections FROM md_pages) d ON d.file_path = p.file_path""")
 def by_path(spark, sf):
     """record lookups by path for every file and as many unknown paths."""
-    code, _ = C.parse_code(py_parts(spark, sf))
+    code, _ = C.parse_code(py_parts(spark, sf), keep=materialize)
     docs, _ = D.parse_docs(md_pages(spark, sf))
     probes = code.select("file_path").unionByName(docs.select("file_path")).unionByName(
         code.select(F.concat(F.lit("missing/"), "file_path").alias("file_path")))
     c = M.by_path(M.with_defaults(code), probes, ["raw_code"])
     d = M.by_path(M.doc_with_defaults(docs), probes.distinct(), ["sections"])
-    return (c.select("file_path", F.length("raw_code").cast("long").alias("code_chars"))
+    return (c.select("file_path", F.length("raw_code").cast("long").alias("code_chars"), F.md5("raw_code").alias("code_md5"))
              .join(d.select("file_path", F.size("sections").cast("int").alias("n_sections"))
                     .withColumn("n_sections", F.when(F.col("n_sections") >= 0, F.col("n_sections"))),
                    "file_path", "left"))
