@@ -8,7 +8,7 @@ nearest-vector context, prompt assembly -- is column expressions and joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preprocess_query as _preprocess
@@ -158,23 +158,38 @@ def link_entities(extractions: DataFrame, nodes: DataFrame) -> DataFrame:
                 .select("query_id", F.col("pos").cast("int").alias("pos"), "name")
 
 
-def neighbour_text(linked: DataFrame, edges: DataFrame) -> DataFrame:
-    """``Node: n`` plus ``. Depends on: a, b`` when n has callees
-    (callees in first-call order), once per distinct (query, node)."""
-    nodes = linked.groupBy("query_id", "name").agg(F.min("pos").alias("pos"))
-    deps = (edges.join(nodes.select("name").distinct().withColumnRenamed("name", "src"), "src",
-                       "left_semi")
-                 .groupBy("src")
-                 .agg(F.array_sort(F.collect_list(F.struct(
-                     F.col("first_file").isNull().alias("bare"), F.col("first_file").alias("f"),
-                     F.col("first_seq").alias("s"), F.col("dst").alias("d"))))
-                     .alias("_deps"))
-                 .select(F.col("src").alias("name"),
-                         F.array_join(F.transform("_deps", lambda x: x["d"]), ", ").alias("_deps")))
+def node_text(names: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """G8 for each distinct ``name``: ``Node: n`` plus ``. Depends on: a, b`` when
+    n has callees, in first-call order.
+
+    ``most`` keeps the first so many callees. An embedder that truncates its
+    input at ``t`` tokens sees no more than ``t`` of them, so with ``most=t`` its
+    vectors are the same while a hub's text stays bounded; the limit is applied
+    before the shuffle as well (WindowGroupLimit)."""
+    order = [F.col("first_file").isNull(), F.col("first_file"), F.col("first_seq"), F.col("dst")]
+    distinct = names.select("name").distinct()
+    own = edges.join(distinct.withColumnRenamed("name", "src"), "src", "left_semi")
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+        own = own.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
+    deps = (own.groupBy("src")
+               .agg(F.array_sort(F.collect_list(F.struct(
+                   order[0].alias("bare"), order[1].alias("f"), order[2].alias("s"), order[3].alias("d")))).alias("_deps"))
+               .select(F.col("src").alias("name"), F.array_join(F.transform("_deps", lambda x: x["d"]), ", ").alias("_deps")))
     text = F.when(F.col("_deps").isNotNull() & (F.col("_deps") != ""),
                   F.concat(F.lit("Node: "), F.col("name"), F.lit(". Depends on: "), F.col("_deps"))) \
             .otherwise(F.concat(F.lit("Node: "), F.col("name")))
-    return nodes.join(deps, "name", "left").select("query_id", "pos", "name", text.alias("text"))
+    return distinct.join(deps, "name", "left").select("name", text.alias("text"))
+
+
+def mentions(linked: DataFrame) -> DataFrame:
+    """The distinct nodes of each question, with the place of the first mention."""
+    return linked.groupBy("query_id", "name").agg(F.min("pos").alias("pos"))
+
+
+def neighbour_text(linked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The text of ``node_text``, whole, once per distinct (query, node)."""
+    return mentions(linked).join(node_text(linked, edges), "name").select("query_id", "pos", "name", "text")
 
 
 # --------------------------------------------------------------------------

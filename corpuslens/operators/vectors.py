@@ -168,7 +168,7 @@ def assign_embedding_ids(code_chunks: DataFrame, doc_rows: DataFrame, start=0) -
 
 
 def file_first_ids(code_counts: DataFrame, doc_files: DataFrame, start=0) -> DataFrame:
-    """D4 at file level: ``file_path, kind, first_id`` where code file ``f``
+    """D4 at file level: ``file_path, kind, first_id, n_chunks`` where code file ``f``
     with ``n_chunks`` chunks owns ids ``first_id .. first_id + n_chunks - 1``
     and each document owns one id, all dense in file-path order.
 
@@ -179,16 +179,14 @@ def file_first_ids(code_counts: DataFrame, doc_files: DataFrame, start=0) -> Dat
         .unionByName(doc_files.select("file_path", F.lit(1).cast("long").alias("n_chunks"),
                                       F.lit("doc").alias("kind")))
     return dense_offsets(files.filter(F.col("n_chunks") > 0), ["file_path"], "n_chunks",
-                         "first_id", start=start).select("file_path", "kind", "first_id")
+                         "first_id", start=start).select("file_path", "kind", "first_id", "n_chunks")
 
 
-def number_chunks(first_ids: DataFrame, counts: DataFrame) -> DataFrame:
-    """Chunk keys from file offsets: ``embedding_id, kind, file_path,
-    chunk_no`` (``counts``: file_path, n_chunks for code files)."""
-    n = counts.select("file_path", F.lit("code").alias("kind"), "n_chunks")
-    f = first_ids.join(n, ["file_path", "kind"], "left") \
-                 .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
-    return f.select(F.posexplode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no", "_x"),
+def number_chunks(first_ids: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Chunk keys from the file table of ``file_first_ids``: ``embedding_id,
+    kind, file_path, chunk_no`` (``counts`` is not needed: the table has them)."""
+    last = (F.col("n_chunks") - 1).cast("int")
+    return first_ids.select(F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_no", "_x"),
                     "first_id", "kind", "file_path") \
             .select((F.col("first_id") + F.col("chunk_no")).alias("embedding_id"), "kind", "file_path",
                     F.col("chunk_no").cast("int").alias("chunk_no"))
