@@ -48,13 +48,18 @@ HINTS = frozenset(
     "menus nav navbar navigation navigational breadcrumb breadcrumbs crumbs pager pagination footer foot foots "
     "bottom copyright legal header head masthead topbar toolbar top related recommended recommendations more "
     "share sharing social follow newsletter subscribe subscription signup login signin search form tags tagcloud "
-    "complementary contentinfo skip meta byline".split())
+    "complementary contentinfo skip meta byline adsbygoogle taboola outbrain".split())
 ARTICLE = frozenset("article main content post entry story text body maincontent articlebody".split())
 _TITLED = frozenset("header head top".split())  # names that an article's own heading may bear
+# Hints that hold even on an element named as an article, and words by which a
+# name tells what something else is like (``has-sidebar``).
+_STRONG = frozenset("comment comments commentlist reply replies respond disqus ad ads advert adverts advertisement "
+                    "sponsor sponsored promo promotion related recommended newsletter".split())
+_ABOUT = frozenset("has with no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted",
-            "in_article", "heading", "paragraph", "in_article_header")
+            "in_article", "heading", "paragraph", "in_article_header", "beside_article")
 
 
 def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
@@ -65,7 +70,10 @@ def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id", "role"):
-                names.update(x.lower() for x in _NAME.findall(value))
+                for one in value.split():
+                    words = {x.lower() for x in _NAME.findall(one)}
+                    if not words & _ABOUT:
+                        names.update(words)
             elif key == "style":
                 away |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             else:
@@ -74,7 +82,7 @@ def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
     hints = names & HINTS
     header = tag == "header" or bool(hints & _TITLED)
     if article:
-        hints -= _TITLED
+        hints &= _STRONG
     if tag in ("body", "html"):
         hints = set()  # names of the whole page's look
     return (tag in FURNITURE and tag != "header") or away, bool(hints - _TITLED), article, header
@@ -151,12 +159,13 @@ def features(found: list[tuple[str, tuple]]) -> np.ndarray:
         x[:, 6] = (raw[:, 2] > 0) | (header & ~article)
         x[:, 7:11] = raw[:, 3:7]
         x[:, 11] = header & article
+        x[:, 12] = article.any() & ~article
     return x
 
 
 #: Kinds of page parts: markup with ``{n-m}`` for that many words, ``{a}`` for a
 #: linked word; whether its text is the article's; where it stands (0: around
-#: the article, 1: in it).
+#: the article, 1: in it, 2: around one that its element tells).
 EXAMPLES = (
     ("<nav><ul><li>{a}</li><li>{a}</li><li>{a}</li></ul></nav>", False, 0),
     ("<div class='menu'>{a}{a}{a}</div>", False, 0),
@@ -182,6 +191,8 @@ EXAMPLES = (
     ("<div>{a}{a}{a}{a}</div>", False, 0),
     ("<div><a href='/'>{1-3}</a></div>", False, 0),
     ("<div>{1-4}</div>", False, 0),
+    ("<div class='msg'>{2-40}</div>", False, 2),
+    ("<p>{2-40}</p>", False, 2),
     ("<h1>{1-14}</h1>", True, 1),
     ("<header><h1>{1-14}</h1></header>", True, 1),
     ("<h2>{1-9}</h2>", True, 1),
@@ -205,8 +216,9 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     whether each belongs to the article."""
     rng = np.random.default_rng(20)
     rows, labels = [], []
-    around = [e for e in EXAMPLES if not e[2]]
-    inside = [e for e in EXAMPLES if e[2]]
+    plain = [e for e in EXAMPLES if e[2] == 0]
+    beside = [e for e in EXAMPLES if e[2] != 1]
+    inside = [e for e in EXAMPLES if e[2] == 1]
 
     def part(example) -> str:
         word = "keep" if example[1] else "drop"
@@ -216,6 +228,7 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     for _ in range(EXAMPLE_PAGES):
         pick = lambda of, n: "".join(part(of[k]) for k in rng.integers(0, len(of), n))
         frame = FRAMES[rng.integers(0, len(FRAMES))]
+        around = plain if frame == "<div>{}</div>" else beside
         page = pick(around, rng.integers(0, 5)) + frame.format(pick(inside, rng.integers(1, 12))) + pick(around, rng.integers(0, 5))
         found = blocks(f"<html><head><title>t</title></head><body>{page}</body></html>")
         rows.append(features(found))

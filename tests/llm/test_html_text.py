@@ -26,6 +26,8 @@ def text_of(page):
     ("<div class='cookie-notice'>We use cookies, accept them please</div><article><p>y</p></article>", "y"),
     ("<article><p>1 < 2 and 3 > 2 &lt;b&gt; &#233; &am</p></article>", "1 < 2 and 3 > 2 <b> é &am"),
     ("<header><h1>Site name</h1></header><article><header><h1>The title</h1></header><p>z</p></article>", "The title\nz"),
+    ("<div class='page has-sidebar'><p class='msg'>Read on our other pages too</p><div class='article-body wide'><p>q r</p></div></div>", "q r"),
+    ("<article><p>t</p><article class='comment'><p>I like this a lot</p></article></article>", "t"),
     ("", ""), ("<", ""), ("<script>never closed", ""),
 ])
 def test_pages(page, expected):
