@@ -154,3 +154,31 @@ def test_many_small_directories_make_few_tasks(spark, tmp_path):
     assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(str(p) for p in tmp_path.glob("*/m.py"))
     files, dirs = srcfiles.expand_tree(str(tmp_path), (".py",), 10_000, 1100)
     assert len(files) <= 150 and len(files) + len(dirs) == 1000  # the budget holds within a level
+
+
+def test_index_is_parsed_once_and_read_in_part(spark):
+    from corpuslens.operators import vectors as V_
+    from corpuslens.plans.ingest import index_corpus
+    code = spark.createDataFrame([("a.py", "def f(): g()\n"), ("b.py", "x = (\n")], "file_path string, raw_code string")
+    docs = spark.createDataFrame([("a.md", "# A\n")], "file_path string, raw_content string")
+    idx = index_corpus(code, docs, embedder=V_.HashedEmbedder(dim=8))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    for table in idx.tables().values():
+        assert "MapInArrow" not in plan(table)  # parsed and embedded once, then staged
+    keys = plan(idx.vectors.filter("kind = 'code'").select("embedding_id"))
+    assert "PartitionFilters: [isnotnull(kind" in keys and "ReadSchema: struct<embedding_id:bigint>" in keys
+    read = plan(idx.code_base.select("file_path")).rpartition("ReadSchema:")[2]
+    assert "file_path" in read and "raw_code" not in read
+    assert [r.file_path for r in idx.quarantine.collect()] == ["b.py"]
+
+
+def test_lookups_keep_the_large_table_off_the_outer_side(spark):
+    import re
+    from corpuslens.operators import graph as G
+    code, _ = C.parse_code(spark.createDataFrame([("a.py", "def f():\n    g()\n    g()\n")], "file_path string, raw_code string"))
+    nodes, edges, sites = G.build_graph(code)
+    probes = spark.createDataFrame([("f",), ("nosuch",), (None,)], "name string")
+    for df in (G.callees(edges, nodes, probes), G.callers(edges, nodes, probes), G.exists(nodes, probes), G.node_file(nodes, probes)):
+        assert not re.search("LeftOuter", df._jdf.queryExecution().toString())
+    got = {(r.name, r.known, r.callee) for r in G.callees(edges, nodes, probes).collect()}
+    assert got == {("f", True, "g"), ("nosuch", False, None), (None, False, None)}
