@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import hinted, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,18 +18,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes, so the
     number of passes follows the logarithm of the longest path. A node's
     neighbours are never gathered: each step is a minimum per node (combined
-    map-side) and a join on the node, whose hot keys AQE can split. Every pass
-    is a staged table.
+    map-side), staged as a table of its own, and a join on the node, which sends
+    that table where it is small and else lets AQE split a hub's rows.
     """
     e = staged(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
                .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = hinted(staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         large = staged(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = hinted(staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least"))
         small = (large.join(least, "u")
                  .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                          F.col("m").alias("v")).where("u <> v").distinct())
