@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
+from . import twins
 from .html_text import main_text
 from .langid import held_out, identify, trained_on_rest
 from .merkle import edited_fingerprints
@@ -130,4 +131,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "edited_fingerprint", "near_edited", "near_next")
 
 
+ORACLES["op3_neardup"] = twins.NEARDUP
+ORACLES["op4_secrets"] = twins.SECRETS
+ORACLES["op6_quality"] = twins.QUALITY
 QUERIES["pipeline"] = corpus_pipeline.run
