@@ -34,8 +34,9 @@ from .memo import UnitMemo
 from .staging import arrow_map, schema_with
 
 SPACE = "▁"
-#: Token pairs remembered by a Python worker before it starts afresh.
-REMEMBERED = 400_000
+#: Units in each of two generations, and token pairs before they start afresh,
+#: that a Python worker remembers.
+REMEMBERED = 500_000
 _NEVER = 1 << 60
 
 
@@ -57,6 +58,11 @@ class PieceModel:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         if len(self.byte_id) != 256:
             raise ValueError("the model must have byte fallback")
+        # what an id stands for by itself; bytes from 0x80 on are parts of a character
+        self.surface = ["" if self.control[i] else " ⁇ " if i == self.unknown else p for i, p in enumerate(self.pieces)]
+        for i, b in self.byte_of.items():
+            self.surface[i] = chr(b)
+        self.whole = np.array([self.byte_of.get(i, 0) < 0x80 for i in range(n)])
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         order = {s: k for k, s in enumerate(sorted({-sp.get_score(i) for i in plain}))}
         self.id_of = {self.pieces[i]: i for i in plain}
@@ -64,7 +70,7 @@ class PieceModel:
         self._edges()
         self._units()
         self.pairs: dict[int, bool] = {}
-        self.memo = UnitMemo(lambda units: [self._encode_unit(u) for u in units])
+        self.memo = UnitMemo(lambda units: [self._encode_unit(u) for u in units], REMEMBERED)
 
     def _merges(self, word: str) -> list:
         """Byte-pair merging of a short string: the remaining parts, each a
@@ -124,9 +130,11 @@ class PieceModel:
         n = len(unit)
         last = [-1] * (n + 1)   # token that ends the encoding of each prefix; -1: a character without piece
         width = [1] * (n + 1)
-        pairs = self.pairs
+        pairs, ended = self.pairs, 0
         for end, (token, size) in self.automaton.iter(unit):
             end += 1
+            if end == ended:
+                continue  # a prefix has one last token
             before = end - size
             if before and (left := last[before]) >= 0:
                 key = left << 32 | token
@@ -137,7 +145,7 @@ class PieceModel:
                     fits = pairs[key] = self.compatible(left, token)
                 if not fits:
                     continue
-            last[end], width[end] = token, size
+            last[end], width[end], ended = token, size, end
         ids: list[int] = []
         while n:
             if last[n] >= 0:
@@ -152,15 +160,16 @@ class PieceModel:
         """Ids of a whole text, as the machine's 32-bit integers."""
         return self.memo.joined(self.unit.findall(" " + text.replace(SPACE, " "))) if text else b""
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Text of ids as the library's ``decode``: byte pieces are read as
         UTF-8 (U+FFFD for a byte that is none), control ids give nothing and
         the space mark that opens the text is dropped."""
-        byte_of = self.byte_of
-        if self._plain(ids):
-            text = "".join(map(self.pieces.__getitem__, ids))
+        byte_of, ids = self.byte_of, np.asarray(ids, np.int64)
+        whole, ids = bool(self.whole[ids].all()), ids.tolist()
+        if whole:
+            text = "".join(map(self.surface.__getitem__, ids))
         else:
-            out, run, first = [], bytearray(), True
+            out, run = [], bytearray()
             for i in ids:
                 if i in byte_of:
                     run.append(byte_of[i])
@@ -168,21 +177,12 @@ class PieceModel:
                 if run:
                     out.append(_utf8(bytes(run)))
                     run.clear()
-                out.append("" if self.control[i] else " ⁇ " if i == self.unknown else self.pieces[i])
+                out.append(self.surface[i])
             if run:
                 out.append(_utf8(bytes(run)))
             text = "".join(out)
         return (text[1:] if text[:1] == SPACE else text).replace(SPACE, " ")
 
-    def _plain(self, ids) -> bool:
-        return len(ids) == 0 or min(ids) > self._last_special
-
-    @property
-    def _last_special(self) -> int:
-        if not hasattr(self, "_special"):
-            self._special = max([self.unknown, *np.flatnonzero(self.control), *self.byte_of])
-        return self._special
-
 
 def _utf8(run: bytes) -> str:
     try:
@@ -243,7 +243,7 @@ def _decoded(path: str):
             for part in _rows_of(batch, 1 << 19):
                 ids = part.column(1)
                 ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-                texts = [m.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                texts = [m.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], ["row", "ids", "text"])
     return run
 
