@@ -125,13 +125,24 @@ class UrlModels:
     """Log-probability tables of the accepted and the rejected URLs."""
 
     def __init__(self, slots: np.ndarray, accepted: np.ndarray, n: np.ndarray):
-        self.tables = []
-        for side in (True, False):
-            counts = np.zeros(CONTEXTS * SYMBOLS, np.float32)
-            counts[slots[accepted == side]] = n[accepted == side]
-            grid = counts.reshape(CONTEXTS, SYMBOLS)
-            self.tables.append((counts, grid.sum(axis=1), (grid > 0).sum(axis=1).astype(np.float32)))
+        self.slots, self.accepted, self.n = slots, accepted, n
         self.ready = bool(accepted.any() and not accepted.all())
+        self._tables = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}  # tasks are sent the counts that are not zero
+
+    @property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Counts, their sum and the kinds of characters for each context."""
+        if self._tables is None:
+            self._tables = []
+            for side in (True, False):
+                counts = np.zeros(CONTEXTS * SYMBOLS, np.float32)
+                counts[self.slots[self.accepted == side]] = self.n[self.accepted == side]
+                grid = counts.reshape(CONTEXTS, SYMBOLS)
+                self._tables.append((counts, grid.sum(axis=1), (grid > 0).sum(axis=1).astype(np.float32)))
+        return self._tables
 
     def scores(self, urls: pa.Array) -> np.ndarray:
         """Accepted minus rejected log-likelihood of each URL, by character."""
