@@ -9,8 +9,14 @@ more. The score is the difference of the log-likelihoods by character; it is
 calibrated on labelled URLs that the counts leave out, and a URL passes from the
 calibrated threshold up.
 
-Contexts are hashed into a table of fixed size, so the models are bounded
-whatever the number of URLs; their counts cover all labelled rows.
+A character and the four before it are a gram; the counts of all shorter
+contexts are sums over grams. Grams are counted exactly, in a Spark table that
+grows with the URLs. Those that share three characters of context meet in one
+task, at most 64 x 64 of them, which turns each into the logarithm of its two
+estimates' ratio; shorter contexts are at most 64^3 and are sent to all tasks.
+A URL's score is the mean of the ratios of its grams. Their table is broadcast
+where its counted size proves it small; else chunks of URLs are joined to it,
+with the same sums.
 """
 
 from __future__ import annotations
@@ -20,14 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import arrow_map, schema_with
+from .staging import SENT_ROWS, arrow_map, schema_with, staged
 
 ORDERS = 5
-#: Hashed contexts of a model, and kinds of characters.
-CONTEXTS, SYMBOLS = 1 << 16, 64
+#: Kinds of characters, and bits of one.
+SYMBOLS, BITS = 64, 6
+#: Orders up to which the counts of all contexts are sent to every task.
+SENT_ORDERS = 3
+#: URLs of a chunk that is joined to the grams' ratios.
+CHUNK = 1024
 #: One labelled URL in so many calibrates instead of being counted.
 CALIBRATION = 5
 #: Scores are calibrated on a grid of this step.
@@ -89,98 +100,188 @@ def _symbols(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _cells(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell (context x symbol) of each predicted character for each order, and
-    the number of the URL it belongs to."""
+def _grams(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram of each predicted character (the character in the lowest bits, the
+    one before it in the next) and the number of the URL it belongs to."""
     predicted = np.ones(len(symbols), bool)
     for k in range(ORDERS - 1):
         predicted[at[:-1] + k] = False
     here = np.flatnonzero(predicted)
-    code = np.zeros(len(here), np.uint64)
-    rows = []
+    gram = np.zeros(len(here), np.int64)
     for order in range(ORDERS):
-        if order:
-            code = code * np.uint64(SYMBOLS) + symbols[here - order].astype(np.uint64)
-        mixed = (code + np.uint64(order + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        rows.append((mixed >> np.uint64(48)).astype(np.int64) * SYMBOLS + symbols[here])
-    return np.stack(rows), np.searchsorted(at, here, "right") - 1
+        gram |= symbols[here - order] << (BITS * order)
+    return gram, np.searchsorted(at, here, "right") - 1
 
 
 def _counts(batches):
-    held = {}
+    """Grams of ``url, accepted`` with their counts for each side; those of URLs
+    that are not learned from (null) are listed once a batch, and count nothing."""
     for b in batches:
-        accepted = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        cells, url = _cells(*_symbols(b.column(0)))
-        for side in (False, True):
-            own = cells[:, accepted[url] == side].ravel()
-            if len(own):
-                held[side] = held.get(side, 0) + np.bincount(own, minlength=CONTEXTS * SYMBOLS)
-    for side, n in held.items():
-        slot = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), side)), pa.array(slot), pa.array(n[slot])],
-                                         ["accepted", "slot", "n"])
+        accepted = np.array([-1 if a is None else int(a) for a in b.column(1).to_pylist()], np.int64)
+        gram, url = _grams(*_symbols(b.column(0)))
+        for side in (-1, 0, 1):
+            slot, n = np.unique(gram[accepted[url] == side], return_counts=True)
+            if len(slot):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if side < 0 else bool(side)] * len(slot), pa.bool_()), pa.array(slot),
+                     pa.array(n * (side >= 0), pa.int64())], ["accepted", "slot", "n"])
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values of the wanted keys (ascending ``keys``), 0 for those not held."""
+    if not len(keys):
+        return [np.zeros(len(wanted)) for _ in values]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return [np.where(keys[at] == wanted, v[at], 0) for v in values]
 
 
 class UrlModels:
-    """Log-probability tables of the accepted and the rejected URLs."""
+    """Estimates from gram counts of the accepted and the rejected URLs."""
 
     def __init__(self, slots: np.ndarray, accepted: np.ndarray, n: np.ndarray):
-        self.slots, self.accepted, self.n = slots, accepted, n
-        self.ready = bool(accepted.any() and not accepted.all())
-        self._tables = None
+        self.sides = [(slots[own], n[own]) for own in ((accepted == side) & (n > 0) for side in (True, False))]
+        self.ready = all(len(slot) for slot, _ in self.sides)
+        self._tables = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tables": None}  # tasks are sent the counts that are not zero
-
-    @property
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Counts, their sum and the kinds of characters for each context."""
-        if self._tables is None:
-            self._tables = []
-            for side in (True, False):
-                counts = np.zeros(CONTEXTS * SYMBOLS, np.float32)
-                counts[self.slots[self.accepted == side]] = self.n[self.accepted == side]
-                grid = counts.reshape(CONTEXTS, SYMBOLS)
-                self._tables.append((counts, grid.sum(axis=1), (grid > 0).sum(axis=1).astype(np.float32)))
-        return self._tables
+        return self.__dict__ | {"_tables": {}}  # tasks are sent the counts
+
+    def _table(self, side: int, order: int) -> tuple[np.ndarray, ...]:
+        """Cells (context and character) with counts, and contexts with their
+        sum and the kinds of characters seen after them."""
+        if (side, order) not in self._tables:
+            slot, n = self.sides[side]
+            cells, at = np.unique(slot & ((1 << BITS * (order + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, weights=n, minlength=len(cells))
+            contexts, of = np.unique(cells >> BITS, return_inverse=True)
+            self._tables[side, order] = (cells, count, contexts, np.bincount(of, weights=count, minlength=len(contexts)),
+                                         np.bincount(of, minlength=len(contexts)))
+        return self._tables[side, order]
+
+    def estimates(self, grams: np.ndarray, orders: range, below: Sequence[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Probability of each gram's character on either side, refined by
+        ``orders`` from the estimates ``below`` them."""
+        out = []
+        for side in range(2):
+            p = below[side] if below else np.full(len(grams), 1 / SYMBOLS)
+            for order in orders:
+                cells, count, contexts, total, kinds = self._table(side, order)
+                cell = grams & ((1 << BITS * (order + 1)) - 1)
+                n, = _found(cells, cell, count)
+                t, k = _found(contexts, cell >> BITS, total, kinds)
+                p = np.where(t > 0, (n + k * p) / np.maximum(t + k, 1), p)
+            out.append(p)
+        return out
 
     def scores(self, urls: pa.Array) -> np.ndarray:
         """Accepted minus rejected log-likelihood of each URL, by character."""
         if not len(urls) or not self.ready:
             return np.zeros(len(urls))
-        symbols, at = _symbols(urls)
-        cells, url = _cells(symbols, at)
-        logs = []
-        for counts, total, kinds in self.tables:
-            p = np.full(cells.shape[1], 1 / SYMBOLS)
-            for order in range(ORDERS):
-                context = cells[order] // SYMBOLS
-                n, t, k = counts[cells[order]], total[context], kinds[context]
-                p = np.where(t > 0, (n + k * p) / np.maximum(t + k, 1), p)
-            logs.append(np.log(p))
-        return np.bincount(url, weights=logs[0] - logs[1], minlength=len(urls)) / np.bincount(url, minlength=len(urls))
+        grams = np.unique(_grams(*_symbols(urls))[0])
+        good, bad = self.estimates(grams, range(ORDERS))
+        return mean_ratios(urls, grams, np.log(good) - np.log(bad))
+
+
+def mean_ratios(urls: pa.Array, grams: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Mean of the ratios of each URL's grams (ascending ``grams``)."""
+    if not len(urls):
+        return np.zeros(0)
+    gram, url = _grams(*_symbols(urls))
+    ratio, = _found(grams, gram, ratios)
+    return np.bincount(url, weights=ratio, minlength=len(urls)) / np.bincount(url, minlength=len(urls))
+
+
+def _sided(slot: np.ndarray, good: np.ndarray, bad: np.ndarray) -> UrlModels:
+    side = np.zeros(2 * len(slot), bool)
+    side[:len(slot)] = True
+    return UrlModels(np.concatenate([slot, slot]), side, np.concatenate([good, bad]))
+
+
+def train(urls: DataFrame) -> DataFrame | None:
+    """``slot, ratio`` for every gram of ``urls(url, accepted)``, learned from the
+    rows that are accepted or rejected and not null; None where a side is missing."""
+    counts = staged(arrow_map(urls.select("url", "accepted"), _counts, "accepted boolean, slot long, n long")
+                    .groupBy("slot").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("good"),
+                                         F.sum(F.when(~F.col("accepted"), F.col("n")).otherwise(0)).alias("bad")), "url-grams")
+    short = (1 << BITS * SENT_ORDERS) - 1
+    got = (counts.where("good + bad > 0").groupBy(F.col("slot").bitwiseAND(F.lit(short)).alias("slot"))
+           .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow())  # at most 64^3 rows
+    low = _sided(*(got[c].to_numpy() for c in ("slot", "good", "bad")))
+    if not low.ready:
+        return None
+    shared = urls.sparkSession.sparkContext.broadcast(low)
+
+    def ratios(slot, good, bad):
+        p = shared.value.estimates(slot, range(SENT_ORDERS))
+        p = _sided(slot, good, bad).estimates(slot, range(SENT_ORDERS, ORDERS), p)
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.log(p[0]) - np.log(p[1]))], ["slot", "ratio"])
 
-
-def train(urls: DataFrame) -> UrlModels:
-    """Models of all rows of ``urls(url, accepted)``: tasks count, Spark adds up,
-    and the table of fixed size is collected."""
-    got = (arrow_map(urls.select("url", "accepted"), _counts, "accepted boolean, slot long, n long")
-           .groupBy("accepted", "slot").agg(F.sum("n").alias("n")).toArrow())
-    return UrlModels(got["slot"].to_numpy(), np.array(got["accepted"].to_pylist(), bool), got["n"].to_numpy())
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            if b.num_rows:
+                held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+                context = held[0] >> BITS & short
+                cut = int(np.searchsorted(context, context[-1]))  # the last context may go on
+                if cut:
+                    yield ratios(*(h[:cut] for h in held))
+                    held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield ratios(*held)
+
+    context = F.shiftright("slot", BITS).bitwiseAND(F.lit(short))
+    return staged(arrow_map(counts.repartition(context).sortWithinPartitions(context), run, "slot long, ratio double"), "url-ratios")
+
+
+def _chunks(batches):
+    part, nth = TaskContext.get().partitionId(), 0
+    for b in batches:
+        for lo in range(0, b.num_rows, CHUNK):
+            urls = b.column(0).slice(lo, CHUNK)
+            slots = np.unique(_grams(*_symbols(urls))[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | nth]), pa.array([urls.to_pylist()], pa.list_(pa.string())),
+                 pa.array([slots], pa.list_(pa.int64()))], ["chunk", "urls", "slots"])
+            nth += 1
 
 
-def scored(urls: DataFrame, models: UrlModels) -> DataFrame:
-    """``urls(row, url, ...)`` with ``score``."""
-    shared = urls.sparkSession.sparkContext.broadcast(models)
+def _chunk_scores(batches):
+    for b in batches:
+        for urls, hits in zip(b.column(0), b.column(1)):
+            slot, ratio = (hits.values.field(k).to_numpy() for k in range(2))
+            order = np.argsort(slot)
+            yield pa.RecordBatch.from_arrays(
+                [urls.values, pa.array(mean_ratios(urls.values, slot[order], ratio[order]))], ["url", "score"])
+
+
+def url_scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``url, score`` of the distinct ``urls(url)``, by a join: a chunk of URLs
+    asks once for each of its grams, so no gram is common."""
+    chunks = staged(arrow_map(urls.select("url").distinct(), _chunks, "chunk long, urls array<string>, slots array<long>"), "url-chunks")
+    hits = (chunks.select("chunk", F.explode("slots").alias("slot")).join(ratios, "slot")
+            .groupBy("chunk").agg(F.collect_list(F.struct("slot", "ratio")).alias("hits")))
+    met = chunks.select("chunk", "urls").join(hits, "chunk").select("urls", "hits")
+    return staged(arrow_map(met, _chunk_scores, "url string, score double"), "url-scores")
+
+
+def scorer(urls: DataFrame, ratios: DataFrame | None):
+    """A function that adds ``score`` to rows whose ``url`` is among ``urls``."""
+    if ratios is None:
+        return lambda rows: rows.withColumn("score", F.lit(0.0))
+    if ratios.count() > SENT_ROWS:
+        scores = url_scores(urls, ratios)
+        return lambda rows: rows.join(scores, "url").select(*rows.columns, "score")
+    got = ratios.orderBy("slot").toArrow()
+    shared = urls.sparkSession.sparkContext.broadcast((got["slot"].to_numpy(), got["ratio"].to_numpy()))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column("url")))],
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mean_ratios(part.column("url"), *shared.value))],
                                                  [*part.schema.names, "score"])
 
-    return arrow_map(urls, run, schema_with(urls.schema.fields, "score double"))
+    return lambda rows: arrow_map(rows, run, schema_with(rows.schema.fields, "score double"))
 
 
 def threshold(labelled: DataFrame) -> float:
@@ -217,11 +318,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], url: str = "url") ->
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     verdicts = F.array(*(F.lit(r.verdict) for r in rules)) if rules else F.array().cast("array<string>")
     said = F.when(F.col("rule").isNotNull(), F.get(verdicts, F.col("rule")))
-    labelled = rows.where("rule IS NOT NULL").select("url", (said == "allow").alias("accepted"))
     aside = F.crc32(F.col("url").cast("binary")) % CALIBRATION == 0
-    models = train(labelled.where(~aside))
-    cut = threshold(scored(labelled.where(aside), models))
-    return scored(rows, models).select("row", "host", "path", "rule", "score", F.coalesce(
+    accepted = said == "allow"
+    scored = scorer(rows, train(rows.select("url", F.when(~aside, accepted).alias("accepted"))))
+    cut = threshold(scored(rows.where(F.col("rule").isNotNull() & aside).select("url", accepted.alias("accepted"))))
+    return scored(rows).select("row", "host", "path", "rule", "score", F.coalesce(
         said, F.when(F.col("score") >= cut, "allow").otherwise("block")).alias("verdict"))
 
 

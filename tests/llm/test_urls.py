@@ -99,3 +99,44 @@ def test_threshold(spark):
     df = lambda rows: spark.createDataFrame(rows, "score double, accepted boolean")
     assert 0.1 < threshold(df([(0.5, True), (0.4, True), (0.1, False), (-1.0, False)])) <= 0.4
     assert threshold(df([(0.5, True)])) == 0.0 and threshold(df([])) == 0.0
+
+
+def test_models_keep_every_context_apart():
+    """Counts of as many contexts as a large table has, against plain ones."""
+    rng = np.random.default_rng(5)
+    good, bad = (["http://" + "".join(rng.choice(list(letters), 40)) for _ in range(3000)] for letters in ("abcdefghijklmnopqrst", "klmnopqrstuvwxyz0123"))
+    batch = lambda texts, ok: pa.RecordBatch.from_arrays([pa.array(texts), pa.array([ok] * len(texts))], ["url", "accepted"])
+    got = list(urls._counts([batch(good, True), batch(bad, False)]))
+    column = lambda c: np.concatenate([np.array(b[c].to_pylist()) for b in got])
+    n = [{}, {}]
+    for side, texts in zip(n, (good, bad)):
+        for t in texts:
+            s = "<" * 4 + t + ">"
+            for k in range(4, len(s)):
+                for o in range(5):
+                    seen = side.setdefault(s[k - o:k], {})
+                    seen[s[k]] = seen.get(s[k], 0) + 1
+
+    def logp(side, t):
+        s, total = "<" * 4 + t + ">", 0.0
+        for k in range(4, len(s)):
+            p = 1 / urls.SYMBOLS
+            for o in range(5):
+                if seen := side.get(s[k - o:k]):
+                    p = (seen.get(s[k], 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+            total += np.log(p)
+        return total / (len(t) + 1)
+
+    tests = [*good[:20], *bad[:20], "http://aabbkkzz", "q"]
+    scores = UrlModels(column("slot"), column("accepted"), column("n")).scores(pa.array(tests))
+    assert np.allclose(scores, [logp(n[0], t) - logp(n[1], t) for t in tests], atol=1e-9)
+
+
+def test_joined_scores_equal_sent_ones(spark, monkeypatch):
+    df = spark.read.parquet(f"{SMOKE}/pages.parquet").select("page_id", "url").unionByName(
+        spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(CASES)], "page_id long, url string"))
+    rows = lambda: sorted((r.row.page_id, r.url_score, r.verdict) for r in judge_urls(df, RULES).withColumnRenamed("score", "url_score").collect())
+    sent = rows()
+    monkeypatch.setattr(urls, "SENT_ROWS", 0)
+    monkeypatch.setattr(urls, "CHUNK", 7)
+    assert rows() == sent and len({s for _, s, _ in sent}) > 10
