@@ -8,9 +8,11 @@ A document is rejected when a rate lies above its group's upper fence
 
     q75 + SPREAD * (q75 - q25) + margin of the rate
 
-so a cutoff follows what is usual in that language and source. Groups of fewer
-than ``MIN_GROUP`` documents borrow the merged sketch of their language, or of
-the whole table where the language is small too.
+so a cutoff follows what is usual in that language and source. Every group's
+quantiles are those of its own sketch with ``PRIOR`` documents more that are
+dealt as in its language, and the language's are blended with the whole table's
+likewise: one formula at every size, in which a group's own rates count for more
+the more documents it has.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .staging import arrow_map, schema_with, staged
 from .words import Chunk, chunks, find_words, hash_ranges, mix64
@@ -27,6 +28,8 @@ from .words import Chunk, chunks, find_words, hash_ranges, mix64
 #: Per rate, the distance in per mille beyond the spread that is still ordinary.
 MARGINS = {"symbol_rate": 40, "upper_rate": 60, "bang_rate": 40, "dup_line_rate": 450, "repeat_rate": 300}
 SPREAD = 3
+PRIOR = 200
+#: Of the SQL twin, which switches at this size instead of blending.
 MIN_GROUP = 200
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -136,36 +139,52 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "rate", "value").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each ``by``: its size and the upper fence of each rate."""
-    w = Window.partitionBy(*by, "rate").orderBy("value")
-    total = F.sum("n").over(Window.partitionBy(*by, "rate"))
-    run = sketch.withColumn("run", F.sum("n").over(w)).withColumn("total", total)
-    low = F.min(F.when(F.expr("4 * run >= total"), F.col("value")))
-    high = F.min(F.when(F.expr("4 * run >= 3 * total"), F.col("value")))
-    margin = F.create_map(*(F.lit(x) for kv in MARGINS.items() for x in kv))[F.col("rate")]
-    each = run.groupBy(*by, "rate", "total").agg(low.alias("low"), high.alias("high"))
-    each = each.withColumn(
-        "fence", (F.col("high") + SPREAD * (F.col("high") - F.col("low")) + margin).cast("long"))
-    return each.groupBy(*by, F.col("total").alias("size")).agg(
-        F.map_from_entries(F.collect_list(F.struct("rate", "fence"))).alias("fences"))
+def _listed(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
+    """A sketch as one array for each ``by``, of bounded size."""
+    return sketch.groupBy(*by).agg(F.collect_list(F.struct("rate", "value", "n")).alias(name))
+
+
+def _dense(entries) -> np.ndarray:
+    """Documents up to each grid value, by rate, of a listed sketch."""
+    out = np.zeros((len(MARGINS), 1001))
+    at = {k: i for i, k in enumerate(MARGINS)}
+    for e in entries:
+        out[at[e["rate"]], e["value"]] += e["n"]
+    return np.cumsum(out, axis=1)
+
+
+def blended(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Shares up to each grid value: a group's counts and PRIOR documents dealt
+    as ``below`` says."""
+    return (own + PRIOR * below) / (own[:, -1:] + PRIOR)
+
+
+def upper_fences(share: np.ndarray) -> list[int]:
+    low, high = ((share >= q - 1e-12).argmax(axis=1) for q in (0.25, 0.75))
+    return [int(h + SPREAD * (h - x) + m) for x, h, m in zip(low, high, MARGINS.values())]
 
 
 def adaptive_fences(rows: DataFrame) -> DataFrame:
     """``lang, source, fences``: the thresholds of every group of ``rows``
-    (``lang, source`` and rates), borrowed upwards where a group is small.
-    Documents that fail the base rules are left out of the sketches."""
+    (``lang, source`` and rates). Documents that fail the base rules are left
+    out of the sketches."""
     sketch = rate_sketch(rows.where(~base_failed()), ["lang", "source"])
     sketch = staged(sketch, "quality-sketch")
-    group = fences(sketch, ["lang", "source"])
-    lang = fences(merged(sketch, ["lang"]), ["lang"]).select(
-        F.col("lang").alias("l2"), F.col("size").alias("n2"), F.col("fences").alias("f2"))
-    whole = fences(merged(sketch, []), []).first()  # one row of as many numbers as there are rates
-    f3 = F.create_map(*(x for k, v in (whole.fences if whole else {}).items() for x in (F.lit(k), F.lit(v).cast("long"))))
-    out = (group.join(lang, F.col("lang").eqNullSafe(F.col("l2")))
-           .select("lang", "source", F.when(F.col("size") >= MIN_GROUP, F.col("fences"))
-                   .when(F.col("n2") >= MIN_GROUP, F.col("f2")).otherwise(f3.cast("map<string,bigint>")).alias("fences")))
-    return staged(out, "quality-fences")
+    everything = _dense(merged(sketch, []).collect())  # at most 1,001 rows a rate
+    whole = everything / np.maximum(everything[:, -1:], 1)
+
+    def run(batches):
+        for b in batches:
+            out = [upper_fences(blended(_dense(own), blended(_dense(lang), whole)))
+                   for own, lang in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["lang", "source", "limits"])
+
+    lang = _listed(merged(sketch, ["lang"]), ["lang"], "shared").withColumnRenamed("lang", "l2")
+    met = (_listed(sketch, ["lang", "source"], "own").join(lang, F.col("lang").eqNullSafe(F.col("l2")))
+           .select("lang", "source", "own", "shared"))
+    out = arrow_map(met, run, schema_with(met.schema.fields[:2], "limits array<long>"))
+    names = F.array(*(F.lit(k) for k in MARGINS))
+    return staged(out.select("lang", "source", F.map_from_arrays(names, "limits").alias("fences")), "quality-fences")
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:

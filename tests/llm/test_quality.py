@@ -1,12 +1,14 @@
 import collections
+import random
 import re
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from cases import edge_docs, edge_rows, no_docs
 from conftest import SMOKE
 from corpuslens.llm import catalog
-from corpuslens.llm.quality import COUNTS, MARGINS, MIN_GROUP, SPREAD, base_failed, measured, merged, quality, quality_filter, rate_sketch
+from corpuslens.llm.quality import COUNTS, MARGINS, MIN_GROUP, PRIOR, SPREAD, adaptive_fences, base_failed, measured, merged, quality, quality_filter, rate_sketch
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -98,3 +100,35 @@ def test_sketches_merge_exactly(spark):
     whole = rate_sketch(rows, ["lang"])
     assert by_source.exceptAll(whole).count() == 0 and whole.exceptAll(by_source).count() == 0
     assert whole.agg(F.max("value")).first()[0] <= 1000
+
+
+def test_limits_follow_one_formula_at_every_size(spark):
+    """Fences against quantiles of weighted documents, in fractions."""
+    rng = random.Random(4)
+    groups = {("en", "a"): 199, ("en", "b"): 200, ("en", "c"): 900, ("de", None): 30, ("de", "a"): 1, (None, "a"): 7}
+    rows = [(*g, 60, 0, *(rng.randrange(top * (k % 3 + 1)) for top in (90, 300, 20, 310, 333)))
+            for k, (g, n) in enumerate(groups.items()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"{r} long" for r in MARGINS))
+    got = {(r.lang, r.source): r.fences for r in adaptive_fences(df).collect()}
+    assert set(got) == set(groups)
+    for g in groups:
+        own, lang = [r for r in rows if r[:2] == g], [r for r in rows if r[0] == g[0]]
+        for k, rate in enumerate(MARGINS, 4):
+            share = lambda of, v: Fraction(sum(r[k] <= v for r in of), len(of))  # noqa: E731, B023
+
+            def mixed(v):
+                below = (len(lang) * share(lang, v) + PRIOR * share(rows, v)) / (len(lang) + PRIOR)  # noqa: B023
+                return (len(own) * share(own, v) + PRIOR * below) / (len(own) + PRIOR)  # noqa: B023
+
+            values = sorted({r[k] for r in rows})
+            low, high = (next(v for v in values if mixed(v) >= Fraction(q, 4)) for q in (1, 3))
+            assert got[g][rate] == high + SPREAD * (high - low) + MARGINS[rate]
+
+
+def test_a_source_is_not_dropped_whole_for_one_document_less(spark):
+    text = lambda k, extra: " ".join(f"w{k}x{j}" for j in range(56)) + extra * 30
+    rows = [("en", "calm", text(k, "")) for k in range(1500)]
+    rows += [("en", f"tables{n}", text(f"{n}y{k}", " |")) for n in (199, 200) for k in range(n)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    kept = {(r.source, r.kept) for r in quality(df).select("source", "kept").distinct().collect()}
+    assert kept == {("calm", True), ("tables199", True), ("tables200", True)}
