@@ -44,14 +44,23 @@ BASE_RULES = (
     Rule("hex", "[0-9a-f]+", 0, 32),
 )
 
+# A private key goes from BEGIN through the next END (no five dashes between
+# them, which would be another BEGIN), or, without END, over its header lines
+# and the base64 lines that follow, line breaks also as \n, with a last short
+# one. Loops over single characters, for Java's loops over groups use its stack.
+_KEY = r"[A-Z\x20]{0,40}PRIVATE KEY-----"
+_TO_END = rf"[^-]*(?:--?-?-?[^-]+){{0,250}}-----END {_KEY}"
+_BASE64 = (r"(?:[\t\r\n\x20]{0,9}(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}"
+           r"[\t\r\n\x20\\A-Za-z0-9+/=]*[A-Za-z0-9+/=]{32,}(?:\r?\n[\t\x20]*[A-Za-z0-9+/]+={0,2})?")
+
 # Public formats of well-known credentials.
 MORE_RULES = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("google", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,250}"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35,}"),
+    Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", f"-----BEGIN {_KEY}(?:{_TO_END}|{_BASE64})?"),
 )
 
 RULES = (*BASE_RULES, *MORE_RULES)
