@@ -7,9 +7,10 @@ configurations, fractionally, that cover the histogram. Multiplicative weights
 solve it: every length has a weight that falls as it is covered, the next
 configuration is the dearest one under the weights (an unbounded knapsack, by
 dynamic programming over the capacity), and it is used as often as its scarcest
-length allows. The solution is rounded to whole sequences that are full and use
-no piece twice, and the other pieces are placed best fit, in groups of equal
-length.
+length allows. Every configuration of the solution is rounded down to whole
+sequences that use no piece twice, the other pieces are placed best fit, in
+groups of equal length, and the fewest sequences are kept: of that, of the same
+with full configurations only, and of best fit alone.
 
 Pieces are then numbered within their length and look up their place in the
 plan, whose size depends on the number of configurations, not on the data.
@@ -207,6 +208,22 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return [(fill, n) for groups in free.values() for fill, n in groups.items()]
 
 
+def _rounded(solution: list[tuple[float, np.ndarray]], sizes: np.ndarray, need: np.ndarray, capacity: int,
+             least: int) -> list[tuple[tuple, int]]:
+    """Whole sequences of the configurations that fill ``least`` at least, the
+    fullest first, and the other pieces best fit."""
+    rest, out = need.copy(), []
+    fullest = sorted(solution, key=lambda x: -int((x[1] * sizes).sum()))
+    for times, fill in fullest:
+        inside = fill > 0
+        whole = round(times) if int((fill * sizes).sum()) == capacity else int(times + 1e-9)
+        n = min(whole, int((rest[inside] // fill[inside]).min()))
+        if n and int((fill * sizes).sum()) >= least:
+            rest -= n * fill
+            out.append((tuple((int(s), int(a)) for s, a in zip(sizes[inside], fill[inside])), n))
+    return out + best_fit({int(s): int(n) for s, n in zip(sizes, rest) if n}, capacity)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     """Whole sequences that hold exactly the pieces of ``histogram``: fillings
     ``((length, pieces), ...)`` and how many sequences have each."""
@@ -214,17 +231,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     out = []
     if left.get(capacity):
         out.append((((capacity, 1),), left.pop(capacity)))
-    if left:
-        sizes = np.array(sorted(left), np.int64)
-        rest = np.array([left[s] for s in sizes.tolist()], np.int64)
-        for times, fill in fractional_cover(sizes, rest.astype(float), capacity):
-            inside = fill > 0
-            n = min(round(times), int((rest[inside] // fill[inside]).min()))
-            if n and int((fill * sizes).sum()) == capacity:
-                rest -= n * fill
-                out.append((tuple((int(s), int(a)) for s, a in zip(sizes[inside], fill[inside])), n))
-        left = {int(s): int(n) for s, n in zip(sizes, rest) if n}
-    return out + best_fit(left, capacity)
+    if not left:
+        return out
+    sizes = np.array(sorted(left), np.int64)
+    need = np.array([left[s] for s in sizes.tolist()], np.int64)
+    solution = fractional_cover(sizes, need.astype(float), capacity)
+    ways = [_rounded(solution, sizes, need, capacity, least) for least in (capacity, 0)] + [best_fit(left, capacity)]
+    return out + min(ways, key=lambda way: sum(n for _, n in way))
 
 
 class Places:

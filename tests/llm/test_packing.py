@@ -103,3 +103,18 @@ def test_plan_is_close_to_the_bound():
     bound = sum(s * n for s, n in histogram.items()) / 1024
     assert used <= 1.005 * bound + 1
     assert used <= 1.005 * sum(n for _, n in best_fit(dict(histogram), 1024)) + 1
+
+
+@pytest.mark.parametrize("n", [1, 10, 1000])
+def test_plan_uses_configurations_that_are_not_full(n):
+    """No filling of these lengths is 1024; the bound is 1020 tokens a sequence."""
+    histogram = {515: 6 * n, 265: 6 * n, 260: 6 * n, 245: 12 * n}
+    held, used = Counter(), 0
+    for fill, k in plan(histogram, 1024):
+        used += k
+        assert sum(s * a for s, a in fill) <= 1020
+        for s, a in fill:
+            held[s] += a * k
+    assert held == Counter(histogram)
+    assert 9 * n <= used <= 1.01 * 9 * n
+    assert used < sum(k for _, k in best_fit(dict(histogram), 1024))
