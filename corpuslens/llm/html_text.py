@@ -65,7 +65,7 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
     """Furniture, hinted, article, header of an opening tag."""
     names: set[str] = set()
-    away = False
+    named = away = False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -74,11 +74,13 @@ def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
                     words = {x.lower() for x in _NAME.findall(one)}
                     if not words & _ABOUT:
                         names.update(words)
+                        told = {x for x in words if not x.isdigit()}
+                        named |= bool(told) and told <= ARTICLE  # ``sidebar-content`` is no article
             elif key == "style":
                 away |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             else:
                 away |= key == "hidden" or value.lower() == "true"
-    article = tag in ("article", "main") or bool(names & ARTICLE) and tag not in ("body", "html")
+    article = tag in ("article", "main") or named and tag not in ("body", "html")
     hints = names & HINTS
     header = tag == "header" or bool(hints & _TITLED)
     if article:
@@ -176,6 +178,10 @@ EXAMPLES = (
     ("<div class='site-footer'><p>{2-30}</p>{a}</div>", False, 0),
     ("<aside><h3>{1-4}</h3><p>{3-40}</p></aside>", False, 0),
     ("<div class='sidebar'><p>{3-60}</p>{a}</div>", False, 0),
+    ("<div class='sidebar-content'><p>{3-60}</p>{a}</div>", False, 0),
+    ("<div class='footer-text'><p>{2-30}</p></div>", False, 0),
+    ("<div id='cookie-text'>{4-40}</div>", False, 0),
+    ("<div class='modal-body'><p>{4-60}</p></div>", False, 0),
     ("<div class='ad'>{2-25}</div>", False, 0),
     ("<div class='ad-box'><p>{2-25}</p></div>", False, 1),
     ("<p class='sponsored'>{3-30}</p>", False, 1),

@@ -65,3 +65,15 @@ def test_edge_rows(spark):
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, ("lang " * 200_000).strip()), (3, "tie"), (None, ""),
                                            (4, "deep"), (5, "shallow")], key=str)
     assert main_text(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = [" ".join(f"word{k}x{j}" for j in range(60)) for k in range(3)]
+
+
+@pytest.mark.parametrize("name", ["footer-text", "sidebar-content", "cookie-text", "banner-text", "nav-content", "modal-body", "sidebarContent"])
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<article>{}</article>", "<div class='post-body'>{}</div>", "<div id='post-12'>{}</div>"])
+def test_furniture_named_with_an_article_word(name, frame):
+    beside = f"<div class='{name}'><p>Some words about us and what we do on this site</p></div>"
+    article = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    assert text_of(f"<body>{frame.format(article)}{beside}</body>") == "\n".join(PARAGRAPHS)
+    assert text_of(f"<body>{beside}{frame.format(article)}</body>") == "\n".join(PARAGRAPHS)
