@@ -16,6 +16,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from . import twins
+from .embed_dedup import near_vectors
 from .html_text import main_text
 from .langid import held_out, identify, trained_on_rest
 from .merkle import edited_fingerprints
@@ -131,6 +132,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "edited_fingerprint", "near_edited", "near_next")
 
 
+@_query
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
+
+
 ORACLES["op3_neardup"] = twins.NEARDUP
 ORACLES["op4_secrets"] = twins.SECRETS
 ORACLES["op6_quality"] = twins.QUALITY
