@@ -10,7 +10,7 @@ pairs at the threshold, so that such a pair is missed with probability ``MISS``.
 
 Candidates are two members of a bucket, one of them at home there. Buckets are
 cut into tiles of bounded size; a tile first drops members without a partner
-whose 64 rotated signs are near, and only what is left meets its vectors. Every
+whose 128 rotated signs are near, and only what is left meets its vectors. Every
 candidate pair is verified by its cosine in double precision, and is counted in
 the first bucket that the two share, so no pair is ever a row: a tile returns a
 number of links for each member and links that span its components.
@@ -40,6 +40,8 @@ ALTERNATIVES = 4
 MISS = 1e-4
 #: Vectors at home in a bucket that the depth aims at, at most.
 LOAD = 4
+#: Rotated signs of a vector's sketch.
+SIGNS = 128
 #: Members of a block; a tile holds two blocks at most.
 TILE = 256
 #: Rows that a task looks at together (whole tiles).
@@ -140,16 +142,16 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sketch(v: np.ndarray) -> np.ndarray:
-    """64 signs of the rotated rows in one integer."""
-    signs = np.concatenate([_rotated(v, r) >= 0 for r in range(-(-64 // _width(v.shape[1])))], axis=1)[:, :64]
-    return np.packbits(signs, axis=1).view(np.int64)[:, 0]
+    """``SIGNS`` signs of the rotated rows as two integers."""
+    signs = np.concatenate([_rotated(v, r) >= 0 for r in range(-(-SIGNS // _width(v.shape[1])))], axis=1)[:, :SIGNS]
+    return np.packbits(signs, axis=1).view(np.int64)
 
 
 def _far(threshold: float) -> int:
     """Differing signs beyond which a pair is no candidate: six deviations
     above those of a pair at the threshold."""
     p = math.acos(threshold) / math.pi
-    return math.ceil(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
+    return math.ceil(SIGNS * p + 6 * math.sqrt(SIGNS * p * (1 - p)))
 
 
 def _rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -177,7 +179,8 @@ def _hashed(vectors: int, threshold: float):
     def run(batches):
         for b in batches:
             n = b.num_rows
-            h1, h2, sketch, ok = (np.zeros(n, np.int64) for _ in range(4))
+            h1, h2, ok = (np.zeros(n, np.int64) for _ in range(3))
+            sketch = np.zeros((n, 2), np.int64)
             keys: list = [None] * n
             for rows, v in _rows(b.column("embedding")):
                 p = plan(v.shape[1], vectors, threshold)
@@ -193,9 +196,9 @@ def _hashed(vectors: int, threshold: float):
                     for r, k in zip(rows[lo:lo + 2048], all_keys, strict=True):
                         keys[r] = k
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), b.column("embedding"), pa.array(h1), pa.array(h2), pa.array(sketch),
-                 pa.array(ok == 1), pa.array(keys, pa.list_(pa.int64()))],
-                ["vec_id", "embedding", "h1", "h2", "sketch", "usable", "keys"])
+                [b.column("vec_id"), b.column("embedding"), pa.array(h1), pa.array(h2), pa.array(sketch[:, 0].copy()),
+                 pa.array(sketch[:, 1].copy()), pa.array(ok == 1), pa.array(keys, pa.list_(pa.int64()))],
+                ["vec_id", "embedding", "h1", "h2", "s1", "s2", "usable", "keys"])
     return run
 
 
@@ -241,10 +244,10 @@ def _near(far: int):
     """Members of a tile with a partner whose signs are near."""
     def run(batches):
         for t, tile in _whole_tiles(batches):
-            sketch = t.column("sketch").to_numpy().view(np.uint64)
+            s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
             live = np.zeros(len(tile), bool)
             for a, b in _pairs(t, tile):
-                near = np.bitwise_count(sketch[a] ^ sketch[b]) <= far
+                near = np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b]) <= far
                 live[a[near]] = True
                 live[b[near]] = True
             yield from t.filter(pa.array(live)).select(["key", "i", "j", "own", "home", "cid"]).to_batches()
@@ -330,17 +333,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
     n = src.count()
-    schema = schema_with(list(src.schema.fields), "h1 long, h2 long, sketch long, usable boolean, keys array<long>")
+    schema = schema_with(list(src.schema.fields), "h1 long, h2 long, s1 long, s2 long, usable boolean, keys array<long>")
     rows = staged(arrow_map(src, _hashed(n, threshold), schema)
                   .withColumn("cid", F.monotonically_increasing_id()), "vec-hashed")
     real = rows.where("usable AND vec_id IS NOT NULL")
     classes = staged(real.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.min("cid").alias("cid"),
                                                   F.count("*").alias("copies")), "vec-classes")
     heads = staged(rows.join(hinted(classes.select("cid", "rep", "copies")), "cid")
-                   .select("cid", "rep", "copies", "sketch", "keys", "embedding"), "vec-heads")
+                   .select("cid", "rep", "copies", "s1", "s2", "keys", "embedding"), "vec-heads")
 
-    members = heads.select("cid", "sketch", F.posexplode("keys").alias("nth", "key")) \
-        .select("key", "cid", "sketch", (F.col("nth") % (PROBES + 1) == 0).alias("home"))
+    members = heads.select("cid", "s1", "s2", F.posexplode("keys").alias("nth", "key")) \
+        .select("key", "cid", "s1", "s2", (F.col("nth") % (PROBES + 1) == 0).alias("home"))
     blocks = members.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("used")) \
         .where("n > 1 AND used").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("g"))
     own = F.pmod(F.xxhash64("cid"), F.col("g")).cast("int")
@@ -348,7 +351,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     dealt = (members.join(hinted(staged(blocks, "vec-blocks")), "key").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "home", "cid", "sketch"))
+                     "own", "home", "cid", "s1", "s2"))
 
     def by_tile(df):
         return df.repartition(*tile).sortWithinPartitions(*tile)
