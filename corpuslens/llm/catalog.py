@@ -24,6 +24,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import decode, encode
 from .quality import COUNTS, quality
+from .search import search
 from .secret_scan import BASE_RULES, listed, scan
 from .sharding import assign_shards
 from .urls import UrlRule, judge_urls
@@ -137,7 +138,13 @@ def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
 
 
+@_query
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
+
+
 ORACLES["op3_neardup"] = twins.NEARDUP
 ORACLES["op4_secrets"] = twins.SECRETS
 ORACLES["op6_quality"] = twins.QUALITY
+ORACLES["op13_search"] = twins.SEARCH
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -100,3 +100,27 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BA
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed l ON l.doc_id = d.doc_id
 """
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+SEARCH = f"""
+WITH items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+tf AS (
+  SELECT uid, doc_id, len(any_value(terms))::BIGINT AS n, term, count(*) AS tf
+  FROM (SELECT uid, doc_id, terms, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM items) GROUP BY uid, doc_id, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, s GROUP BY term),
+parts AS (
+  SELECT uid, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS part
+  FROM tf JOIN w ON w.term = tf.term, s),
+scores AS (
+  SELECT item_id, uid, doc_id, sum(part)::BIGINT AS score FROM parts JOIN items USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

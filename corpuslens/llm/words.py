@@ -88,8 +88,10 @@ class Words:
     first: np.ndarray
 
 
-def find_words(c: Chunk) -> Words:
-    solid = ~_SPACE[c.data]
+def find_words(c: Chunk, part: np.ndarray | None = None) -> Words:
+    """The words of a chunk; ``part`` (a flag for each byte value) says which
+    bytes belong to words, all but white space if it is not given."""
+    solid = ~_SPACE[c.data] if part is None else part[c.data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     heads = c.offsets[:-1][c.offsets[:-1] < c.offsets[1:]]
@@ -104,6 +106,21 @@ def find_words(c: Chunk) -> Words:
     return Words(start, end, doc, first)
 
 
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray,
+                other_end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Whether each byte range of ``data`` (not empty) equals that of ``other``."""
+    same = end - start == other_end - other_start
+    at = np.flatnonzero(same)
+    if len(at):
+        size = (end - start)[at]
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        within = np.arange(int(size.sum())) - np.repeat(begin, size)
+        mine = data[within + np.repeat(start[at], size)]
+        theirs = other[within + np.repeat(other_start[at], size)]
+        same[at] = np.logical_and.reduceat((_LOWER[mine] if lower else mine) == theirs, begin)
+    return same
+
+
 def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte range (ranges are disjoint, ascending, not empty)."""
     if not len(start):
