@@ -16,6 +16,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from . import twins
+from .conversations import audited, damaged
 from .embed_dedup import near_vectors
 from .html_text import main_text
 from .langid import held_out, identify, trained_on_rest
@@ -138,6 +139,12 @@ def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
 
 
+@_query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return audited(damaged(rows), rows)
+
+
 @_query
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
