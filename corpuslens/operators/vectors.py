@@ -34,6 +34,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\x0B]"
 # Query block held by a task, and vectors streamed past it (float64 bytes).
 MAX_QUERY_BLOCK_BYTES = 32 << 20
 VECTOR_BLOCK_BYTES = 128 << 20
+# Distances (and components of differences) that a task holds at once.
+BLOCK_CELLS = 1 << 20
 
 
 def _c(col) -> Column:
@@ -250,20 +252,12 @@ def append_vectors(store, vectors: DataFrame, dim: int, name: str = "vectors",
 def _to_matrix(list_array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Arrow list<float> -> (n x dim float64 matrix, valid mask): rows of the
     right width with finite entries only (a null entry counts as NaN)."""
-    n = len(list_array)
-    if n == 0:
-        return np.zeros((0, dim)), np.zeros(0, dtype=bool)
     lengths = list_array.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     valid = lengths == dim
-    flat = list_array.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if valid.all():
-        out = flat.reshape(n, dim)
-        return out, np.isfinite(out).all(axis=1)
-    out = np.zeros((n, dim))
-    offsets = list_array.offsets.to_numpy()
-    base = offsets[0]
-    for i in np.nonzero(valid)[0]:
-        out[i] = flat[offsets[i] - base: offsets[i] - base + dim]
+    out = np.zeros((len(list_array), dim))
+    if valid.any():
+        rows = list_array if valid.all() else list_array.filter(pa.array(valid))
+        out[valid] = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
     return out, valid & np.isfinite(out).all(axis=1)
 
 
@@ -286,30 +280,72 @@ def _rank_key(dist, rank_decimals):
     return np.floor(dist * (10.0 ** rank_decimals) + 0.5)
 
 
-def _knn_block(V, vids, Q, qidx, k, rank_decimals):
-    """Exact candidates for queries ``Q`` (rows ``qidx``) among vectors ``V``.
+def _least_ids(V, vids, k):
+    """Vectors by ascending id, of equal ones only the ``k`` with the least ids:
+    no other can be among the k nearest of a query."""
+    order = np.argsort(vids, kind="stable")
+    V, vids = V[order], vids[order]
+    V += 0.0  # no negative zeros
+    bits = V.view(np.dtype((np.void, 8 * V.shape[1]))).ravel()
+    _, same = np.unique(bits, return_inverse=True)
+    by = np.argsort(same, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(same[by])) + 1]
+    nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+    kept = np.sort(by[nth < k])
+    return V[kept], vids[kept]
+
+
+def _exact(V, Q, rows, cols):
+    """Sums of squared differences of the pairs, a bounded number at a time."""
+    out = np.empty(len(rows))
+    step = max(1, BLOCK_CELLS // max(1, V.shape[1]))
+    for s in range(0, len(rows), step):
+        diff = V[rows[s:s + step]] - Q[cols[s:s + step]]
+        out[s:s + step] = np.einsum("ij,ij->i", diff, diff)
+    return out
+
+
+def _least_k(key, k):
+    """Per column the ``k`` least entries, equal ones by ascending row."""
+    m = min(k, len(key))
+    kth = np.partition(key, m - 1, axis=0)[m - 1]
+    below = key < kth
+    tied = key == kth
+    return below | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= m - below.sum(axis=0)))
 
-    The |v|^2 + |q|^2 - 2 v.q expansion (BLAS) only pre-selects; every
-    survivor's distance is recomputed as a sum of squared differences, so the
-    result does not suffer from cancellation near zero.
+
+def _knn_block(V, vids, Q, qidx, k, rank_decimals):
+    """At most ``k`` exact candidates for each of the queries ``Q`` (rows
+    ``qidx``) among vectors ``V``, least (key, id) first.
+
+    The |v|^2 + |q|^2 - 2 v.q expansion (BLAS) decides wherever its rounding
+    error cannot matter; entries that it leaves open -- about as far as the
+    k-th, or about to round to another key -- are replaced by a sum of squared
+    differences before the k least are taken. All arrays are bounded by
+    BLOCK_CELLS, however many vectors tie.
     """
     out = [], [], [], []
     if len(V) == 0 or len(Q) == 0:
         return out
+    V, vids = _least_ids(V, vids, k)
     vn = np.einsum("ij,ij->i", V, V)
     qn = np.einsum("ij,ij->i", Q, Q)
-    step = max(1, 4_000_000 // max(1, len(V)))
+    step = max(1, BLOCK_CELLS // len(V))
     m = min(k, len(V))
     for s in range(0, len(Q), step):
         Qs, qns = Q[s:s + step], qn[s:s + step]
-        approx = vn[:, None] + qns[None, :] - 2.0 * (V @ Qs.T)
-        kth = np.partition(approx, m - 1, axis=0)[m - 1]
-        tol = 1e-9 * (vn.max() + qns) + 1e-12
-        if rank_decimals is not None:
-            tol = tol + 10.0 ** -rank_decimals  # all that may round to the same key
-        rows, cols = np.nonzero(approx <= (kth + tol)[None, :])
-        diff = V[rows] - Qs[cols]
-        dist = np.einsum("ij,ij->i", diff, diff)
+        key = vn[:, None] + qns[None, :] - 2.0 * (V @ Qs.T)
+        err = 16 * np.finfo(float).eps * V.shape[1] * (vn.max() + qns) + 1e-300
+        kth = np.partition(key, m - 1, axis=0)[m - 1]
+        near = key <= (kth + 2 * err + (0 if rank_decimals is None else 10.0 ** -rank_decimals))[None, :]
+        if rank_decimals is None:
+            near &= key >= (kth - 2 * err)[None, :]
+        else:
+            near &= _rank_key(key - err, rank_decimals) != _rank_key(key + err, rank_decimals)
+        rows, cols = np.nonzero(near)
+        key[rows, cols] = _exact(V, Qs, rows, cols)
+        rows, cols = np.nonzero(_least_k(_rank_key(key, rank_decimals), k))
+        dist = _exact(V, Qs, rows, cols)
         out[0].append(qidx[s:s + step][cols])
         out[1].append(vids[rows])
         out[2].append(dist)
@@ -333,6 +369,12 @@ class _Cell:
         self.held.append((ids[valid], Q[valid], cls[valid]))
 
     def add_vectors(self, rb) -> None:
+        """Vectors of an Arrow batch, so many at a time that they stay small."""
+        rows = max(64, BLOCK_CELLS // self.dim)
+        for lo in range(0, rb.num_rows, rows):
+            self._add(rb.slice(lo, rows))
+
+    def _add(self, rb) -> None:
         if self.queries is None:
             self.queries = tuple(np.concatenate(x) for x in zip(*self.held)) if self.held else None
             if self.queries is None:

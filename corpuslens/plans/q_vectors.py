@@ -47,6 +47,25 @@ def knn_by_label(spark, sf):
     return _self_knn(spark, sf, True)
 
 
+# Few different vectors, so nearly every distance is a tie: the signs of the
+# first TIE_DIM components.
+TIE_DIM = 5
+
+
+@register("knn_ties", f"""
+WITH t AS (SELECT vec_id, list_transform(list_slice(embedding, 1, {TIE_DIM}), lambda x: sign(x)::FLOAT) AS v FROM embeddings)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, embedding_id, round(dist, 6) AS dist FROM (
+  SELECT query_id, embedding_id, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, embedding_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, v.vec_id AS embedding_id, {sql_l2('q.v', 'v.v')} AS dist FROM t q JOIN t v ON TRUE) d) r
+WHERE rank <= 7""")
+def knn_ties(spark, sf):
+    """D6 where most vectors are equal: 7 nearest, ties by id."""
+    signs = F.transform(F.slice("embedding", 1, TIE_DIM), lambda x: F.signum(x).cast("float"))
+    t = table(spark, sf, "embeddings").select("vec_id", signs.alias("embedding"))
+    res = V.knn(t.withColumnRenamed("vec_id", "embedding_id"), t.withColumnRenamed("vec_id", "query_id"), k=7)
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "embedding_id", F.round("dist", 6).alias("dist"))
+
+
 @register("vec_dim_check", f"""
 SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE embedding IS NULL OR len(embedding) <> {EMB_DIM}

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,45 @@ def test_index_numbers_multi_chunk_files(spark):
     whole = index_corpus(code, docs, embedder=V.HashedEmbedder(dim=8), chunk_size=None, id_start=10)
     got = sorted((r["embedding_id"], r["file_path"]) for r in whole.vectors.collect())
     assert got == [(10, "a.md"), (11, "b.py"), (12, "c.md"), (13, "d.py"), (14, "e.py")]
+
+
+def _sorted_pairs(out):
+    return sorted(zip(np.concatenate(out[0]).tolist(), np.concatenate(out[1]).tolist()))
+
+
+@pytest.mark.parametrize("decimals", [None, 9, 2])
+@pytest.mark.parametrize("values", ["few", "rounded", "any"])
+def test_knn_block_equals_sorting_all_pairs(values, decimals):
+    rng = np.random.default_rng(len(values))
+    for _ in range(40):
+        n, m, dim, k = rng.integers(1, 60), rng.integers(1, 12), rng.integers(1, 6), rng.integers(1, 7)
+        draw = {"few": lambda shape: rng.integers(-1, 2, shape).astype(float), "any": rng.standard_normal,
+                "rounded": lambda shape: np.round(rng.standard_normal(shape), 1)}[values]
+        vectors, queries, ids = draw((n, dim)), draw((m, dim)), rng.permutation(1000)[:n]
+        want = []
+        for q, x in enumerate(queries):
+            diff = vectors - x
+            key = V._rank_key(np.einsum("ij,ij->i", diff, diff), decimals)
+            want += [(q, int(ids[j])) for j in np.lexsort((ids, key))[:k]]
+        assert _sorted_pairs(V._knn_block(vectors, ids, queries, np.arange(m), k, decimals)) == sorted(want)
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_knn_memory_is_bounded_when_all_vectors_tie(equal):
+    """10,000 vectors as far from each of 1,000 queries: no pair of them all is held."""
+    dim, vectors = 768, np.zeros((10_000, 768), np.float32)
+    vectors[np.arange(10_000), 3 if equal else np.arange(10_000) % 700] = 1
+    queries = np.zeros((1000, dim))
+    queries[:, 760] = 1
+    cell = V._Cell(dim, 5, 9, False)
+    cell.queries = (np.arange(1000).astype(object), queries, np.full(1000, None, object))
+    offsets = pa.array(np.arange(0, vectors.size + 1, dim, dtype=np.int32))
+    rb = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel())),
+                                     pa.array(np.arange(10_000))], ["vec", "embedding_id"])
+    tracemalloc.start()
+    try:
+        cell.add_vectors(rb)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert sorted(set(cell.best[1].tolist())) == list(range(5)) and len(cell.best[1]) == 5000
