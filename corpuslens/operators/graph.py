@@ -129,28 +129,33 @@ def merge_graphs(old: tuple, new: tuple, nodes: bool = True):
     old_nodes, old_edges, old_sites = old
     new_nodes, new_edges, new_sites = new
     sites = None if old_sites is None or new_sites is None else old_sites.unionByName(new_sites)
-    edges = (old_edges.unionByName(new_edges)
-             .groupBy("src", "dst")
-             .agg(F.sum("n_calls").alias("n_calls"),
-                  F.min(F.struct(F.col("first_file").isNull().alias("bare"), "first_file",
-                                 "first_seq")).alias("f"))
-             .select("src", "dst", "n_calls", "f.first_file", "f.first_seq"))
-    if not nodes:
-        return None, edges, sites
-    both = old_nodes.unionByName(new_nodes)
+    edges = merge_edge_folds(old_edges.unionByName(new_edges))
+    return (merge_node_folds(old_nodes.unionByName(new_nodes)) if nodes else None), edges, sites
+
+
+def merge_edge_folds(folds: DataFrame) -> DataFrame:
+    """One edge table from the rows of several (of disjoint files)."""
+    return (folds.groupBy("src", "dst")
+            .agg(F.sum("n_calls").alias("n_calls"),
+                 F.min(F.struct(F.col("first_file").isNull().alias("bare"), "first_file",
+                                "first_seq")).alias("f"))
+            .select("src", "dst", "n_calls", "f.first_file", "f.first_seq"))
+
+
+def merge_node_folds(folds: DataFrame) -> DataFrame:
+    """One node table from the rows of several (of disjoint files)."""
     first = F.min(F.struct(F.col("first_ord").alias("ord"), "type", "file_path", "line_number",
                            "docstring", "decorators", "parents", F.col("last_call_ord"))).alias("a")
     last = F.max(F.when(F.col("last_call_ord").isNotNull(),
                         F.struct(F.col("last_call_ord").alias("ord"), "file_path"))).alias("b")
-    g = both.groupBy("name").agg(first, last)
-    nodes = g.select("name", F.col("a.type").alias("type"),
-                     F.coalesce(F.col("b.file_path"), F.col("a.file_path")).alias("file_path"),
-                     F.col("a.line_number").alias("line_number"),
-                     F.col("a.docstring").alias("docstring"),
-                     F.col("a.decorators").alias("decorators"),
-                     F.col("a.parents").alias("parents"),
-                     F.col("a.ord").alias("first_ord"), F.col("b.ord").alias("last_call_ord"))
-    return nodes, edges, sites
+    g = folds.groupBy("name").agg(first, last)
+    return g.select("name", F.col("a.type").alias("type"),
+                    F.coalesce(F.col("b.file_path"), F.col("a.file_path")).alias("file_path"),
+                    F.col("a.line_number").alias("line_number"),
+                    F.col("a.docstring").alias("docstring"),
+                    F.col("a.decorators").alias("decorators"),
+                    F.col("a.parents").alias("parents"),
+                    F.col("a.ord").alias("first_ord"), F.col("b.ord").alias("last_call_ord"))
 
 
 # --------------------------------------------------------------------------

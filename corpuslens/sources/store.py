@@ -1,18 +1,22 @@
-"""Versioned Parquet tables.
-
-Each table lives under ``root/<name>/`` as numbered version folders
-(``v00000001``, ...). A version becomes current when its entry, a small file
-under ``_versions``, appears by an atomic rename; entries are never changed, and
-the highest one is current, so a crash leaves the table as it was. An entry holds
-the folder, the table's schema and a tag. Rewrites (update, delete, clear) make
-a new folder, so a job never overwrites the files it is reading; appends add
-files to the current one. ``root`` may be any file system the cluster can reach,
-by default a folder under ``spark.checkpoint.dir``.
+"""Tables as plain Parquet folders.
+
+Every write is one Spark job into a folder of its own, whose name is never
+used again; it counts once Spark's committer has left ``_SUCCESS`` there. A job
+that fails, or is tried again, so leaves nothing that a reader sees, and no
+folder that a reader may hold is ever written to.
+
+A table's folders lie in numbered generations. An append adds a folder to the
+current one. A replacement (update, delete, clear) starts the next one, by renaming
+a one-line file that names its first folder to ``first``: of two jobs that replace
+the same generation the second fails there and changes nothing, and an append that
+was overtaken by a replacement fails with none of its rows in the table. ``root``
+may be on any file system the cluster can reach, by default under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,103 +30,118 @@ class TableStore:
         self.spark = spark
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
 
-    # -- version entries ----------------------------------------------------
-    def _fs(self, path: str):
+    # -- folders ------------------------------------------------------------
+    def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _entry(self, name: str) -> dict | None:
-        """The current entry; None only where no entry exists. Any failure to
-        list or read raises, so it is never taken for an empty table."""
-        fs, folder = self._fs(f"{self.root}/{name}/_versions")
-        if not fs.exists(folder):
-            return None
-        names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[0].isdigit()]
-        if not numbers:
-            return None
-        newest = f"{folder.toString()}/{max(numbers):08d}.json"
-        return json.loads(self.spark.read.text(newest, wholetext=True).first()[0]) | {"number": max(numbers)}
-
-    def _publish(self, name: str, number: int, schema: T.StructType, folder: str, tag: str | None) -> None:
-        text = json.dumps({"folder": folder, "schema": schema.jsonValue(), "tag": tag})
-        path = f"{self.root}/{name}/_versions"
-        fs, hidden = self._fs(f"{path}/.{uuid.uuid4().hex}")
-        out = fs.create(hidden, False)
-        out.write(bytearray(text, "utf-8"))
-        out.close()
-        if not fs.rename(hidden, self._fs(f"{path}/{number:08d}.json")[1]):
-            raise RuntimeError(f"version {number} of table {name!r} was written by another job")
-
-    def _folder(self, name: str, folder: str) -> str:
-        return f"{self.root}/{name}/{folder}"
+    def _names(self, path: str) -> list[str]:
+        """Names in a folder; none where it does not exist. Any other failure
+        raises, so it is never taken for an empty table."""
+        fs, p = self._path(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _committed(self, path: str) -> bool:
+        fs, p = self._path(f"{path}/_SUCCESS")
+        return fs.exists(p)
+
+    def _generation(self, name: str) -> int:
+        numbers = sorted((int(n) for n in self._names(f"{self.root}/{name}") if re.fullmatch(r"\d{8}", n)), reverse=True)
+        return next((n for n in numbers if "first" in self._names(self._home(name, n))), 0)
+
+    def _home(self, name: str, generation: int) -> str:
+        return f"{self.root}/{name}/{generation:08d}"
+
+    def _folders(self, name: str, generation: int) -> dict[str, str]:
+        """Committed folders of a generation by key: its first one (key ``""``) and
+        appends; of several attempts under one key, one counts."""
+        home, out = self._home(name, generation), {}
+        names = self._names(home)
+        if "first" in names:
+            out[""] = f"{home}/{self.spark.read.text(f'{home}/first', wholetext=True).first()[0].strip()}"
+        for n in sorted(names):
+            if (m := re.fullmatch(r"put=add-(.+)-[0-9a-f]{32}", n)) and m[1] not in out and self._committed(f"{home}/{n}"):
+                out[m[1]] = f"{home}/{n}"
+        return out
+
+    def _put(self, df: DataFrame, folder: str, partition_by: list[str] | None) -> None:
+        w = df.write
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(folder)
+        if partition_by and set(self._names(folder)) <= {"_SUCCESS"}:  # no rows, so no file has the columns
+            rest = T.StructType([f for f in df.schema if f.name not in partition_by])
+            empty = "/".join(f"{c}=__HIVE_DEFAULT_PARTITION__" for c in partition_by)
+            self.spark.createDataFrame([], rest).write.parquet(f"{folder}/{empty}")
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        """The rows of folders of one generation; their names look like a partition
+        column to Spark, which is left out."""
+        r = self.spark.read.option("basePath", folders[0].rsplit("/", 1)[0])
+        return r.option("mergeSchema", str(len(folders) > 1).lower()).parquet(*folders).drop("put")
 
     # -- public API ---------------------------------------------------------
     def exists(self, name: str) -> bool:
         """the table has been created."""
-        return self._entry(name) is not None
-
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        """A10: open the table, or an empty one with ``schema`` if absent."""
-        entry = self._entry(name)
-        if entry is None:
+        return bool(self._folders(name, self._generation(name)))
+
+    def keys(self, name: str) -> list[str]:
+        """The keys of the current appends."""
+        return [k for k in self._folders(name, self._generation(name)) if k]
+
+    def read(self, name: str, schema: T.StructType | None = None, keys: list[str] | None = None) -> DataFrame:
+        """A10: open the table (only the appends of ``keys``, if given), or an
+        empty one with ``schema`` if there is nothing to read."""
+        found = self._folders(name, self._generation(name))
+        folders = [f for k, f in found.items() if keys is None or k in keys]
+        if not folders:
             if schema is None:
                 raise FileNotFoundError(f"table {name!r} does not exist")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(self._folder(name, entry["folder"]))
-
-    def version_tag(self, name: str) -> str | None:
-        """The tag stored with the current version (e.g. the last applied
-        batch), or None."""
-        entry = self._entry(name)
-        return entry["tag"] if entry else None
+        return self._load(folders)
 
     def write(self, name: str, df: DataFrame, sort_by: list[str] | None = None,
-              partition_by: list[str] | None = None, tag: str | None = None) -> None:
-        """Replace the table with ``df`` as a new version. ``sort_by`` clusters
+              partition_by: list[str] | None = None) -> None:
+        """Replace the table with ``df``, which may read it. ``sort_by`` clusters
         rows inside files so point lookups skip row groups; ``partition_by``
-        lays out folders that filters on those columns prune. The new version
-        folder is not referenced until the pointer moves, so a retried write
-        may overwrite what a failed attempt left there."""
-        entry = self._entry(name)
-        number = entry["number"] + 1 if entry else 1
-        folder = f"v{number:08d}"
-        out = df.sortWithinPartitions(*sort_by) if sort_by else df
-        w = out.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(self._folder(name, folder))
-        self._publish(name, number, df.schema, folder, tag)
-
-    def _add(self, name: str, df: DataFrame, write) -> None:
-        """Add files to the current folder (or the first one), and an entry
-        with the merged schema where the table is new or gains columns."""
-        entry = self._entry(name)
-        folder = entry["folder"] if entry else "v00000001"
-        old = T.StructType.fromJson(entry["schema"]) if entry else T.StructType([])
-        types = {f.name: f.dataType for f in old}
+        (string columns) lays out folders that filters on them prune."""
+        number = self._generation(name) + 1
+        home, folder = self._home(name, number), f"put=base-{uuid.uuid4().hex}"
+        self._put(df.sortWithinPartitions(*sort_by) if sort_by else df, f"{home}/{folder}", partition_by)
+        fs, claim = self._path(f"{home}/.{folder}")
+        out = fs.create(claim, False)
+        out.write(bytearray(folder, "utf-8"))
+        out.close()
+        first = self._path(f"{home}/first")[1]
+        if fs.exists(first) or not fs.rename(claim, first):
+            raise RuntimeError(f"table {name!r} was replaced by another job meanwhile; it is unchanged by this one")
+
+    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None, key: str | None = None) -> bool:
+        """Add rows (creating the table); columns that it lacks are
+        added to it. Rows appended under a ``key`` are added once: where the
+        key is there, nothing is written and the result is False, so a replayed
+        batch is harmless."""
+        generation = self._generation(name)
+        found = self._folders(name, generation)
+        if key is not None and key in found:
+            return False
+        types = {f.name: f.dataType for f in self._load(list(found.values())).schema} if found else {}
         for f in df.schema:
-            if types.get(f.name, f.dataType).simpleString() != f.dataType.simpleString():
+            if types.get(f.name, f.dataType).simpleString() not in (f.dataType.simpleString(), "void"):
                 raise ValueError(f"column {f.name!r} of table {name!r} is {types[f.name].simpleString()}")
-        write(self._folder(name, folder))
-        new = [f for f in df.schema if f.name not in types]
-        if new or entry is None:
-            self._publish(name, entry["number"] + 1 if entry else 1, T.StructType([*old, *new]), folder,
-                          entry["tag"] if entry else None)
-
-    def put_partitions(self, name: str, df: DataFrame, partition_by: list[str]) -> None:
-        """Write ``df`` into the current version, replacing exactly the
-        partitions it contains (dynamic partition overwrite): writing the same
-        batch twice leaves one copy, so a replayed micro-batch is harmless."""
-        self._add(name, df, df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                  .partitionBy(*partition_by).parquet)
-
-    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """Add rows to the current version (creating the table);
-        columns that the table lacks are added to it."""
-        w = df.write.mode("append")
-        self._add(name, df, (w.partitionBy(*partition_by) if partition_by else w).parquet)
+        attempt = uuid.uuid4().hex
+        self._put(df, f"{self._home(name, generation)}/put=add-{key or attempt}-{attempt}", partition_by)
+        if self._generation(name) != generation:
+            raise RuntimeError(f"table {name!r} was replaced by another job meanwhile; append again")
+        return True
 
     def clear(self, name: str, schema: T.StructType) -> None:
-        """A new, empty version with the declared schema."""
+        """An empty table with the declared schema."""
         self.write(name, self.spark.createDataFrame([], schema))
+
+    def remove_replaced(self, name: str) -> None:
+        """Delete what replacements have left behind. Only for when no job reads
+        an earlier generation any more."""
+        now = self._generation(name)
+        for n in self._names(f"{self.root}/{name}"):
+            if re.fullmatch(r"\d{8}", n) and int(n) < now:
+                fs, p = self._path(f"{self.root}/{name}/{n}")
+                fs.delete(p, True)

@@ -1,3 +1,3 @@
 """Structured Streaming jobs (incremental ingest of new source files)."""
 
-from .incremental import apply_batch, start_incremental_ingest  # noqa: F401
+from .incremental import apply_batch, graph_tables, start_incremental_ingest  # noqa: F401

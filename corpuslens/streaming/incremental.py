@@ -2,13 +2,16 @@
 
     readStream("srcfiles") --micro-batch of new files--> foreachBatch:
         decode -> dispatch -> index (ids continue after the stored maximum)
-        -> append records, vectors, call sites, quarantine
-        -> graph: fold the batch, merge with the stored folds, new version
+        -> append records, vectors, call sites, quarantine, the batch's graph folds
 
-The graph rules are order-dependent (first writer, last call); a later batch
-holds later files, and the folds are min/max over order keys, so merging the
-stored fold with the batch fold equals a full rebuild over all files in
-arrival order. Every step is idempotent, so a replayed batch is harmless.
+A batch appends the fold of its own files to ``node_folds`` and ``edge_folds``; what is
+stored is not rewritten, so the bytes written follow the batch. ``graph_tables`` merges the
+folds on read: they are min/max over order keys, so the result equals a full rebuild.
+To keep the reads short, every ``FAN`` folds of a level are merged into one of the next,
+so a fold is rewritten once for each level, of which there are log(batches).
+
+Every append carries the batch's number as its key and is added once, so a
+replayed batch is harmless.
 """
 
 from __future__ import annotations
@@ -18,20 +21,59 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..plans.ingest import index_corpus, split_sources
-from ..session import materialize
 from ..sources.srcfiles import DEFAULT_EXTENSIONS, decode_sources, register
 from ..sources.store import TableStore
 
+#: Folds of one level that are merged into one of the next.
+FAN = 8
+
+
+def _cover(store: TableStore, name: str) -> list[tuple[int, int, int]]:
+    """The folds to read, as (level, first batch, last batch): those within no
+    fold of a higher level."""
+    folds = sorted((tuple(int(x) for x in k.split(".")) for k in store.keys(name)), reverse=True)
+    out: list[tuple[int, int, int]] = []
+    for level, lo, hi in folds:
+        if not any(a <= lo and hi <= b for _, a, b in out):
+            out.append((level, lo, hi))
+    return out
+
+
+def _key(fold: tuple[int, int, int]) -> str:
+    return ".".join(map(str, fold))
+
+
+def _merge(store: TableStore, name: str, folds: list) -> DataFrame:
+    """One fold of several."""
+    rows = store.read(name, G.NODE_SCHEMA if name == "node_folds" else G.EDGE_SCHEMA, keys=[_key(f) for f in folds])
+    return G.merge_node_folds(rows) if name == "node_folds" else G.merge_edge_folds(rows)
+
+
+def _compact(store: TableStore, name: str) -> None:
+    """Merge ``FAN`` folds of a level into one of the next, level by level. The
+    merged ones stay where they are and are no longer read."""
+    while True:
+        cover = _cover(store, name)
+        full = [level for level in {f[0] for f in cover} if sum(f[0] == level for f in cover) >= FAN]
+        if not full:
+            return
+        folds = sorted(f for f in cover if f[0] == min(full))[:FAN]
+        store.append(name, _merge(store, name, folds), key=_key((min(full) + 1, folds[0][1], folds[-1][2])))
+
+
+def graph_tables(store: TableStore) -> tuple[DataFrame, DataFrame]:
+    """The graph ``(nodes, edges)`` of all batches so far."""
+    return tuple(_merge(store, name, _cover(store, name)) for name in ("node_folds", "edge_folds"))
+
+
 def apply_batch(store: TableStore, raw: DataFrame, epoch_id: int, embedder=None) -> None:
     """Index one batch of ``raw(path, content, size)`` files into ``store``.
 
-    Idempotent, so a micro-batch replayed after a failure leaves the store as
-    one application would: per-batch rows go to ``_epoch=<id>`` partitions
-    written with dynamic partition overwrite; ids continue after the largest
-    id of earlier batches; the merged graph versions are tagged with the
-    batch they include and are not merged twice.
+    Idempotent, so a micro-batch replayed after a failure leaves the store as one
+    application would: each table takes the batch once, by its number, and ids
+    continue after the largest id of earlier batches.
     """
-    epoch = F.lit(epoch_id).cast("long")
+    epoch, key = F.lit(epoch_id).cast("long"), f"batch{epoch_id}"
     files, undecodable = decode_sources(raw)
     code_src, doc_src, skipped = split_sources(files)
     start = 0
@@ -40,28 +82,14 @@ def apply_batch(store: TableStore, raw: DataFrame, epoch_id: int, embedder=None)
                .agg(F.max("embedding_id")).first()[0])
         start = 0 if top is None else top + 1
     idx = index_corpus(code_src, doc_src, embedder=embedder, id_start=start)
-    store.put_partitions("code_files", idx.code_files.withColumn("_epoch", epoch), ["_epoch"])
-    store.put_partitions("doc_files", idx.doc_files.withColumn("_epoch", epoch), ["_epoch"])
-    store.put_partitions("vectors", idx.vectors.withColumn("_epoch", epoch), ["_epoch", "kind"])
     bad = (idx.quarantine.select("file_path", "error")
            .unionByName(undecodable).unionByName(skipped))
-    store.put_partitions("quarantine", bad.withColumn("_epoch", epoch), ["_epoch"])
-    store.put_partitions("edge_calls", idx.edge_calls.withColumn("_epoch", epoch), ["_epoch"])
-    tag = str(epoch_id)
-    if store.version_tag("nodes") != tag:
-        nodes = idx.nodes
-        if store.exists("nodes"):
-            old = (store.read("nodes"), store.read("edges"), None)
-            nodes = G.merge_graphs(old, (idx.nodes, idx.edges, None))[0]
-            # cut the lineage to the stored version before writing the next one
-            nodes = nodes.transform(materialize)
-        store.write("nodes", nodes, tag=tag)
-    if store.version_tag("edges") != tag:
-        edges = idx.edges
-        if store.exists("edges"):
-            edges = G.merge_graphs((None, store.read("edges"), None),
-                                   (None, idx.edges, None), nodes=False)[1].transform(materialize)
-        store.write("edges", edges, tag=tag)
+    for name, df in {"code_files": idx.code_files, "doc_files": idx.doc_files, "vectors": idx.vectors,
+                     "quarantine": bad, "edge_calls": idx.edge_calls}.items():
+        store.append(name, df.withColumn("_epoch", epoch), partition_by=["kind"] if name == "vectors" else None, key=key)
+    for name, df in {"node_folds": idx.nodes, "edge_folds": idx.edges}.items():
+        store.append(name, df, key=_key((0, epoch_id, epoch_id)))
+        _compact(store, name)
 
 
 def start_incremental_ingest(spark: SparkSession, root: str, store: TableStore,

@@ -77,24 +77,6 @@ def test_reply_is_one_json_object(spark, reply, usable):
     assert df.select(F.coalesce(Q._json_object(F.col("r")), F.lit(False))).first()[0] == usable
 
 
-def test_failed_entry_read_never_writes(spark, tmp_path, monkeypatch):
-    from corpuslens.sources.store import TableStore
-    st = TableStore(spark, str(tmp_path / "s"))
-    two = spark.createDataFrame([(1,), (2,)], "x int")
-    st.write("t", two)
-    entry = tmp_path / "s" / "t" / "_versions" / "00000001.json"
-    kept = entry.read_text()
-    entry.write_text("{broken")
-    (entry.parent / f".{entry.name}.crc").unlink(missing_ok=True)
-    for act in (lambda: st.append("t", two), lambda: st.write("t", two), lambda: st.read("t"), lambda: st.exists("t")):
-        with pytest.raises(Exception):
-            act()
-    entry.write_text(kept)
-    assert st.read("t").count() == 2
-    with pytest.raises(RuntimeError):  # two writers of one version: the second fails
-        st._publish("t", 1, two.schema, "v00000001", None)
-
-
 def test_append_adds_columns_and_refuses_other_types(spark, tmp_path):
     from corpuslens.sources.store import TableStore
     st = TableStore(spark, str(tmp_path / "s"))
