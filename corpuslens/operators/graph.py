@@ -12,9 +12,11 @@ order-dependent, so every event carries an explicit order key
   wins; a node never called keeps its entity's file;
 * E3: one edge per (caller, callee); its call sites, in arrival order.
 
-Both folds are ``min``/``max`` over ordered structs, which Spark aggregates
-partially on the map side -- a hot callee (``print``, ``len``) is combined
-before the shuffle instead of landing whole in one task. Call sites stay as
+The folds work on the order key packed in one long (dense number of the file
+in path order, phase, position), so they are hash aggregates of longs that
+combine on the map side: a hot callee (``print``, ``len``) never lands whole in
+one task, and no docstring is sorted or shuffled before the winners are known;
+joins then fetch the winners' attributes and paths. Call sites stay as
 rows (``edge_calls``) rather than one array per edge, so a hot edge never has
 to fit in one row.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .code import calls as explode_calls
-from .code import entities as explode_entities
+from .ids import dense_ids
 from .lookup import probe
 
 ORD_SCHEMA = T.StructType([T.StructField("f", T.StringType()), T.StructField("p", T.IntegerType()),
@@ -62,38 +64,48 @@ def _ord(file_path: Column, phase: int, seq: Column) -> Column:
     return F.struct(file_path.alias("f"), F.lit(phase).alias("p"), seq.cast("int").alias("s"))
 
 
-def events(code_files: DataFrame) -> DataFrame:
-    """One row per node touch: ``name, ord, is_entity, is_call, attrs...``."""
-    ents = explode_entities(code_files).select(
-        "name", _ord(F.col("file_path"), 0, F.col("ent_no")).alias("ord"),
-        F.lit(True).alias("is_entity"), F.lit(False).alias("is_call"),
-        "type", "file_path", "line_number", "docstring", "decorators", "parents")
-    cs = explode_calls(code_files)
-    touch = F.explode(F.array(F.col("caller"), F.col("callee"))).alias("name")
-    calls = cs.select(touch, _ord(F.col("file_path"), 1, F.col("call_no")).alias("ord"),
-                      F.lit(False).alias("is_entity"), F.lit(True).alias("is_call"),
-                      F.lit(None).cast("string").alias("type"), "file_path",
-                      F.lit(None).cast("int").alias("line_number"),
-                      F.lit(None).cast("string").alias("docstring"),
-                      F.lit(None).cast("array<string>").alias("decorators"),
-                      F.lit(None).cast("array<string>").alias("parents"))
-    return ents.unionByName(calls)
-
-
-def fold_nodes(ev: DataFrame) -> DataFrame:
-    """E1 + E2: the node table."""
-    first = F.min(F.struct("ord", "is_entity", "type", "file_path", "line_number",
-                           "docstring", "decorators", "parents")).alias("first")
-    last_call = F.max(F.when(F.col("is_call"), F.struct("ord", "file_path"))).alias("last_call")
-    g = ev.groupBy("name").agg(first, last_call)
-    ent = F.col("first.is_entity")
-    pick = lambda c: F.when(ent, F.col(f"first.{c}"))
-    return g.select(
-        "name", pick("type").alias("type"),
-        F.coalesce(F.col("last_call.file_path"), F.col("first.file_path")).alias("file_path"),
-        pick("line_number").alias("line_number"), pick("docstring").alias("docstring"),
-        pick("decorators").alias("decorators"), pick("parents").alias("parents"),
-        F.col("first.ord").alias("first_ord"), F.col("last_call.ord").alias("last_call_ord"))
+# Packed order key: 31 bits of file number, one of phase, 31 of position.
+_FILE_BIT, _PHASE_BIT = 32, 31
+
+
+def _file_numbers(code_files: DataFrame) -> DataFrame:
+    """``file_path, file_no``: files numbered from 0 in path order."""
+    return dense_ids(code_files.select("file_path").distinct(), ["file_path"], "file_no")
+
+
+def _packed(phase: int, seq: str) -> Column:
+    return (F.shiftleft(F.col("file_no"), _FILE_BIT)
+            + F.lit(phase << _PHASE_BIT).cast("long") + F.col(seq).cast("long"))
+
+
+def _file_of(key: str) -> Column:
+    return F.shiftright(F.col(key), _FILE_BIT)
+
+
+def _unpacked(key: str, path: str) -> Column:
+    """``ord`` of a packed key (null where the key is) whose file is ``path``."""
+    phase = F.shiftright(F.col(key), _PHASE_BIT).bitwiseAND(F.lit(1).cast("long"))
+    seq = F.col(key).bitwiseAND(F.lit((1 << _PHASE_BIT) - 1).cast("long"))
+    return F.when(F.col(key).isNotNull(), F.struct(F.col(path).alias("f"), phase.cast("int").alias("p"), seq.cast("int").alias("s")))
+
+
+def fold_nodes(code_files: DataFrame, numbers: DataFrame) -> DataFrame:
+    """E1 + E2: the node table of parsed files; ``numbers`` as ``_file_numbers``."""
+    numbered = code_files.select("file_path", "entities", "function_calls").join(numbers, "file_path")
+    ents = numbered.select("file_no", F.posexplode("entities").alias("seq", "e")).select(_packed(0, "seq").alias("at"), "e.*")
+    calls = numbered.select("file_no", F.posexplode("function_calls").alias("seq", "c")) \
+        .select(_packed(1, "seq").alias("at"), F.explode(F.array("c.caller", "c.callee")).alias("name"))
+    touches = ents.select("name", "at", F.lit(None).cast("long").alias("called")) \
+        .unionByName(calls.withColumn("called", F.col("at")))
+    g = touches.groupBy("name").agg(F.min("at").alias("first"), F.max("called").alias("last"))
+    attrs = ents.select(F.col("at").alias("first"), "type", "line_number", "docstring", "decorators", "parents")
+    path = lambda key, out: numbers.select(F.col("file_no").alias(key), F.col("file_path").alias(out))
+    g = (g.join(attrs, "first", "left")
+         .withColumn("first_no", _file_of("first")).withColumn("last_no", _file_of("last"))
+         .join(path("first_no", "first_path"), "first_no").join(path("last_no", "last_path"), "last_no", "left"))
+    return g.select("name", "type", F.coalesce("last_path", "first_path").alias("file_path"), "line_number", "docstring",
+                    "decorators", "parents", _unpacked("first", "first_path").alias("first_ord"),
+                    _unpacked("last", "last_path").alias("last_call_ord"))
 
 
 def edge_calls(code_files: DataFrame) -> DataFrame:
@@ -103,18 +115,20 @@ def edge_calls(code_files: DataFrame) -> DataFrame:
         _ord(F.col("file_path"), 1, F.col("call_no")).alias("ord"))
 
 
-def fold_edges(sites: DataFrame) -> DataFrame:
+def fold_edges(code_files: DataFrame, numbers: DataFrame) -> DataFrame:
     """One edge per (src, dst) with its call count and first call."""
-    g = sites.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_calls"),
-                                        F.min("ord").alias("first_ord"))
-    return g.select("src", "dst", "n_calls", F.col("first_ord.f").alias("first_file"),
-                    F.col("first_ord.s").alias("first_seq"))
+    numbered = code_files.select("file_path", "function_calls").join(numbers, "file_path")
+    calls = numbered.select("file_no", F.posexplode("function_calls").alias("seq", "c")) \
+        .select(F.col("c.caller").alias("src"), F.col("c.callee").alias("dst"), _packed(1, "seq").alias("at"))
+    g = calls.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_calls"), F.min("at").alias("first"))
+    return g.withColumn("file_no", _file_of("first")).join(numbers, "file_no").select(
+        "src", "dst", "n_calls", F.col("file_path").alias("first_file"), _unpacked("first", "file_path")["s"].alias("first_seq"))
 
 
 def build_graph(code_files: DataFrame):
     """(nodes, edges, edge_calls) from parsed code files."""
-    sites = edge_calls(code_files)
-    return fold_nodes(events(code_files)), fold_edges(sites), sites
+    numbers = _file_numbers(code_files)
+    return fold_nodes(code_files, numbers), fold_edges(code_files, numbers), edge_calls(code_files)
 
 
 def merge_graphs(old: tuple, new: tuple, nodes: bool = True):
