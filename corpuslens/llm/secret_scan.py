@@ -198,25 +198,26 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def _scan(x: Column) -> Column:
-    """Inclusive running sums of a short int array."""
+def _scan(x: Column, join) -> Column:
+    """Inclusive running values of a short int array."""
     return F.aggregate(x, F.array().cast("array<int>"), lambda acc, v: F.concat(
-        acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + v)))
+        acc, F.array(join(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), v))))
 
 
-def running_sums(df: DataFrame, names: Sequence[str], block: int = 256) -> DataFrame:
-    """``df`` with each int array of ``names`` replaced by its running sums.
-    Blocks are summed first, so the work stays near linear for long arrays."""
+def running(df: DataFrame, names: Sequence[str], join=lambda a, b: a + b, block: int = 256) -> DataFrame:
+    """``df`` with each array of ``names`` (ints from 0) replaced by its running
+    sums, or the running values of another ``join`` with 0 as its unit. Blocks
+    are joined first, so the work stays near linear for long arrays."""
     def cut(c: str) -> Column:
         n = F.col(c)
         return F.when(F.size(n) > 0, F.transform(F.sequence(F.lit(1), F.size(n), F.lit(block)),
                                                  lambda i: F.slice(n, i, block)))
 
     df = settled(df, **{f"{c}_b": cut(c) for c in names})
-    df = settled(df, **{f"{c}_t": F.transform(f"{c}_b", lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v))
-                        for c in names})
-    df = settled(df, **{f"{c}_o": F.zip_with(_scan(F.col(f"{c}_t")), f"{c}_t", lambda a, b: a - b) for c in names})
-    sums = {f"{c}_r": F.flatten(F.zip_with(f"{c}_b", f"{c}_o", lambda b, base: F.transform(_scan(b), lambda v: v + base)))
+    df = settled(df, **{f"{c}_t": F.transform(f"{c}_b", lambda b: F.aggregate(b, F.lit(0), join)) for c in names})
+    before = lambda c: F.slice(F.concat(F.array(F.lit(0)), _scan(F.col(f"{c}_t"), join)), F.lit(1), F.size(f"{c}_t"))
+    df = settled(df, **{f"{c}_o": F.when(F.col(f"{c}_t").isNotNull(), before(c)) for c in names})
+    sums = {f"{c}_r": F.flatten(F.zip_with(f"{c}_b", f"{c}_o", lambda b, base: F.transform(_scan(b, join), lambda v: join(base, v))))
             for c in names}
     df = settled(df, **sums)
     return df.drop(*names, *(f"{c}_{x}" for c in names for x in "bto")).withColumnsRenamed({f"{c}_r": c for c in names})
@@ -256,7 +257,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         sizes[f"g{k}"] = F.when(F.col(f"f{k}"), F.transform(F.split("_text", r.pattern, -1), F.length))
     rows = settled(rows, **sizes)
     rows = settled(rows, **{f"s{k}": F.zip_with(f"g{k}", F.concat(F.array(F.lit(0)), f"h{k}"), lambda g, h: g + h) for k in ks})
-    rows = running_sums(rows, [f"s{k}" for k in ks])
+    rows = running(rows, [f"s{k}" for k in ks])
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     spans = []
     for k, r in enumerate(rules):
@@ -284,29 +285,45 @@ def listed(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
         ":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``mark``."""
-    blank = F.array().cast("array<struct<start:int,end:int>>")
+#: Code points of a block of a text that is redacted.
+BLOCK = 1024
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), joined).otherwise(
-            F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
 
-    parts = F.aggregate(spans, blank, add)
-    bounds = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), parts)
-    kept = F.transform(bounds, lambda b, i: F.substring(
-        text, b["end"] + 1, F.coalesce(F.get(parts, i)["start"], F.length(text)) - b["end"]))
-    return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
+def redacted(rows: DataFrame, text: Column, mark: str = "[SECRET]") -> DataFrame:
+    """``rows(spans, ...)`` with ``_new``: ``text`` with every span, overlapping
+    ones as one, replaced by ``mark``.
+
+    The work is near linear in the text and its spans: a span begins a new
+    part where it starts at or after all earlier ends (a running maximum), and
+    the gaps between parts are cut from blocks of the text, not from its start."""
+    some = F.size("spans") > 0
+    rows = settled(rows, _from=F.when(some, F.transform("spans", lambda s: s["start"])),
+                   _to=F.when(some, F.transform("spans", lambda s: s["end"])), _len=F.length(text),
+                   _blocks=F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+    rows = running(rows, ["_to"], lambda a, b: F.greatest(a, b))
+    zero = F.array(F.lit(0))
+    rows = settled(rows, _gaps=F.filter(
+        F.zip_with(F.concat(zero, "_to"), F.concat("_from", F.array("_len")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        lambda g: g["a"] <= g["b"]))
+    at = lambda x: F.floor(x / BLOCK).cast("int")
+
+    def cut(g: Column) -> Column:
+        first, last, start = at(g["a"]), at(g["b"] - 1), g["a"] % BLOCK + 1
+        long = F.concat(F.substring(F.get("_blocks", first), start, F.lit(BLOCK)),
+                        F.array_join(F.slice("_blocks", first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                        F.substring(F.get("_blocks", last), F.lit(1), g["b"] - last * BLOCK))
+        return F.when(g["a"] == g["b"], "").when(first == last, F.substring(F.get("_blocks", first), start, g["b"] - g["a"])) \
+            .otherwise(long)
+
+    rows = settled(rows, _new=F.when(some, F.array_join(F.transform("_gaps", cut), mark)).otherwise(text))
+    return rows.drop("_from", "_to", "_len", "_blocks", "_gaps")
 
 
 def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` with secrets replaced in ``text`` and, where there
     is such a column, ``n_chars`` counted anew; null texts stay null."""
     text = F.col("row.text")
-    rows = scan(docs, rules).withColumn("_new", F.when(text.isNotNull(), redacted(text, F.col("spans"))))
+    rows = redacted(scan(docs, rules), text)
     out = []
     for c, kind in docs.dtypes:
         if c == "text":
