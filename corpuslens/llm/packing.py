@@ -10,7 +10,9 @@ dynamic programming over the capacity), and it is used as often as its scarcest
 length allows. Every configuration of the solution is rounded down to whole
 sequences that use no piece twice, the other pieces are placed best fit, in
 groups of equal length, and the fewest sequences are kept: of that, of the same
-with full configurations only, and of best fit alone.
+with full configurations only, and of best fit alone. The weights also price
+every length, which bounds the sequences from below; while the plan is further than
+GAP above that, the program is solved again with smaller steps.
 
 Pieces are then numbered within their length and look up their place in the
 plan, whose size depends on the number of configurations, not on the data.
@@ -18,6 +20,7 @@ plan, whose size depends on the number of configurations, not on the data.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -34,9 +37,14 @@ from pyspark.sql.window import Window
 from .memo import UnitMemo
 from .staging import arrow_map, schema_with, staged
 
-#: Multiplicative weights: fall of a weight as its length is covered once, lead
-#: in coverage from which a length has no value, coverage of one step, and steps.
-RATE, AHEAD, STEP, STEPS = 10.0, 0.3, 0.1, 1500
+#: Multiplicative weights: fall of a weight as its length is covered once, and
+#: lead in coverage from which a length has no value.
+RATE, AHEAD = 10.0, 0.3
+#: Runs of the program: coverage of one step, and steps at most. The next run, with
+#: smaller steps, is made only while the sequences are more than GAP above the
+#: best lower bound that the weights of any step have proved.
+RUNS = ((0.1, 400), (0.02, 1500), (0.005, 4000))
+GAP = 0.001
 
 # The pre-tokenising pattern of byte-level BPE.
 # PLAIN_TOKENS is the same for texts without a character that ODD finds, on
@@ -135,47 +143,51 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, closing: int
 
 def priciest_fill(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of each size (ascending) that fill ``capacity`` at the highest
-    price: an unbounded knapsack."""
-    value = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    price: an unbounded knapsack. Room left over is filled with nothings of size 1."""
+    dense = np.full(capacity + 1, -np.inf)
+    dense[1] = 0.0
+    dense[sizes] = np.where(sizes == 1, np.maximum(price, 0), price)
+    backwards = dense[::-1].copy()
+    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        value[c], k = value[c - 1], int(fits[c])
-        if k:
-            worth = value[c - sizes[:k]] + price[:k]
-            best = int(worth.argmax())
-            if worth[best] > value[c]:
-                value[c], take[c] = worth[best], best
+        worth = value[:c] + backwards[capacity - c:capacity]
+        best = int(worth.argmax())
+        value[c], last[c] = worth[best], c - best
     counts, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            counts[take[c]] += 1
-            c -= sizes[take[c]]
+        k = int(np.searchsorted(sizes, last[c]))
+        if k < len(sizes) and sizes[k] == last[c] and price[k] > 0:
+            counts[k] += 1
+        c -= int(last[c])
     return counts
 
 
-def fractional_cover(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[tuple[float, np.ndarray]]:
+def fractional_cover(sizes: np.ndarray, need: np.ndarray, capacity: int, step: float,
+                     steps: int) -> tuple[list[tuple[float, np.ndarray]], float]:
     """Configurations and how often each is used: a fractional solution that
     uses no length more often than ``need`` (positive) and covers as much of it
-    as it can. A length's weight falls with its coverage, and a length that runs
-    ``AHEAD`` of the mean is worth nothing until the others catch up; a step
-    covers STEP of the scarcest length of the configuration."""
+    as it can; and a lower bound of the sequences that all of ``need`` takes. A
+    length's weight falls with its coverage, and a length that runs ``AHEAD`` of the
+    mean is worth nothing until the others catch up; a step covers ``step`` of the
+    scarcest length of the configuration. Prices under which no filling is worth
+    more than one sequence bound the sequences from below by what ``need`` is worth."""
     covered = np.zeros(len(sizes))
     used: dict[bytes, list] = {}
-    for _ in range(STEPS):
+    bound = 0.0
+    for _ in range(steps):
         weight = np.exp(-RATE * (covered - covered.mean())) - np.exp(-RATE * AHEAD)
-        fill = priciest_fill(sizes, sizes * weight, capacity)
+        price = np.maximum(sizes * weight, 0)
+        fill = priciest_fill(sizes, price, capacity)
         inside = fill > 0
         if not inside.any():
             break
-        times = STEP * float((need[inside] / fill[inside]).min())
+        bound = max(bound, float((need * price).sum() / (fill * price).sum()))
+        times = step * float((need[inside] / fill[inside]).min())
         covered += fill * times / need
         used.setdefault(fill.tobytes(), [0.0, fill])[0] += times
         if covered.min() >= 3:
             break
-    return [(times / covered.max(), fill) for times, fill in used.values()]
+    return [(times / covered.max(), fill) for times, fill in used.values()], bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
@@ -235,9 +247,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
         return out
     sizes = np.array(sorted(left), np.int64)
     need = np.array([left[s] for s in sizes.tolist()], np.int64)
-    solution = fractional_cover(sizes, need.astype(float), capacity)
-    ways = [_rounded(solution, sizes, need, capacity, least) for least in (capacity, 0)] + [best_fit(left, capacity)]
-    return out + min(ways, key=lambda way: sum(n for _, n in way))
+    count = lambda way: sum(n for _, n in way)
+    best, bound = best_fit(left, capacity), float((need * sizes).sum()) / capacity
+    for step, steps in RUNS:
+        solution, proved = fractional_cover(sizes, need.astype(float), capacity, step, steps)
+        bound = max(bound, proved)
+        best = min([best, *(_rounded(solution, sizes, need, capacity, least) for least in (capacity, 0))], key=count)
+        if count(best) <= math.ceil(bound - 1e-6) * (1 + GAP):
+            break
+    return out + best
 
 
 class Places:

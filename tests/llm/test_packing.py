@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from cases import edge_docs, edge_rows, no_docs, some_docs
 from conftest import SMOKE
 from corpuslens.llm import catalog
-from corpuslens.llm.packing import ByteTokens, best_fit, pack_documents, plan, priciest_fill
+from corpuslens.llm.packing import ByteTokens, best_fit, fractional_cover, pack_documents, plan, priciest_fill
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -105,6 +105,24 @@ def test_plan_is_close_to_the_bound():
     assert used <= 1.005 * sum(n for _, n in best_fit(dict(histogram), 1024)) + 1
 
 
+@pytest.mark.parametrize("histogram, optimum", [({400: 100_000, 300: 50_000}, 62_500), ({350: 9000, 260: 9000, 205: 9000}, 7364)])
+def test_plan_solves_the_program(histogram, optimum):
+    """Far from best fit, the weights settle on the optimum of the program."""
+    used = sum(n for _, n in plan(histogram, 1024))
+    assert optimum <= used <= 1.001 * optimum
+    assert used < 0.95 * sum(n for _, n in best_fit(dict(histogram), 1024))
+
+
+def test_bound_is_below_every_plan_and_uniform_lengths_are_near_it():
+    histogram = {s: 255 for s in range(1, 1024)}
+    sizes, need = np.array(sorted(histogram)), np.full(1023, 255.0)
+    _, bound = fractional_cover(sizes, need, 1024, 0.1, 30)
+    used = sum(n for _, n in plan(histogram, 1024))
+    assert bound <= used <= 1.01 * bound
+    _, small = fractional_cover(np.array([300, 400]), np.array([50_000.0, 100_000.0]), 1024, 0.02, 1500)
+    assert 62_000 < small <= 62_500
+
+
 @pytest.mark.parametrize("n", [1, 10, 1000])
 def test_plan_uses_configurations_that_are_not_full(n):
     """No filling of these lengths is 1024; the bound is 1020 tokens a sequence."""
