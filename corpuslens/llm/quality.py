@@ -29,8 +29,6 @@ from .words import Chunk, chunks, find_words, hash_ranges, mix64
 MARGINS = {"symbol_rate": 40, "upper_rate": 60, "bang_rate": 40, "dup_line_rate": 450, "repeat_rate": 300}
 SPREAD = 3
 PRIOR = 200
-#: Of the SQL twin, which switches at this size instead of blending.
-MIN_GROUP = 200
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _ALL = (*COUNTS, *MARGINS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import MARGINS, MIN_GROUP, SPREAD
+from .quality import MARGINS, PRIOR, SPREAD
 from .secret_scan import BASE_RULES, RULES
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -36,14 +36,20 @@ _RATES = {
 }
 
 
-def _fences(by: str) -> str:
-    cut = lambda k, q: f"list_sort(list({k}))[({q} * count(*) + 3) // 4]"
-    each = ", ".join(f"{cut(k, 3)} + {SPREAD} * ({cut(k, 3)} - {cut(k, 1)}) + {m} AS {k}" for k, m in MARGINS.items())
-    return f"SELECT {by}count(*) AS size, {each} FROM rated WHERE NOT base_failed" + (f" GROUP BY {by.rstrip(', ')}" if by else "")
+def _blend(own: str, below: str) -> str:
+    """Share up to a grid value of a group's counts and PRIOR documents dealt as below."""
+    return f"({own}.upto + {PRIOR} * {below}) / ({own}.size + {PRIOR})"
 
 
-def _limit(k: str) -> str:
-    return f"CASE WHEN g.size >= {MIN_GROUP} THEN g.{k} WHEN l.size >= {MIN_GROUP} THEN l.{k} ELSE a.{k} END"
+def _counted(name: str, by: str) -> str:
+    """Documents up to each grid value of each rate, by group: ``by``..., rate, v, upto, size."""
+    same = "".join(f"n.{c} IS NOT DISTINCT FROM k.{c} AND " for c in by.split(", ") if c)
+    cols = "".join(f"k.{c}, " for c in by.split(", ") if c)
+    more = f"{by}, " if by else ""
+    return f"""{name} AS (
+  SELECT {cols}k.rate, v, k.size, sum(coalesce(n.n, 0)) OVER (PARTITION BY {cols}k.rate ORDER BY v)::DOUBLE AS upto
+  FROM (SELECT {more}rate, count(*)::DOUBLE AS size FROM sketched GROUP BY {more}rate) k CROSS JOIN range(0, 1001) AS grid(v)
+  LEFT JOIN (SELECT {more}rate, x, count(*) AS n FROM sketched GROUP BY {more}rate, x) n ON {same}n.rate = k.rate AND n.x = v)"""
 
 
 QUALITY = rf"""
@@ -65,13 +71,24 @@ rated AS (
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          {", ".join(f"{v} AS {k}" for k, v in _RATES.items())}
   FROM counted),
-g AS ({_fences("lang, source, ")}),
-l AS ({_fences("lang, ")}),
-a AS ({_fences("")})
+sketched AS (
+  SELECT lang, source, unnest([{", ".join(f"'{k}'" for k in MARGINS)}]) AS rate, unnest([{", ".join(MARGINS)}]) AS x
+  FROM rated WHERE NOT base_failed),
+{_counted("g", "lang, source")},
+{_counted("l", "lang")},
+{_counted("a", "")},
+shares AS (
+  SELECT g.lang, g.source, g.rate, g.v, {_blend("g", "(" + _blend("l", "(a.upto / a.size)") + ")")} AS share
+  FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.rate = g.rate AND l.v = g.v JOIN a ON a.rate = g.rate AND a.v = g.v),
+quantiles AS (
+  SELECT lang, source, rate, min(v) FILTER (WHERE share >= 0.25 - 1e-12) AS low, min(v) FILTER (WHERE share >= 0.75 - 1e-12) AS high
+  FROM shares GROUP BY lang, source, rate),
+limits AS (
+  SELECT lang, source, {", ".join(f"max(high + {SPREAD} * (high - low) + {m}) FILTER (WHERE rate = '{k}') AS {k}" for k, m in MARGINS.items())}
+  FROM quantiles GROUP BY lang, source)
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
-       NOT r.base_failed AND NOT coalesce({" OR ".join(f"r.{k} > {_limit(k)}" for k in MARGINS)}, false) AS kept
-FROM rated r LEFT JOIN g ON g.lang IS NOT DISTINCT FROM r.lang AND g.source IS NOT DISTINCT FROM r.source
-LEFT JOIN l ON l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN a ON true
+       NOT r.base_failed AND NOT coalesce({" OR ".join(f"r.{k} > f.{k}" for k in MARGINS)}, false) AS kept
+FROM rated r LEFT JOIN limits f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source
 """
 
 

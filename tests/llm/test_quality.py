@@ -1,14 +1,18 @@
+import bisect
 import collections
+import functools
 import random
 import re
 from fractions import Fraction
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from cases import edge_docs, edge_rows, no_docs
 from conftest import SMOKE
 from corpuslens.llm import catalog
-from corpuslens.llm.quality import COUNTS, MARGINS, MIN_GROUP, PRIOR, SPREAD, adaptive_fences, base_failed, measured, merged, quality, quality_filter, rate_sketch
+from corpuslens.llm.quality import COUNTS, MARGINS, PRIOR, SPREAD, adaptive_fences, base_failed, measured, merged, quality, quality_filter, rate_sketch
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -35,27 +39,57 @@ def rates(text):
 
 
 def brute_force(rows):
-    """Verdicts of (lang, source, text) rows, with exact quantiles per group."""
+    """Verdicts of (lang, source, text) rows: quantiles of a group's documents and
+    PRIOR more that are dealt as in its language, that likewise, in fractions."""
     failed = [counts(t)[0] < 50 or 100 * counts(t)[4] > 50 * counts(t)[0] for _, _, t in rows]
     own = [rates(t) for _, _, t in rows]
-
-    def fence(members, rate):
-        values = sorted(own[k][rate] for k in members)
-        low, high = values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1]
-        return high + SPREAD * (high - low) + MARGINS[rate]
-
     groups = {}
     for k, (lang, source, _) in enumerate(rows):
         if not failed[k]:
             for g in ((lang, source), lang, "all"):
                 groups.setdefault(g, []).append(k)
-    out = []
-    for k, (lang, source, _) in enumerate(rows):
-        g = next((g for g in ((lang, source), lang) if len(groups.get(g, [])) >= MIN_GROUP), "all")
-        out.append(not failed[k] and all(own[k][r] <= fence(groups[g], r) for r in MARGINS))
+
+    @functools.cache
+    def fence(lang, source, rate):
+        some = [sorted(own[k][rate] for k in groups[g]) for g in ((lang, source), lang, "all")]
+
+        def share(v, n=0):
+            upto = bisect.bisect_right(some[n], v)
+            if n == 2:
+                return Fraction(upto, len(some[n]))
+            return (upto + PRIOR * share(v, n + 1)) / (len(some[n]) + PRIOR)
+
+        low, high = (next(v for v in sorted(set(some[2])) if share(v) >= Fraction(q, 4)) for q in (1, 3))
+        return high + SPREAD * (high - low) + MARGINS[rate]
+
+    out = [not failed[k] and all(own[k][r] <= fence(lang, source, r) for r in MARGINS) for k, (lang, source, _) in enumerate(rows)]
     return failed, out
 
 
+def test_twin_is_the_formula_of_the_query(spark):
+    """Groups of 1 to 900 documents, whose rates differ by group."""
+    rng = random.Random(8)
+    rows = []
+    for g, (lang, source, n) in enumerate([("en", "a", 199), ("en", "b", 200), ("en", "c", 900), ("de", None, 30), ("de", "a", 1), (None, "a", 30)]):
+        for k in range(n):
+            words = [f"{rng.choice('WXwx')}{rng.randrange(10**6)}{'#' if rng.random() < 0.02 * g else ''}" for _ in range(rng.randrange(48, 70))]
+            if rng.random() < 0.15:  # at and around the fences
+                words = [w + rng.choice("!#") * rng.randrange(4) for w in words]
+            if rng.random() < 0.3:
+                words += words[:rng.randrange(3, 30)]
+            lines = [" ".join(words[:30]), " ".join(words[30:])] + ["once more"] * rng.choice([0, 0, 1, 3, 6])
+            rows.append((lang, source, "\n".join(lines)))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    cursor = con.execute(catalog.ORACLES["op6_quality"])
+    names = [c[0] for c in cursor.description]
+    twin = {r[names.index("doc_id")]: (r[names.index("base_failed")], r[names.index("kept")]) for r in cursor.fetchall()}
+    assert twin == got == dict(enumerate(zip(*brute_force(rows))))
+    assert 0.02 < sum(not kept and not failed for failed, kept in got.values()) / len(rows) < 0.9
+
+
 def test_query_equals_brute_force(spark):
     docs = {r.doc_id: (r.lang, r.source, r.text) for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
     failed, kept = (dict(zip(docs, x)) for x in brute_force(list(docs.values())))
