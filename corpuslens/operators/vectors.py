@@ -62,14 +62,63 @@ def chunk_array(tokens, chunk_size: int = CHUNK_SIZE) -> Column:
                     lambda i: F.slice(t, i * chunk_size + 1, chunk_size)))
 
 
+# A text above PIECE_CHARS characters is cut at white space into pieces of about
+# that size, which are tokenised by themselves, so no row holds all its tokens.
+# A run without white space stays whole. The tokenizer's tokens must not span
+# white space; the default's do not.
+PIECE_CHARS = 1 << 16
+
+
+def _is_long(text_col: str) -> Column:
+    return F.length(text_col) > PIECE_CHARS
+
+
+def _piece_tokens(df: DataFrame, text_col: str, key_cols: list[str], tokenizer) -> DataFrame:
+    """``key_cols..., _no, _tokens``: the pieces of long texts."""
+    pattern = rf"(?s).{{1,{PIECE_CHARS}}}(?:\s|\z)|\S+"
+    pieces = df.select(*key_cols, F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))).alias("_no", "_piece"))
+    return pieces.select(*key_cols, "_no", tokenizer(F.col("_piece")).alias("_tokens"))
+
+
+def _long_chunks(df: DataFrame, text_col: str, key_cols: list[str], chunk_size: int, tokenizer) -> DataFrame:
+    """Chunks of long texts: a piece knows how many tokens come before it in its
+    text, so it deals its tokens to chunks, which gather them from one piece or more."""
+    pieces = _piece_tokens(df, text_col, key_cols, tokenizer).withColumn("_n", F.size("_tokens")).filter("_n > 0")
+    before = Window.partitionBy(*key_cols).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = lambda place: F.floor(place / F.lit(chunk_size)).cast("int")
+    dealt = pieces.withColumn("chunk_no", F.explode(F.sequence(at(F.col("_before")), at(F.col("_before") + F.col("_n") - 1))))
+    lo = F.greatest(F.col("chunk_no").cast("long") * chunk_size - F.col("_before"), F.lit(0)).cast("int")
+    hi = F.least((F.col("chunk_no") + 1).cast("long") * chunk_size - F.col("_before"), F.col("_n")).cast("int")
+    part = F.struct("_no", F.slice("_tokens", lo + 1, hi - lo).alias("t"))
+    return dealt.groupBy(*key_cols, "chunk_no").agg(F.array_sort(F.collect_list(part)).alias("_parts")) \
+        .select(*key_cols, "chunk_no", F.flatten(F.transform("_parts", lambda p: p["t"])).alias("tokens"))
+
+
 def chunk_tokens(df: DataFrame, text_col: str, key_cols: list[str],
                  chunk_size: int | None = CHUNK_SIZE, tokenizer=tokenize) -> DataFrame:
     """One row per chunk: ``key_cols..., chunk_no, tokens``. ``chunk_size=None``
-    keeps the whole text as one chunk (D8, whole-file embedding)."""
-    toks = tokenizer(F.col(text_col))
-    chunks = F.array(toks) if chunk_size is None else chunk_array(toks, chunk_size)
-    return (df.select(*key_cols, F.posexplode(chunks).alias("chunk_no", "tokens"))
-              .withColumn("chunk_no", F.col("chunk_no").cast("int")))
+    keeps the whole text as one chunk (D8, whole-file embedding). ``key_cols``
+    identify a text; long texts are cut up first, with the same chunks."""
+    if chunk_size is None:
+        return df.select(*key_cols, F.lit(0).alias("chunk_no"), tokenizer(F.col(text_col)).alias("tokens"))
+    short = df.filter(~_is_long(text_col)).select(*key_cols, F.posexplode(chunk_array(tokenizer(F.col(text_col)), chunk_size))
+                                                  .alias("chunk_no", "tokens"))
+    long = _long_chunks(df.filter(_is_long(text_col)), text_col, key_cols, chunk_size, tokenizer)
+    return short.withColumn("chunk_no", F.col("chunk_no").cast("int")).unionByName(long)
+
+
+def chunk_counts(df: DataFrame, text_col: str, key_cols: list[str],
+                 chunk_size: int | None = CHUNK_SIZE, tokenizer=tokenize) -> DataFrame:
+    """``key_cols..., n_chunks``: how many chunks ``chunk_tokens`` makes of each text."""
+    if chunk_size is None:
+        return df.select(*key_cols, F.lit(1).alias("n_chunks"))
+    short = df.filter(~F.coalesce(_is_long(text_col), F.lit(False))) \
+        .select(*key_cols, chunk_count(tokenizer(F.col(text_col)), chunk_size).alias("n_chunks"))
+    n = F.sum(F.size("_tokens"))
+    long = _piece_tokens(df.filter(_is_long(text_col)), text_col, key_cols, tokenizer) \
+        .groupBy(*key_cols).agg(F.ceil(n / F.lit(chunk_size)).cast("int").alias("n_chunks"))
+    return short.unionByName(long)
 
 
 # --------------------------------------------------------------------------

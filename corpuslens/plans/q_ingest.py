@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.srcfiles import read_sources
 from .corpora import md_pages, py_parts
-from .ingest import index_corpus, split_sources
+from .ingest import parse_corpus, split_sources
 from .registry import register
 from .q_graph import _EVENTS_SQL
 from .q_meta import _KEYS_SQL
@@ -54,12 +54,12 @@ def ingest_tree(spark, sf):
     root = write_tree(spark, corpus_tree(spark, sf))
     files, undecodable = read_sources(spark, root)
     code_src, doc_src, skipped = split_sources(files)
-    idx = index_corpus(code_src, doc_src)
+    idx = parse_corpus(code_src, doc_src)
     counts = [idx.code_files.select(F.lit("code").alias("outcome")),
               idx.doc_files.select(F.lit("doc").alias("outcome")),
               skipped.select(F.lit("skipped").alias("outcome")),
               undecodable.select(F.lit("quarantine").alias("outcome")),
-              idx.quarantine.select(F.lit("quarantine").alias("outcome"))]
+              idx.code_bad.unionByName(idx.doc_bad).select(F.lit("quarantine").alias("outcome"))]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)

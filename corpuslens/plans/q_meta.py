@@ -151,8 +151,7 @@ def _keys(spark, sf):
     code, _ = C.parse_code(py_parts(spark, sf))
     # per-file chunk counts: read by the range pass (twice) and the chunk
     # expansion, so parse once into the checkpoint folder
-    counts = code.select("file_path", V.chunk_count(V.tokenize(F.col("raw_code"))).alias("n_chunks")) \
-                 .transform(materialize)
+    counts = V.chunk_counts(code, "raw_code", ["file_path"]).transform(materialize)
     first = V.file_first_ids(counts, md_pages(spark, sf).select("file_path"))
     return V.number_chunks(first, counts)
 
