@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import preprocess_query as _preprocess
 from ..functions.text import strip_
+from .ids import dense_ids
 
 # Classification labels and keywords, heuristic patterns.
 DOC_LABEL, CODE_LABEL, INVALID_LABEL = "documentation", "code", "Invalid"
@@ -182,6 +183,23 @@ def node_text(names: DataFrame, edges: DataFrame, most: int | None = None) -> Da
     return distinct.join(deps, "name", "left").select("name", text.alias("text"))
 
 
+def neighbour_rows(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """G8 as rows: ``name, place, callee`` for each distinct ``name``, its callees
+    numbered from 1 in first-call order (one row with nulls where it has none).
+
+    All edges of the names are numbered in one order by a range partition, and a
+    name's first number is taken off, so a hub's callees are spread over tasks
+    and never meet in a row, a sort or a window."""
+    distinct = names.select("name").distinct()
+    own = edges.join(distinct.withColumnRenamed("name", "src"), "src", "left_semi") \
+        .select("src", F.col("first_file").isNull().alias("bare"), "first_file", "first_seq", "dst")
+    at = dense_ids(own, ["src", "bare", "first_file", "first_seq", "dst"], "at").select("src", "dst", "at")
+    first = at.groupBy("src").agg(F.min("at").alias("first"))
+    placed = at.join(first, "src").select(F.col("src").alias("name"), (F.col("at") - F.col("first") + 1).alias("place"),
+                                          F.col("dst").alias("callee"))
+    return distinct.join(placed, "name", "left")
+
+
 def mentions(linked: DataFrame) -> DataFrame:
     """The distinct nodes of each question, with the place of the first mention."""
     return linked.groupBy("query_id", "name").agg(F.min("pos").alias("pos"))

@@ -168,6 +168,51 @@ PY_PARTS_SQL = r'''py_parts AS (
   FROM part)'''
 
 
+# --------------------------------------------------------------------------
+# documents -> long Python modules that share names
+# --------------------------------------------------------------------------
+#
+# Line layout (k = doc_id); the text takes as many lines as it has:
+#  1 class Reader(Base):
+#  2     def load(self):
+#  3         return parse(self.path)
+#  4 def load():
+#  5     return doc_k()
+#  6 def doc_k():
+#  7     """From source."""
+#  8     return helper_{k%5}(load())
+#  9 TEXT = """the whole text"""
+
+_QUOTED = '\\"\r'  # characters that would end or change the literal: a space each
+
+
+def doc_modules(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``file_path, raw_code, doc_id`` -- one Python module per document, with
+    its whole text. ``load`` and ``Reader`` are defined in every file."""
+    d = spread(table(spark, base_dir, "documents"))
+    k = F.col("doc_id").cast("string")
+    clean = lambda c: F.translate(F.coalesce(F.col(c), F.lit("")), _QUOTED, "   ")
+    code = F.concat(
+        F.lit("class Reader(Base):" + NL + "    def load(self):" + NL + "        return parse(self.path)" + NL),
+        F.lit("def load():" + NL + "    return doc_"), k, F.lit("()" + NL),
+        F.lit("def doc_"), k, F.lit("():" + NL + '    """From '), clean("source"), F.lit('."""' + NL),
+        F.lit("    return helper_"), (F.col("doc_id") % 5).cast("string"), F.lit("(load())" + NL),
+        F.lit('TEXT = """'), clean("text"), F.lit('"""' + NL))
+    return d.select(F.concat(F.lit("lib/doc_"), F.lpad(k, 10, "0"), F.lit(".py")).alias("file_path"),
+                    code.alias("raw_code"), "doc_id")
+
+
+_CLEAN = "translate(coalesce({}, ''), '\\\"' || chr(13), '   ')"
+DOC_MODULES_SQL = f"""doc_modules AS (
+  SELECT doc_id, 'lib/doc_' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.py' AS file_path, {_CLEAN.format('source')} AS origin,
+    'class Reader(Base):' || chr(10) || '    def load(self):' || chr(10) || '        return parse(self.path)' || chr(10)
+    || 'def load():' || chr(10) || '    return doc_' || doc_id || '()' || chr(10)
+    || 'def doc_' || doc_id || '():' || chr(10) || '    \"\"\"From ' || {_CLEAN.format('source')} || '.\"\"\"' || chr(10)
+    || '    return helper_' || (doc_id % 5) || '(load())' || chr(10)
+    || 'TEXT = \"\"\"' || {_CLEAN.format('text')} || '\"\"\"' || chr(10) AS raw_code
+  FROM documents)"""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
