@@ -1,17 +1,22 @@
-"""``srcfiles``: a Python data source that scans a project tree (A1-A4).
+"""Scanning a project tree (A1-A4): list it, then read the files spread by size.
+
+``list_sources`` lists with the Python data source ``srcfiles``. The driver
+walks the tree breadth-first only until it holds ``listingPartitions`` directories
+(or has listed ``driverListLimit`` entries); those directories are dealt into at
+most ``listingPartitions`` partitions, whose executors list the subtrees. The list
+is a staged table ``path, size``, which the driver never holds. ``read_listed``
+deals the files by their place in the running sum of bytes (and a fixed cost for
+each file) into tasks of about ``partition_bytes``, and those read them: where a
+directory holds many of the files, its files are still read by many tasks.
 
     spark.read.format("srcfiles").option("extensions", ".py,.md").load(root)
 
-Listing is shared between the driver and the executors. The driver walks
-the tree breadth-first only until it holds ``listingPartitions`` directories
-(or has listed ``driverListLimit`` entries); those directories are dealt into at
-most ``listingPartitions`` partitions, whose executors list the subtrees. Few
-directories are each split over up to ``shardsPerDirectory`` partitions, which
-read the files whose path hash falls in their shard. The files
-the driver met on the way are grouped into partitions of about
-``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files). So the
-driver never holds the path list of a large tree. Names
-are matched with ``endswith`` (case-sensitive) like the reference crawler,
+reads in the tasks that list. Few directories are then each split over up to
+``shardsPerDirectory`` partitions, which read the files whose path hash falls in
+their shard; the files the driver met on the way are grouped into partitions of
+about ``partitionBytes`` bytes (at most ``maxFilesPerPartition`` files).
+
+Names are matched with ``endswith`` (case-sensitive) like the reference crawler,
 and -- unlike Spark's file sources, which skip names starting with ``_`` or
 ``.`` -- hidden names such as ``__init__.py`` are kept. A missing root gives
 an empty table. Listing and reading go through ``pyarrow.fs``, so the root may
@@ -24,22 +29,28 @@ quarantine table instead of stopping the job.
 
 from __future__ import annotations
 
-import json
 import logging
-import uuid
+import math
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
-                                    InputPartition)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import universal_newlines
+from ..operators.ids import dense_offsets
+from ..session import stage
 
 log = logging.getLogger(__name__)
 
 DEFAULT_EXTENSIONS = (".py", ".md")
 SCHEMA = "path string, content binary, size long"
+LIST_SCHEMA = "path string, size long"
+
+#: Bytes of files that one task reads, what opening a file counts as, and
+#: bytes that a task hands on at a time.
+PARTITION_BYTES, OPEN_COST, BATCH_BYTES = 32 << 20, 128 << 10, 8 << 20
 
 
 def _fs_and_path(root: str):
@@ -53,20 +64,6 @@ def _fs_and_path(root: str):
     return pafs.LocalFileSystem(), root
 
 
-def list_files(root: str, extensions=DEFAULT_EXTENSIONS) -> list[tuple[str, int]]:
-    """Every file under ``root`` whose name ends with one of ``extensions``."""
-    import pyarrow.fs as pafs
-    fs, base = _fs_and_path(root)
-    info = fs.get_file_info(base)
-    if info.type == pafs.FileType.NotFound:
-        log.error("Directory %s does not exist.", root)
-        return []
-    found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
-    out = [(f.path, f.size or 0) for f in found
-           if f.type == pafs.FileType.File and any(f.base_name.endswith(e) for e in extensions)]
-    return sorted(out)
-
-
 def _matches(info, extensions) -> bool:
     import pyarrow.fs as pafs
     return info.type == pafs.FileType.File and any(info.base_name.endswith(e) for e in extensions)
@@ -105,37 +102,40 @@ def _slices(root: str, files, target: int, max_files: int):
         if cur and (size + n > target or len(cur) >= max_files):
             parts.append(_Slice(root, cur))
             cur, size = [], 0
-        cur.append(path)
+        cur.append((path, n))
         size += n
     if cur:
         parts.append(_Slice(root, cur))
     return parts
 
 
-def _read_slice(partition):
+def _read_slice(partition, content: bool):
     if not partition.root:
         return
     import pyarrow.fs as pafs
     fs, _ = _fs_and_path(partition.root)
-    paths = partition.paths
+    files = partition.files
     for subtree in partition.subtrees:
         # executor side: list this directory's whole subtree
         found = fs.get_file_info(pafs.FileSelector(subtree, recursive=True))
-        paths = paths + sorted(f.path for f in found if _matches(f, partition.extensions))
+        files = files + sorted((f.path, f.size or 0) for f in found if _matches(f, partition.extensions))
     if partition.shards > 1:
-        paths = [p for p in paths if zlib.crc32(p.encode()) % partition.shards == partition.shard]
-    for path in paths:
+        files = [f for f in files if zlib.crc32(f[0].encode()) % partition.shards == partition.shard]
+    for path, size in files:
+        if not content:
+            yield (path, None, size)
+            continue
         with fs.open_input_stream(path) as fh:
             data = fh.read()
         yield (path, bytes(data), len(data))
 
 
 class _Slice(InputPartition):
-    def __init__(self, root: str, paths: list[str], subtrees: tuple[str, ...] = (),
+    def __init__(self, root: str, files: list[tuple[str, int]], subtrees: tuple[str, ...] = (),
                  extensions=DEFAULT_EXTENSIONS, shard: int = 0, shards: int = 1):
-        super().__init__((subtrees, shard) if subtrees else paths)
+        super().__init__((subtrees, shard) if subtrees else files)
         self.root = root
-        self.paths = paths
+        self.files = files
         self.subtrees = tuple(subtrees)
         self.extensions = tuple(extensions)
         self.shard, self.shards = shard, shards
@@ -146,7 +146,8 @@ class SourceFilesReader(DataSourceReader):
         self.root = options.get("path")
         exts = options.get("extensions")
         self.extensions = tuple(exts.split(",")) if exts else DEFAULT_EXTENSIONS
-        self.target = int(options.get("partitionBytes", 32 << 20))
+        self.content = options.get("content", "true") == "true"
+        self.target = int(options.get("partitionBytes", PARTITION_BYTES))
         self.max_files = int(options.get("maxFilesPerPartition", 1024))
         self.want_dirs = int(options.get("listingPartitions", 256))
         self.max_entries = int(options.get("driverListLimit", 100_000))
@@ -159,73 +160,14 @@ class SourceFilesReader(DataSourceReader):
         parts = _slices(self.root, files, self.target, self.max_files)
         # a directory may hold a large share of the tree: where there are few,
         # split their files over several tasks by a stable hash of the path
-        shards = max(1, min(self.shards, self.want_dirs // max(len(dirs), 1)))
+        shards = max(1, min(self.shards, self.want_dirs // max(len(dirs), 1))) if self.content else 1
         groups = [dirs[k::self.want_dirs] for k in range(min(len(dirs), self.want_dirs))]
         parts += [_Slice(self.root, [], subtrees=g, extensions=self.extensions, shard=k, shards=shards)
                   for g in groups for k in range(shards)]
         return parts or [_Slice(self.root, [])]
 
     def read(self, partition):
-        return _read_slice(partition)
-
-
-class SourceFilesStreamReader(DataSourceStreamReader):
-    """Micro-batches of files added to the tree.
-
-    Arrivals are known by path, not by time: each look at the tree that finds
-    new paths writes them as the next entry of a log (option ``arrivalLog``, a
-    folder outside the tree, such as one below the query's checkpoint), and the
-    offset is the number of entries. So a file is delivered exactly once whatever
-    its modification time, and a replayed batch holds the same files. Entries
-    appear by a rename and are never changed."""
-
-    def __init__(self, options):
-        self.root = options.get("path")
-        exts = options.get("extensions")
-        self.extensions = tuple(exts.split(",")) if exts else DEFAULT_EXTENSIONS
-        self.target = int(options.get("partitionBytes", 32 << 20))
-        self.max_files = int(options.get("maxFilesPerPartition", 1024))
-        self.log = options.get("arrivalLog")
-        if not self.log:
-            raise ValueError("streaming from srcfiles needs the option arrivalLog")
-
-    def _entries(self):
-        import pyarrow.fs as pafs
-        fs, base = _fs_and_path(self.log)
-        fs.create_dir(base, recursive=True)
-        return fs, base, sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".json"))
-
-    def _files(self, fs, paths) -> list[tuple[str, int]]:
-        out = []
-        for p in paths:
-            with fs.open_input_stream(p) as fh:
-                out.extend(tuple(x) for x in json.loads(fh.read()))
-        return out
-
-    def initialOffset(self):
-        return {"entry": 0}
-
-    def latestOffset(self):
-        fs, base, entries = self._entries()
-        known = {p for p, _ in self._files(fs, entries)}
-        new = [f for f in list_files(self.root, self.extensions) if f[0] not in known]
-        if not new:
-            return {"entry": len(entries)}
-        hidden, number = f"{base}/{uuid.uuid4().hex}.tmp", len(entries) + 1
-        with fs.open_output_stream(hidden) as fh:
-            fh.write(json.dumps(new).encode())
-        fs.move(hidden, f"{base}/{number:08d}.json")
-        return {"entry": number}
-
-    def partitions(self, start, end):
-        fs, _, entries = self._entries()
-        return _slices(self.root, self._files(fs, entries[start["entry"]:end["entry"]]), self.target, self.max_files)
-
-    def read(self, partition):
-        return _read_slice(partition)
-
-    def commit(self, end):
-        pass
+        return _read_slice(partition, self.content)
 
 
 class SourceFilesDataSource(DataSource):
@@ -239,24 +181,62 @@ class SourceFilesDataSource(DataSource):
     def reader(self, schema):
         return SourceFilesReader(self.options)
 
-    def streamReader(self, schema):
-        return SourceFilesStreamReader(self.options)
-
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SourceFilesDataSource)
 
 
+def list_sources(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS, **options) -> DataFrame:
+    """A1: the staged list ``path, size`` of the tree's matching files."""
+    register(spark)
+    found = (spark.read.format("srcfiles").option("extensions", ",".join(extensions)).option("content", "false")
+             .options(**options).load(root))
+    return stage(found.select("path", "size"), "listing")
+
+
+def _read_files(root: str):
+    def run(batches):
+        fs, _ = _fs_and_path(root)
+        paths, contents, held = [], [], 0
+
+        def batch():
+            sizes = pa.array([len(c) for c in contents], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary()), sizes],
+                                              ["path", "content", "size"])
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with fs.open_input_stream(path) as fh:
+                    contents.append(bytes(fh.read()))
+                paths.append(path)
+                held += len(contents[-1])
+                if held >= BATCH_BYTES:
+                    yield batch()
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield batch()
+    return run
+
+
+def read_listed(files: DataFrame, root: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Read listed files (``path, size``) as ``path, content, size``, in tasks that
+    hold about ``partition_bytes`` each, whatever directories they lie in."""
+    cost = files.select("path", (F.col("size") + OPEN_COST).alias("cost"))
+    total = cost.agg(F.sum("cost")).first()[0]
+    if total is None:
+        return files.sparkSession.createDataFrame([], SCHEMA)
+    tasks = math.ceil(total / partition_bytes)
+    dealt = dense_offsets(cost, ["path"], "cost", "at").withColumn("bin", F.floor(F.col("at") / partition_bytes).cast("int"))
+    return dealt.repartition(tasks, "bin").select("path").mapInArrow(_read_files(root), SCHEMA)
+
+
 def read_sources(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS):
     """A1 + A2: ``(files(path, text), quarantine(file_path, error))``.
 
     ``text`` is the strict UTF-8 decoding with ``\\r\\n`` and ``\\r`` read as
     ``\\n`` (how the reference opens files); undecodable files are quarantined.
     """
-    register(spark)
-    raw = (spark.read.format("srcfiles").option("extensions", ",".join(extensions))
-           .load(root))
-    return decode_sources(raw)
+    return decode_sources(read_listed(list_sources(spark, root, extensions), root))
 
 
 def decode_sources(raw: DataFrame):

@@ -1,7 +1,8 @@
 """Incremental indexing of a growing project tree with Structured Streaming.
 
-    readStream("srcfiles") --micro-batch of new files--> foreachBatch:
-        decode -> dispatch -> index (ids continue after the stored maximum)
+    readStream (a clock) --tick--> foreachBatch:
+        list the tree by executors -> anti join with the known paths -> read
+        -> decode -> dispatch -> index (ids continue after the stored maximum)
         -> append records, vectors, call sites, quarantine, the batch's graph folds
 
 A batch appends the fold of its own files to ``node_folds`` and ``edge_folds``; what is
@@ -10,6 +11,11 @@ folds on read: they are min/max over order keys, so the result equals a full reb
 To keep the reads short, every ``FAN`` folds of a level are merged into one of the next,
 so a fold is rewritten once for each level, of which there are log(batches).
 
+Arrivals are known by path: the paths that a tick finds and that no earlier one
+found are appended to the table ``arrivals`` before they are read, so a file is
+taken once whatever its modification time, a replayed tick takes the same files, and
+the driver holds no list. A file that changes in place is not read again.
+
 Every append carries the batch's number as its key and is added once, so a
 replayed batch is harmless.
 """
@@ -18,10 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import graph as G
 from ..plans.ingest import index_corpus, split_sources
-from ..sources.srcfiles import DEFAULT_EXTENSIONS, decode_sources, register
+from ..sources.srcfiles import DEFAULT_EXTENSIONS, LIST_SCHEMA, decode_sources, list_sources, read_listed
 from ..sources.store import TableStore
 
 #: Folds of one level that are merged into one of the next.
@@ -92,21 +99,34 @@ def apply_batch(store: TableStore, raw: DataFrame, epoch_id: int, embedder=None)
         _compact(store, name)
 
 
+def arrivals(spark: SparkSession, root: str, store: TableStore, epoch_id: int, extensions=DEFAULT_EXTENSIONS) -> DataFrame | None:
+    """The files ``path, content, size`` that are new in tick ``epoch_id``; None if none is."""
+    key = f"batch{epoch_id}"
+    if key not in store.keys("arrivals"):
+        known = store.read("arrivals", T.StructType.fromDDL(LIST_SCHEMA))
+        new = list_sources(spark, root, extensions).join(known.select("path"), "path", "left_anti")
+        if new.isEmpty():
+            return None
+        store.append("arrivals", new, key=key)
+    return read_listed(store.read("arrivals", keys=[key]), root)
+
+
 def start_incremental_ingest(spark: SparkSession, root: str, store: TableStore,
                              checkpoint_location: str, extensions=DEFAULT_EXTENSIONS,
                              embedder=None, available_now: bool = True):
     """Start the streaming ingest; returns the ``StreamingQuery``.
 
     ``available_now=True`` processes what is there and stops (a scheduled
-    run); otherwise it keeps polling for new files every 30 seconds.
+    run); otherwise the tree is looked at every 30 seconds. The stream itself is a
+    clock whose checkpoint numbers the ticks.
     """
-    register(spark)
-    stream = (spark.readStream.format("srcfiles")
-              .option("extensions", ",".join(extensions))
-              .option("arrivalLog", checkpoint_location.rstrip("/") + "/arrivals").load(root))
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, epoch: apply_batch(store, df, epoch, embedder))
-              .option("checkpointLocation", checkpoint_location))
+    def tick(df, epoch):
+        raw = arrivals(spark, root, store, epoch, extensions)
+        if raw is not None:
+            apply_batch(store, raw, epoch, embedder)
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="30 seconds")
     return writer.start()
