@@ -55,15 +55,21 @@ _TITLED = frozenset("header head top".split())  # names that an article's own he
 # name tells what something else is like (``has-sidebar``).
 _STRONG = frozenset("comment comments commentlist reply replies respond disqus ad ads advert adverts advertisement "
                     "sponsor sponsored promo promotion related recommended newsletter".split())
+# Hints that name many other things as well: they tell nothing of long texts, so
+# the tree weighs them against the words and links.
+_WEAK = frozenset("legal more bottom side foot rail skip meta form search tag tags follow reply discussion alert warning".split())
 _ABOUT = frozenset("has with no without".split())
+# Words that only say that a name is a box; beside a word of ARTICLE they change nothing.
+_BOX = frozenset("wrapper wrap container inner outer area box page section block column col copy full wide".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted",
-            "in_article", "heading", "paragraph", "in_article_header", "beside_article")
+            "in_article", "heading", "paragraph", "in_article_header", "beside_article", "weakly_hinted")
 
 
-def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Furniture, hinted, article, header of an opening tag."""
+def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Furniture, hinted, article, header, weakly hinted of an opening tag. Forms
+    are judged once the page is read (``_layout_forms``)."""
     names: set[str] = set()
     named = away = False
     if attributes:
@@ -75,7 +81,7 @@ def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
                     if not words & _ABOUT:
                         names.update(words)
                         told = {x for x in words if not x.isdigit()}
-                        named |= bool(told) and told <= ARTICLE  # ``sidebar-content`` is no article
+                        named |= bool(told & ARTICLE) and told <= ARTICLE | _BOX  # ``sidebar-content`` is no article
             elif key == "style":
                 away |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             else:
@@ -87,18 +93,38 @@ def _described(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
         hints &= _STRONG
     if tag in ("body", "html"):
         hints = set()  # names of the whole page's look
-    return (tag in FURNITURE and tag != "header") or away, bool(hints - _TITLED), article, header
+    hints -= _TITLED
+    return (tag in FURNITURE and tag not in ("header", "form", "fieldset")) or away, bool(hints - _WEAK), article, header, bool(hints & _WEAK)
+
+
+#: A block of the article's own text: so many words, so few of them linked.
+_TEXT_WORDS, _TEXT_LINKS = 12, 0.3
+
+
+def _layout_forms(found: list[tuple], articles: dict[int, int]) -> set[int]:
+    """The forms that wrap a page rather than ask for something: those around an
+    article element, or around more than half of the page's text."""
+    own: dict[int, int] = {}
+    total = 0
+    for _, (words, linked, *_), forms in found:
+        if words >= _TEXT_WORDS and linked <= _TEXT_LINKS * words:
+            total += words
+            for f in forms:
+                own[f] = own.get(f, 0) + words
+    return set(articles) | {f for f, n in own.items() if 2 * n > total and n >= 50}
 
 
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """Non-empty blocks of a page in order: decoded text in one line, and
     ``words, linked words, furniture, hinted, in_article, heading, paragraph,
-    header``."""
-    out: list[tuple[str, tuple]] = []
-    # open block elements: tag, and what holds within: furniture, hinted,
-    # article, header, heading
-    stack: list[tuple[str, tuple]] = [("", (False,) * 5)]
+    header, weakly hinted``."""
+    found: list[tuple[str, tuple, tuple]] = []
+    # open block elements: tag, what holds within (furniture, hinted, article,
+    # header, weakly hinted, heading), and the open forms
+    stack: list[tuple[str, tuple, tuple]] = [("", (False,) * 6, ())]
     opened: dict[str, int] = {}
+    articles: dict[int, int] = {}  # forms with an article element
+    forms = 0
     parts: list[str] = []
     linked, anchor = 0, False
 
@@ -107,9 +133,9 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         parts.clear()
         if text:
             words = text.count(" ") + 1
-            tag, (furniture, hinted, article, header, heading) = stack[-1]
-            out.append((text, (words, min(linked, words), furniture, hinted, article, heading,
-                               tag in ("p", "blockquote", "pre", "li", "td"), header)))
+            tag, (furniture, hinted, article, header, weak, heading), inside = stack[-1]
+            found.append((text, (words, min(linked, words), furniture, hinted, article, heading,
+                                 tag in ("p", "blockquote", "pre", "li", "td"), header, weak), inside))
 
     def pop() -> None:
         opened[stack.pop()[0]] -= 1
@@ -141,11 +167,18 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             elif tag not in VOID and not m[4].endswith("/"):
                 if stack[-1][0] == "p" or stack[-1][0] == tag in ("li", "td", "tr", "dd", "dt", "option"):
                     pop()  # ends where the next one begins
-                above = stack[-1][1]
-                stack.append((tag, (*(a or b for a, b in zip(above, _described(tag, m[4]))), above[4] or tag in HEADINGS)))
+                _, above, inside = stack[-1]
+                own = _described(tag, m[4])
+                if tag in ("form", "fieldset"):
+                    forms += 1
+                    inside = (*inside, forms)
+                elif tag in ("article", "main"):
+                    articles.update((f, 1) for f in inside)
+                stack.append((tag, (*(a or b for a, b in zip(above, own)), above[5] or tag in HEADINGS), inside))
                 opened[tag] = opened.get(tag, 0) + 1
     close_block()
-    return out
+    layout = _layout_forms(found, articles)
+    return [(text, (*f[:2], f[2] or any(x not in layout for x in inside), *f[3:])) for text, f, inside in found]
 
 
 def features(found: list[tuple[str, tuple]]) -> np.ndarray:
@@ -162,12 +195,13 @@ def features(found: list[tuple[str, tuple]]) -> np.ndarray:
         x[:, 7:11] = raw[:, 3:7]
         x[:, 11] = header & article
         x[:, 12] = article.any() & ~article
+        x[:, 13] = raw[:, 8]
     return x
 
 
 #: Kinds of page parts: markup with ``{n-m}`` for that many words, ``{a}`` for a
 #: linked word; whether its text is the article's; where it stands (0: around
-#: the article, 1: in it, 2: around one that its element tells).
+#: the article, 1: in it, 2: around one that its element tells, 3: in such a one).
 EXAMPLES = (
     ("<nav><ul><li>{a}</li><li>{a}</li><li>{a}</li></ul></nav>", False, 0),
     ("<div class='menu'>{a}{a}{a}</div>", False, 0),
@@ -197,6 +231,11 @@ EXAMPLES = (
     ("<div>{a}{a}{a}{a}</div>", False, 0),
     ("<div><a href='/'>{1-3}</a></div>", False, 0),
     ("<div>{1-4}</div>", False, 0),
+    ("<div>&copy; {2-14}</div>", False, 0),
+    ("<p class='legal'>{2-14}</p>", False, 0),
+    ("<div class='meta'>{1-6}</div>", False, 0),
+    ("<p class='more'>{a}</p>", False, 1),
+    ("<div class='alert'>{2-12}</div>", False, 0),
     ("<div class='msg'>{2-40}</div>", False, 2),
     ("<p>{2-40}</p>", False, 2),
     ("<h1>{1-14}</h1>", True, 1),
@@ -211,20 +250,28 @@ EXAMPLES = (
     ("<pre>{4-60}</pre>", True, 1),
     ("<table><tr><td>{1-5}</td><td>{1-5}</td></tr></table>", True, 1),
     ("<div>{20-150}</div>", True, 1),
+    ("<p class='story-more'>{16-160}</p>", True, 1),
+    ("<div class='bottom'><p>{16-160}</p><p>{16-160}</p></div>", True, 1),
+    ("<ol><li><a href='/r'>{4-16}</a></li><li><a href='/r'>{4-16}</a></li><li><a href='/r'>{4-16}</a></li></ol>", True, 3),
 )
+#: Titles that stand first in an article, as most do.
+TITLES = ("<h1>{2-14}</h1>", "<header><h1>{2-14}</h1></header>", "<h2>{2-9}</h2>", "", "<p>{1-12}</p>")
 FRAMES = ("<article>{}</article>", "<main>{}</main>", "<div id='content'>{}</div>", "<div class='post-body'>{}</div>",
-          "<main><article>{}</article></main>", "<article>{}</article>", "<div>{}</div>")
-EXAMPLE_PAGES = 400
+          "<main><article>{}</article></main>", "<form><article>{}</article></form>", "<div>{}</div>", "<div>{}</div>",
+          "<div class='legal-text'>{}</div>", "<div class='read-more-body'>{}</div>")
+#: Frames that tell nothing, or the wrong thing, of what they hold.
+BARE = frozenset(("<div>{}</div>", "<div class='legal-text'>{}</div>", "<div class='read-more-body'>{}</div>"))
+EXAMPLE_PAGES = 1200
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(frames: tuple[str, ...] = FRAMES) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: features of all blocks of EXAMPLE_PAGES pages, and
-    whether each belongs to the article."""
+    whether each belongs to the article. Pages have one of ``frames`` around it."""
     rng = np.random.default_rng(20)
     rows, labels = [], []
     plain = [e for e in EXAMPLES if e[2] == 0]
     beside = [e for e in EXAMPLES if e[2] != 1]
-    inside = [e for e in EXAMPLES if e[2] == 1]
+    within = {True: [e for e in EXAMPLES if e[2] == 1], False: [e for e in EXAMPLES if e[2] in (1, 3)]}
 
     def part(example) -> str:
         word = "keep" if example[1] else "drop"
@@ -233,9 +280,12 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
 
     for _ in range(EXAMPLE_PAGES):
         pick = lambda of, n: "".join(part(of[k]) for k in rng.integers(0, len(of), n))
-        frame = FRAMES[rng.integers(0, len(FRAMES))]
-        around = plain if frame == "<div>{}</div>" else beside
-        page = pick(around, rng.integers(0, 5)) + frame.format(pick(inside, rng.integers(1, 12))) + pick(around, rng.integers(0, 5))
+        frame = frames[rng.integers(0, len(frames))]
+        bare = frame in BARE
+        around, inside = (plain if bare else beside), within[bare]
+        title = part((TITLES[rng.integers(0, len(TITLES))], True, 1))
+        long = "".join(part(("<p>{16-160}</p>", True, 1)) for _ in range(2)) if bare else ""
+        page = pick(around, rng.integers(0, 5)) + frame.format(title + long + pick(inside, rng.integers(1, 12))) + pick(around, rng.integers(0, 5))
         found = blocks(f"<html><head><title>t</title></head><body>{page}</body></html>")
         rows.append(features(found))
         labels.extend("keep" in text for text, _ in found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMOKE
 from corpuslens.llm import catalog
-from corpuslens.llm.html_text import Tree, blocks, extract, labelled_blocks, main_text, trained_tree
+from corpuslens.llm.html_text import FRAMES, Tree, blocks, extract, labelled_blocks, main_text, trained_tree
 
 
 def text_of(page):
@@ -77,3 +77,34 @@ def test_furniture_named_with_an_article_word(name, frame):
     article = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
     assert text_of(f"<body>{frame.format(article)}{beside}</body>") == "\n".join(PARAGRAPHS)
     assert text_of(f"<body>{beside}{frame.format(article)}</body>") == "\n".join(PARAGRAPHS)
+
+
+TEXT, BODY = "\n".join(PARAGRAPHS), "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+NAV, FOOT = "<nav><a href=/>Home</a> <a href=/a>About</a></nav>", "<footer>&copy; 2024 all rights</footer>"
+
+
+@pytest.mark.parametrize("page, expected", [
+    (f"<form>{NAV}<article><h1>T one</h1>{BODY}</article></form>", "T one\n" + TEXT),
+    (f"<form action=x><div>{NAV}<div><h1>T one two</h1>{BODY}</div></div></form>", "T one two\n" + TEXT),
+    (f"{NAV}<div class='legal-text'>{BODY}</div>{FOOT}", TEXT),
+    (f"{NAV}<div class='read-more-body'>{BODY}</div>{FOOT}", TEXT),
+    (f"{NAV}<div><h1>The title here</h1>{BODY}</div>{FOOT}", "The title here\n" + TEXT),
+    (f"<div><h1>The title here</h1>{BODY}</div>", "The title here\n" + TEXT),
+    (f"{NAV}<div class='content-wrapper'><h1>The title here</h1>{BODY}</div>{FOOT}", "The title here\n" + TEXT),
+    (f"<article>{BODY}<h2>References</h2><ol><li><a href=/1>First paper about things by someone</a></li><li>"
+     "<a href=/2>Second paper about other things</a></li></ol></article>",
+     TEXT + "\nReferences\nFirst paper about things by someone\nSecond paper about other things"),
+    (f"<article>{BODY}<p class='story-more'>{PARAGRAPHS[0]}</p></article>", TEXT + "\n" + PARAGRAPHS[0]),
+    (f"<div>{PARAGRAPHS[0]}</div><div>{PARAGRAPHS[1]}</div><div>&copy; 2024 Company Inc. All rights reserved.</div>", "\n".join(PARAGRAPHS[:2])),
+    (f"<article>{BODY}<form><label>Your name</label><p>Please subscribe to our letter now</p><button>Go</button></form></article>", TEXT),
+    (f"<form>Search <input></form><div><h1>Title of it</h1>{BODY}</div>", "Title of it\n" + TEXT),
+])
+def test_real_shaped_pages(page, expected):
+    assert text_of(f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>") == expected
+
+
+@pytest.mark.parametrize("held", [FRAMES[2], FRAMES[5], FRAMES[8]])
+def test_layouts_that_the_tree_has_not_seen(held):
+    tree = Tree(*labelled_blocks(tuple(f for f in FRAMES if f != held)))
+    x, y = labelled_blocks((held,))
+    assert (tree.predict(x) == y).mean() > 0.9
