@@ -20,7 +20,7 @@ from .conversations import audited, damaged
 from .embed_dedup import near_vectors
 from .html_text import main_text
 from .langid import held_out, identify, trained_on_rest
-from .merkle import edited_fingerprints
+from .merkle import differing, edited_fingerprints
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import decode, encode
@@ -130,8 +130,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    at = F.transform(differing(F.col("fingerprint"), F.col("edited_fingerprint")),
+                     lambda d: F.concat(d["section"].cast("string"), F.lit("."), d["paragraph"].cast("string")))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
-                       "edited_fingerprint", "near_edited", "near_next")
+                       "edited_fingerprint", "near_edited", "near_next", F.array_join(at, ",").alias("edits"))
 
 
 @_query

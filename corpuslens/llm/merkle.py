@@ -1,8 +1,10 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A section ends with a blank line, a paragraph with a line break, and a paragraph
-is cut into leaves of up to five words (a run of more than 64 characters
-without white space counts as several). Leaves hold every character, so equal
+is cut into leaves by its content: after every word whose hash is a multiple of
+``LEAF_WORDS``, and after ``LEAF_MOST`` words without such a one (a run of more than 64
+characters without white space counts as several words). So an edit changes the
+leaf it falls in, not those after it. Leaves hold every character, so equal
 texts have equal trees. A paragraph's node hashes its leaves, a section's its
 paragraphs and the root its sections: roots test equality, and where they
 differ, the differing branches locate the edit.
@@ -22,7 +24,13 @@ from pyspark.sql.window import Window
 
 from .secret_scan import settled
 
-_LEAF = r"(?s)(?:\S{1,64}+\s*+|\s++){1,5}+"
+#: One word in so many ends a leaf; words of a leaf at most.
+LEAF_WORDS, LEAF_MOST = 5, 16
+_WORD = r"(?s)\S{1,64}+\s*+|\s++"
+_LEAF = rf"(?s)(?:\S{{1,64}}+\s*+|\s++){{1,{LEAF_MOST}}}+"
+# A cut is written into the text as two characters; the first is followed by
+# another second one where the text has it itself.
+_MARK, _CUT, _OWN = "\x01", "\x01\x03", "\x01\x02"
 #: Hex digits of a leaf's or section's code in a fingerprint (32 bits).
 CODE = 8
 #: Rows of a range of ids that one window handles, ranges at most, and ranges
@@ -34,9 +42,15 @@ _FIRST = -(1 << 63)
 def leaf_hashes(text: Column) -> Column:
     """Hashes of the leaves by section and paragraph: three nested arrays."""
     parts = lambda x, end: F.filter(F.split(x, end, -1), lambda p: p != "")
-    return F.transform(parts(text, r"(?<=\n\n)"), lambda section: F.transform(
-        parts(section, r"(?<=\n)"), lambda paragraph: F.transform(
-            F.regexp_extract_all(paragraph, F.lit(_LEAF), F.lit(0)), F.md5)))
+    every = lambda x, what: F.regexp_extract_all(x, F.lit(what), F.lit(0))
+
+    def leaves(paragraph: Column) -> Column:
+        ends = lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(LEAF_WORDS)) == 0, _CUT).otherwise("")
+        marked = F.array_join(F.transform(every(paragraph, _WORD), lambda w: F.concat(w, ends(w))), "")
+        return F.flatten(F.transform(F.split(marked, _CUT, -1), lambda x: every(x, _LEAF)))
+
+    return F.transform(parts(F.replace(text, F.lit(_MARK), F.lit(_OWN)), r"(?<=\n\n)"), lambda section: F.transform(
+        parts(section, r"(?<=\n)"), lambda paragraph: F.transform(leaves(paragraph), F.md5)))
 
 
 def with_fingerprint(df: DataFrame, texts: dict[str, str]) -> DataFrame:

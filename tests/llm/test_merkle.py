@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from cases import edge_docs, edge_rows, no_docs
@@ -11,15 +13,32 @@ from corpuslens.llm.merkle import differing, edited_fingerprints, fingerprints,
 md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
 
 
+def signed(word):
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def brute_force(text):
     """The same tree, cut and hashed in plain Python."""
     space = "[ \t\n\x0b\f\r]"
     token = f"(?:[^ \t\n\x0b\f\r]{{1,64}}{space}*|{space}+)"
+    text = text.replace("\x01", "\x01\x02")
     out = []
+
+    def leaves(paragraph):
+        held = []
+        for m in re.finditer(token, paragraph):
+            held.append(m[0])
+            if signed(m[0]) % merkle.LEAF_WORDS == 0 or len(held) == merkle.LEAF_MOST:
+                yield "".join(held)
+                held = []
+        if held:
+            yield "".join(held)
+
     for section in re.split(r"(?<=\n\n)", text):
         paragraphs = [p for p in re.split(r"(?<=\n)", section) if p]
         if paragraphs:
-            out.append([[md5(m[0]) for m in re.finditer(f"(?:{token}){{1,5}}", p)] for p in paragraphs])
+            out.append([[md5(x) for x in leaves(p)] for p in paragraphs])
     tops = [md5("".join(md5("".join(p)) for p in s)) for s in out]
     root = hashlib.sha256("".join(tops).encode()).hexdigest()
     n = merkle.CODE
@@ -99,3 +118,18 @@ def test_equal_texts_and_located_edits(spark):
 def test_main_path_is_native(spark):
     plan = edited_fingerprints(spark.read.parquet(f"{SMOKE}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "SinglePartition" not in plan
+
+
+def test_one_word_more_changes_one_leaf(spark):
+    """A word put before, into or after a paragraph of 1,000 words leaves the
+    other leaves as they are; equal words in a row are cut as well."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    base, same = " ".join(words), "wort " * 5000
+    rows = [(base, "one " + base), (base, " ".join([*words[:500], "one", *words[500:]])), (base, base + " one"), (same, same + "ende"),
+            ("x \x01y", "x y"), ("a\x01\x03b", "ab")]
+    df = with_fingerprint(spark.createDataFrame(rows, "a string, b string"), {"a": "x", "b": "y"})
+    got = merkle.likeness(df, {"near": ("x", "y")}).collect()
+    assert all(r.x == brute_force(r.a) and r.y == brute_force(r.b) for r in got)
+    assert all(r.near > 0.95 for r in got[:3]) and got[3].near > 0.4
+    assert all(r.x != r.y for r in got)
