@@ -12,21 +12,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, collapse_ws, header_lines, squeeze_blank_lines, strip_
 
-# The extraction patterns (Python syntax in comments).
-#   heading          ^(#{1,6})\s+(.+?)$             multiline
-#   fenced block     ```<info>\n(body)```           (the intended fence)
-#   def / class      def\s+([a-zA-Z0-9_]+)   class\s+([a-zA-Z0-9_]+)
-#   import           (?:from|import)\s+([a-zA-Z0-9_.]+)
-#   inline code      `([a-zA-Z0-9_.]+\.[a-zA-Z0-9_]+)`
-#   link             \[([^\]]+)\]\(([^)]+)\)       kept if url has "api" or "doc"
-HEADING = r"(?mdU)^(#{1,6})" + WS + r"+(.+?)$"
-FENCE = r"(?s)```[^\n]*\n(.*?)```"
-SIX_BACKTICKS = "``````"
-FENCE_DEF = r"(?U)def" + WS + r"+([a-zA-Z0-9_]+)"
-FENCE_CLASS = r"(?U)class" + WS + r"+([a-zA-Z0-9_]+)"
-FENCE_IMPORT = r"(?U)(?:from|import)" + WS + r"+([a-zA-Z0-9_.]+)"
+# The extraction patterns, in Python's syntax (``\s`` also means
+# white space beyond ASCII; the heading is multiline, the fence is the intended one).
+HEADING_PATTERN = r"^(#{1,6})\s+(.+?)$"
+FENCE_PATTERN = r"```[^\n]*\n(.*?)```"
+DEF_PATTERN = r"def\s+([a-zA-Z0-9_]+)"
+CLASS_PATTERN = r"class\s+([a-zA-Z0-9_]+)"
+IMPORT_PATTERN = r"(?:from|import)\s+([a-zA-Z0-9_.]+)"
 INLINE_CODE = r"`([a-zA-Z0-9_.]+\.[a-zA-Z0-9_]+)`"
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
+LINK_WORDS = ("api", "doc")  # one of them is in a kept link's lower-cased url
+
+
+def _java(pattern: str, flags: str) -> str:
+    return f"(?{flags})" + pattern.replace(r"\s", WS)
+
+
+HEADING = _java(HEADING_PATTERN, "mdU")
+FENCE = _java(FENCE_PATTERN, "s")
+FENCE_DEF, FENCE_CLASS, FENCE_IMPORT = (_java(p, "U") for p in (DEF_PATTERN, CLASS_PATTERN, IMPORT_PATTERN))
+SIX_BACKTICKS = "``````"
 DOC_TYPE = "DocumentationFile.class"
 
 

@@ -284,12 +284,13 @@ def insert_one(store, name: str, entry: dict[str, str | None]) -> int:
 
 def find_everywhere(tables: dict[str, DataFrame], flt=None) -> DataFrame:
     """F8 over the whole collection: code, documentation and metadata records
-    together, as ``collection, record`` (the record as JSON, null fields left
-    out). An empty filter gives every record; a field that a table lacks only
-    matches None there."""
+    together, as ``collection, record`` (the typed record as a VARIANT; a field is
+    read with ``variant_get``). The filter works on each table's own typed columns,
+    so scans prune by it. An empty filter gives every record; a field that a table
+    lacks only matches None there."""
     out = None
     for kind, df in tables.items():
         found = find(df, flt)
-        part = found.select(F.lit(kind).alias("collection"), F.to_json(F.struct(*found.columns)).alias("record"))
+        part = found.select(F.lit(kind).alias("collection"), F.to_variant_object(F.struct(*found.columns)).alias("record"))
         out = part if out is None else out.unionByName(part)
     return out

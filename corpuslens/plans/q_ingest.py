@@ -1,27 +1,15 @@
-"""Registered query for the file-tree scan and dispatch."""
+"""Registered query for the file-tree scan and dispatch (A1-A4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..sources.srcfiles import read_sources
-from .corpora import md_pages, py_parts
+from .corpora import MD_PAGES_SQL, PY_PARTS_SQL, md_pages, py_parts, with_ctes
 from .ingest import parse_corpus, split_sources
 from .registry import register
-from .q_graph import _EVENTS_SQL
-from .q_meta import _KEYS_SQL
 from .tree import write_tree
 
-STORE_SQL = _KEYS_SQL + ", " + _EVENTS_SQL.strip() + """
-SELECT 'code_files' AS table_name, (SELECT count(*) FROM py_parts) AS n_rows
-UNION ALL SELECT 'doc_files', (SELECT count(*) FROM md_pages)
-UNION ALL SELECT 'vectors', (SELECT count(*) FROM keys)
-UNION ALL SELECT 'nodes', (SELECT count(*) FROM node_rows)
-UNION ALL SELECT 'edges', (SELECT count(*) FROM edge_rows)
-UNION ALL SELECT 'edge_calls', (SELECT count(*) FROM cal)
-UNION ALL SELECT 'quarantine', 0"""
-
-
 def corpus_tree(spark, sf):
     """Files for every part and page, laid out with the names the scan must
     handle: parts whose size ends in 0 go under ``_priv/``, 1 become hidden
@@ -43,44 +31,26 @@ def corpus_tree(spark, sf):
     return code.select(rel.alias("rel_path"), content.alias("content")).unionByName(docs)
 
 
-@register("ingest_tree", """
-SELECT 'code' AS outcome, count(*) AS n FROM part WHERE p_size % 10 NOT IN (2, 3, 4)
-UNION ALL SELECT 'doc', count(*) FROM pages
-UNION ALL SELECT 'skipped', count(*) FROM part WHERE p_size % 10 = 3
-UNION ALL SELECT 'quarantine', count(*) FROM part WHERE p_size % 10 = 4""")
+@register("ingest_tree", with_ctes(MD_PAGES_SQL, PY_PARTS_SQL) + """,
+files AS (SELECT p_size % 10 AS r, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS k, md5(raw_code) AS content FROM py_parts JOIN part USING (p_partkey)),
+named AS (SELECT r, content, CASE r WHEN 0 THEN 'src/_priv/part_' || k || '.py' WHEN 1 THEN 'src/.h_part_' || k || '.py'
+                                    WHEN 3 THEN 'src/part_' || k || '/.py' ELSE 'src/part_' || k || '.py' END AS path FROM files)
+SELECT CASE r WHEN 3 THEN 'skipped' WHEN 4 THEN 'quarantine' ELSE 'code' END AS outcome, path,
+       CASE WHEN r NOT IN (3, 4) THEN content END AS content FROM named WHERE r <> 2
+UNION ALL SELECT 'doc', file_path, md5(raw_content) FROM md_pages""")
 def ingest_tree(spark, sf):
-    """A1-A4 + A11: write the corpus as a tree, scan it back with
-    ``srcfiles``, decode, dispatch by extension, parse, and count outcomes."""
+    """A1-A4: write the corpus as a tree, list it and read it back, decode,
+    dispatch by extension and parse; the outcome and content of every file."""
     root = write_tree(spark, corpus_tree(spark, sf))
     files, undecodable = read_sources(spark, root)
     code_src, doc_src, skipped = split_sources(files)
     idx = parse_corpus(code_src, doc_src)
-    counts = [idx.code_files.select(F.lit("code").alias("outcome")),
-              idx.doc_files.select(F.lit("doc").alias("outcome")),
-              skipped.select(F.lit("skipped").alias("outcome")),
-              undecodable.select(F.lit("quarantine").alias("outcome")),
-              idx.code_bad.unionByName(idx.doc_bad).select(F.lit("quarantine").alias("outcome"))]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("store_roundtrip", STORE_SQL)
-def store_roundtrip(spark, sf):
-    """Write the whole index through the versioned store and
-    read every table back (rows per table)."""
-    from ..sources.store import TableStore
-    from ..session import scratch_path
-    from .ingest import write_index
-    from .q_retrieve import _index
-    import uuid
-    store = TableStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex[:12]}"))
-    write_index(store, _index(spark, sf))
-    names = ["code_files", "doc_files", "vectors", "nodes", "edges", "edge_calls", "quarantine"]
+    none = F.lit(None).cast("string")
+    parts = [("code", idx.code_files, F.md5("raw_code")), ("doc", idx.doc_files, F.md5("raw_content")), ("skipped", skipped, none),
+             ("quarantine", undecodable, none), ("quarantine", idx.code_bad.unionByName(idx.doc_bad), none)]
+    path = F.regexp_extract("file_path", r"((?:src|docs)/(?:[^/]*/)?[^/]*)$", 1).alias("path")
     out = None
-    for name in names:
-        part = store.read(name).agg(F.count(F.lit(1)).alias("n_rows")) \
-                    .select(F.lit(name).alias("table_name"), "n_rows")
+    for outcome, df, content in parts:
+        part = df.select(F.lit(outcome).alias("outcome"), path, content.alias("content"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code as C
+from ..operators import docs as D
 from ..operators import graph as G
 from ..operators import questions as Q
 from ..operators import vectors as V
@@ -102,7 +103,7 @@ near AS (
 listed AS (SELECT file_path, string_agg(relation || ' ' || place || ': ' || entity || ' ' || neighbour, '; ' ORDER BY relation, place) AS related
            FROM near WHERE place <= {R.RELATED} GROUP BY file_path)
 SELECT h.qk AS query_id, CAST(h.rank AS BIGINT) AS rank, h.embedding_id, h.kind, h.file_path, CAST(h.chunk_no AS INTEGER) AS chunk_no,
-       round(h.dist, 6) AS dist, CASE WHEN h.kind = 'code' THEN 'Reader' ELSE trim(regexp_extract(d.raw_content, '(?m)^(#{{1,6}})\\s+(.+?)$', 2)) END AS title,
+       round(h.dist, 6) AS dist, CASE WHEN h.kind = 'code' THEN 'Reader' ELSE trim(regexp_extract(d.raw_content, '(?m){D.HEADING_PATTERN}', 2)) END AS title,
        md5(coalesce(c.raw_code, d.raw_content)) AS content_md5, l.related
 FROM hits h LEFT JOIN doc_modules c ON c.file_path = h.file_path LEFT JOIN md_pages d ON d.file_path = h.file_path
 LEFT JOIN listed l ON l.file_path = h.file_path""")

@@ -5,18 +5,21 @@ extraction prompts (G11). Contents are compared, not counts."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import metadata as M
 from ..operators import questions as Q
 from ..operators import vectors as V
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources.store import TableStore
 from .corpora import MD_PAGES_SQL, PY_PARTS_SQL, md_pages, py_parts, with_ctes
-from .ingest import index_corpus
-from .q_code import parsed_parts
+from .ingest import index_corpus, parse_corpus, write_index
+from .q_code import CALLS_SQL, ENTITIES_SQL, parsed_parts
+from .q_docs import DOC_DETAILS_SQL, doc_details
 from .q_graph import _EVENTS_SQL
 from .q_meta import _KEYS_SQL, _META_SQL, metadata_table
 from .q_retrieve import _EMB, _index
@@ -50,28 +53,121 @@ def store_append(spark, sf):
     return code.union(doc).union(vec)
 
 
-@register("fetch_all", _DOCS + """
-SELECT 'code' AS collection, file_path, md5(raw_code) AS content FROM py_parts
-UNION ALL SELECT 'doc', file_path, md5(raw_content) FROM md_pages""")
+# every field of a stored code record as text, stated from ``part``
+_CODE_SQL = f"""ent AS ({ENTITIES_SQL}), cal AS ({CALLS_SQL}),
+code_ids AS (SELECT file_path, string_agg(CAST(embedding_id AS VARCHAR), ',' ORDER BY chunk_no) AS ids FROM keys WHERE kind = 'code' GROUP BY file_path),
+code_rows AS (
+  SELECT p.file_path, md5(p.raw_code) AS content, 'none#' || e.ents || '#' || c.calls || '#' || e.docs || '#os.path;pkg' || (p_partkey % 7)
+         || '.helper_' || (p_partkey % 5) || '#TOTAL_' || p_partkey || ':4;price:7;y:14' AS details, i.ids, 'CodeFile.class' AS type
+  FROM py_parts p JOIN (
+    SELECT file_path, string_agg(name || ':' || type || ':' || line_number || ':' || coalesce(docstring, '-') || ':' || decorators || ':' || parents,
+                                 ';' ORDER BY ent_no) AS ents, string_agg(docstring, '|' ORDER BY ent_no) FILTER (WHERE docstring <> '') AS docs
+    FROM ent GROUP BY file_path) e USING (file_path) JOIN (
+    SELECT file_path, string_agg(caller || '>' || callee || ':' || line_number, ';' ORDER BY call_no) AS calls FROM cal GROUP BY file_path) c USING (file_path)
+  JOIN code_ids i USING (file_path)),
+doc_rows AS (
+  SELECT file_path, md5(raw_content) AS content, {DOC_DETAILS_SQL} AS details, CAST(embedding_id AS VARCHAR) AS ids, 'DocumentationFile.class' AS type
+  FROM md_pages JOIN (SELECT file_path, embedding_id FROM keys WHERE kind = 'doc') k USING (file_path))"""
+
+
+def _joined(items, *fields, sep=":"):
+    """``a:b;c:d`` of an array of structs."""
+    text = lambda x, f: F.array_join(x[f], ",") if f in ("decorators", "parents") else F.coalesce(x[f].cast("string"), F.lit("-"))
+    return F.array_join(F.transform(items, lambda x: F.concat_ws(sep, *(text(x, f) for f in fields))), ";")
+
+
+def _code_details():
+    calls = F.array_join(F.transform("function_calls", lambda c: F.concat(
+        c["caller"], F.lit(">"), c["callee"], F.lit(":"), c["line_number"].cast("string"))), ";")
+    return F.concat_ws("#", F.coalesce("cleaned_code", F.lit("none")),
+                       _joined("entities", "name", "type", "line_number", "docstring", "decorators", "parents"), calls,
+                       F.array_join("docstrings", "|"), F.array_join("imports", ";"), _joined("global_variables", "name", "line_number"))
+
+
+def _all_fields(code, docs):
+    """``collection, file_path, content, details, ids, type``: records as text."""
+    return code.select(F.lit("code").alias("collection"), "file_path", F.md5("raw_code").alias("content"), _code_details().alias("details"),
+                       F.array_join(F.col("embedding_ids").cast("array<string>"), ",").alias("ids"), "type").unionByName(
+        docs.select(F.lit("doc").alias("collection"), "file_path", F.md5("raw_content").alias("content"), doc_details().alias("details"),
+                    F.col("embedding_id").cast("string").alias("ids"), "type"))
+
+
+def _records(spark, sf):
+    """The stored records of both kinds with their ids; nothing is embedded."""
+    parsed = parse_corpus(py_parts(spark, sf).select("file_path", "raw_code"), md_pages(spark, sf))
+    first = V.file_first_ids(V.chunk_counts(parsed.code_files, "raw_code", ["file_path"]), parsed.doc_files.select("file_path"))
+    keys = stage(V.number_chunks(first), "keys")
+    ids = V.ids_per_file(keys).filter(F.col("kind") == "code").select("file_path", "embedding_ids")
+    doc_ids = keys.filter(F.col("kind") == "doc").select("file_path", "embedding_id")
+    return (parsed.code_files.drop("embedding_ids").join(ids, "file_path", "left"),
+            parsed.doc_files.drop("embedding_id").join(doc_ids, "file_path", "left"))
+
+
+@register("fetch_all", f"""{_KEYS_SQL.rstrip()}, {_CODE_SQL}
+SELECT 'code' AS collection, file_path, content, details, ids, type FROM code_rows
+UNION ALL SELECT 'doc', file_path, content, details, ids, type FROM doc_rows""")
 def fetch_all(spark, sf):
-    """F1/F5 (and the typed forms F15/F16): every stored record of a kind."""
-    idx = _index(spark, sf)
-    code = M.with_defaults(M.fetch_all_code(idx.code_files))
-    docs = M.doc_with_defaults(M.fetch_all_docs(idx.doc_files))
-    return code.select(F.lit("code").alias("collection"), "file_path", F.md5("raw_code").alias("content")).union(
-        docs.select(F.lit("doc"), "file_path", F.md5("raw_content")))
+    """F1/F5 and the typed forms F15/F16: every stored record of a kind, all fields."""
+    code, docs = _records(spark, sf)
+    return _all_fields(M.with_defaults(M.fetch_all_code(code)), M.doc_with_defaults(M.fetch_all_docs(docs)))
+
+
+_ROUNDTRIP_SQL = f"""{_KEYS_SQL.rstrip()}, {_CODE_SQL}, {_EVENTS_SQL.replace("ent AS (" + ENTITIES_SQL + "),", "").replace("cal AS (" + CALLS_SQL + "),", "").strip()}
+SELECT 'code_files' AS table_name, file_path AS key, md5(content || details || ids || type) AS content FROM code_rows
+UNION ALL SELECT 'doc_files', file_path, md5(content || details || ids || type) FROM doc_rows
+UNION ALL SELECT 'vectors', file_path, kind || ' ' || chunk_no || ' ' || embedding_id FROM keys
+UNION ALL SELECT 'nodes', name, coalesce(type, '-') || ' ' || file_path || ' ' || coalesce(CAST(line_number AS VARCHAR), '-') || ' ' || coalesce(docstring, '-') FROM node_rows
+UNION ALL SELECT 'edges', src || '>' || dst, n_calls || ' ' || first_file || ' ' || first_seq FROM edge_rows
+UNION ALL SELECT 'edge_calls', caller || '>' || callee, file_path || ' ' || line_number || ' ' || call_no FROM cal"""
+
+
+@register("store_roundtrip", _ROUNDTRIP_SQL)
+def store_roundtrip(spark, sf):
+    """Write the whole index through the store and read every
+    table back, contents and all."""
+    store = _store(spark)
+    write_index(store, _index(spark, sf))
+    records = _all_fields(store.read("code_files"), store.read("doc_files"))
+    text = lambda *parts: F.concat_ws(" ", *(F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts))
+    edge = F.concat("src", F.lit(">"), "dst")
+    parts = [records.select(F.concat("collection", F.lit("_files")).alias("table_name"), F.col("file_path").alias("key"),
+                            F.md5(F.concat("content", "details", "ids", "type")).alias("content"))]
+    for name, key, content in (("vectors", F.col("file_path"), text("kind", "chunk_no", "embedding_id")),
+                               ("nodes", F.col("name"), text("type", "file_path", "line_number", "docstring")),
+                               ("edges", edge, text("n_calls", "first_file", "first_seq")),
+                               ("edge_calls", edge, text("file_path", "line_number", "ord.s")),
+                               ("quarantine", F.col("file_path"), text("error"))):
+        parts.append(store.read(name).select(F.lit(name).alias("table_name"), key.alias("key"), content.alias("content")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("typed_defaults", _DOCS + """
+SELECT 'code' AS collection, file_path, md5(raw_code) AS content, 'none#####' AS details, '' AS ids, 'CodeFile.class' AS type FROM py_parts
+UNION ALL SELECT 'doc', file_path, md5(raw_content), '#' || md5(raw_content) || '#', '-1', 'DocumentationFile.class' FROM md_pages""")
+def typed_defaults(spark, sf):
+    """Typed views of records that hold a path and a text only."""
+    arrays = ("docstrings array<string>", "entities array<struct<name:string,type:string,line_number:int,docstring:string,"
+              "decorators:array<string>,parents:array<string>>>", "function_calls array<struct<caller:string,callee:string,line_number:int>>",
+              "imports array<string>", "global_variables array<struct<name:string,line_number:int>>", "embedding_ids array<long>")
+    lack = lambda d: F.lit(None).cast(d.split(" ", 1)[1]).alias(d.split(" ", 1)[0])
+    code = py_parts(spark, sf).select("file_path", "raw_code", lack("cleaned_code string"), *map(lack, arrays), lack("type string"))
+    docs = md_pages(spark, sf).select("file_path", "raw_content", F.col("raw_content").alias("cleaned_content"), *map(lack, (
+        "sections array<string>", "api_references string", "embedding_id long", "type string")))
+    return _all_fields(M.with_defaults(M.fetch_all_code(code)), M.doc_with_defaults(M.fetch_all_docs(docs)))
 
 
 _EVERY_SQL = f"""{_DOCS.rstrip()}, {_META_SQL}
-SELECT 'code' AS collection, file_path FROM py_parts
-UNION ALL SELECT 'doc', file_path FROM md_pages
-UNION ALL SELECT 'metadata', file_path FROM meta"""
+SELECT 'code' AS collection, file_path, md5(raw_code) AS content FROM py_parts
+UNION ALL SELECT 'doc', file_path, md5(raw_content) FROM md_pages
+UNION ALL SELECT 'metadata', file_path, md5(function_name || api_reference || brand || size || ptype) FROM meta"""
 
 
 def _everything(spark, sf, flt=None):
-    idx = _index(spark, sf)
-    tables = {"code": idx.code_base, "doc": idx.doc_base, "metadata": metadata_table(spark, sf)}
-    return M.find_everywhere(tables, flt).select("collection", F.get_json_object("record", "$.file_path").alias("file_path"))
+    parsed = parse_corpus(py_parts(spark, sf).select("file_path", "raw_code"), md_pages(spark, sf))
+    tables = {"code": parsed.code_files, "doc": parsed.doc_files, "metadata": metadata_table(spark, sf)}
+    field = lambda name: F.try_variant_get("record", f"$.{name}", "string")
+    content = F.coalesce(field("raw_code"), field("raw_content"), F.concat(*map(field, ("function_name", "api_reference", "brand", "size", "ptype"))))
+    return M.find_everywhere(tables, flt).select("collection", field("file_path").alias("file_path"), F.md5(content).alias("content"))
 
 
 @register("find_everything", _EVERY_SQL)
@@ -80,7 +176,7 @@ def find_everything(spark, sf):
     return _everything(spark, sf)
 
 
-@register("find_by_type", f"{_DOCS.rstrip()}, {_META_SQL} SELECT 'doc' AS collection, file_path FROM md_pages")
+@register("find_by_type", f"{_DOCS.rstrip()}, {_META_SQL} SELECT 'doc' AS collection, file_path, md5(raw_content) AS content FROM md_pages")
 def find_by_type(spark, sf):
     """F8 over all record shapes, with a field that only some of them have."""
     return _everything(spark, sf, {"type": "DocumentationFile.class"})

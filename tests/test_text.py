@@ -48,10 +48,18 @@ def test_cleaning_of_written_texts(spark):
         assert (r["collapse"], r["squeeze"], list(r["headers"]), r["clean"], r["pre"]) == WRITTEN[r["i"]][1:]
 
 
-def test_headings_match_python(spark):
-    strings = _strings(seed=11) + ["# Title\n## Sub  \n####### seven\n#x\n#\n\nnext line\n"]
-    df = _frame(spark, strings).select("i", D.sections("s").alias("sec"))
-    got = {r["i"]: list(r["sec"]) for r in df.collect()}
-    for i, s in enumerate(strings):
-        want = [m.group(2).strip() for m in re.finditer(r"^(#{1,6})\s+(.+?)$", s, re.MULTILINE)]
-        assert got[i] == want, repr(s)
+HEADINGS = [
+    ("# Title\n## Sub  \n####### seven\n#x\n#\n\nnext line\n", ["Title", "Sub", "next line"]),
+    ("no heading\n ## indented\ntext # late", []),
+    ("#\tTab\n###### six\n# a # b", ["Tab", "six", "a # b"]),
+    ("# one\r\n# two\r\n", ["one", "two"]),
+    ("#  \u00a0caf\u00e9\u2003 \n#\u00a0nbsp", ["caf\u00e9", "nbsp"]),
+    ("```\n# in code\n```\n#", ["in code"]),
+    ("", []), ("#", []), ("# ", []), ("#\n\n\n", []),
+]
+
+
+def test_headings_of_written_texts(spark):
+    df = _frame(spark, [h[0] for h in HEADINGS]).select("i", D.sections("s").alias("sec"))
+    for r in df.collect():
+        assert list(r["sec"]) == HEADINGS[r["i"]][1], HEADINGS[r["i"]]
