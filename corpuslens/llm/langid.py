@@ -300,8 +300,9 @@ def trained_on_rest(docs: DataFrame) -> Model:
     return train(known.select(F.col("lang").cast("string"), F.col("text").cast("string")))
 
 
-def language_filter(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs(doc_id, text, lang, ...)`` with a language: predicted,
-    not ``und``, and holding at least ``least_score`` of the letters."""
+def language_filter(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang, ...)`` with a language: predicted and
+    not ``und``. A text in several languages stays, however evenly they share it;
+    ``least_score`` can ask for a share of the letters in one language."""
     found = identify(docs, trained_on_rest(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -82,3 +82,13 @@ def test_empty_tables(spark):
     assert identify(no_docs(spark), none).count() == 0 and language_filter(no_docs(spark)).count() == 0
     rows = identify(edge_docs(spark), none).collect()
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
+
+
+def test_filter_keeps_texts_of_several_languages(spark):
+    """Three languages with a third of the letters each are a language each."""
+    docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").select("doc_id", "text", "lang")
+    by = {r.lang: r.text for r in docs.where("lang IS NOT NULL AND length(text) > 600").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    mixed = " ".join(t[:600] for _, t in sorted(by.items())[:3])
+    more = docs.unionByName(spark.createDataFrame([(10**6, mixed, None), (10**6 + 1, "12 -- 34", None)], docs.schema))
+    kept = {r.doc_id for r in language_filter(more).collect()}
+    assert 10**6 in kept and 10**6 + 1 not in kept
