@@ -5,8 +5,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
 before it kept, which is written as Parquet and read again. All but the last
 return the columns of ``documents``:
 
-- language ID drops documents without a language (no letter, or none that holds
-  40 % of the letters);
+- language ID drops documents without a language (no letter);
 - quality rules drop documents that fail the base rules or lie beyond the fence
   of their language and source;
 - near duplicates leave the smallest doc_id of each group;
