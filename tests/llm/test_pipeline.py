@@ -47,7 +47,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     model = train(docs.where(~held_out(docs.doc_id)))
     rows = [tuple(r) for r in docs.select(*COLUMNS).collect()]
-    rows = [r for r in rows if (found := language_of(r[1] or "", model))[0] != "und" and found[1] >= 0.4]
+    rows = [r for r in rows if language_of(r[1] or "", model)[0] != "und"]
     rows = [r for r, keep in zip(rows, judged([(r[2], r[3], r[1]) for r in rows])[1]) if keep]
     groups = components({r[0]: r[1] for r in rows}, size=5)
     rows = [r for r in rows if groups[r[0]][1] == r[0]]
