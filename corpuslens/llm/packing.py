@@ -41,9 +41,10 @@ from .staging import arrow_map, schema_with, staged
 #: lead in coverage from which a length has no value.
 RATE, AHEAD = 10.0, 0.3
 #: Runs of the program: coverage of one step, and steps at most. The next run, with
-#: smaller steps, is made only while the sequences are more than GAP above the
-#: best lower bound that the weights of any step have proved.
-RUNS = ((0.1, 400), (0.02, 1500), (0.005, 4000))
+#: smaller steps, is made only while the sequences are more than GAP (and more than
+#: one) above the best lower bound that the weights of any step have proved; the
+#: last one only if the others have found better plans than best fit.
+RUNS = ((0.1, 300), (0.02, 1200), (0.005, 2500))
 GAP = 0.001
 
 # The pre-tokenising pattern of byte-level BPE.
@@ -249,11 +250,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     need = np.array([left[s] for s in sizes.tolist()], np.int64)
     count = lambda way: sum(n for _, n in way)
     best, bound = best_fit(left, capacity), float((need * sizes).sum()) / capacity
-    for step, steps in RUNS:
+    alone = count(best)
+    for k, (step, steps) in enumerate(RUNS):
+        if k == len(RUNS) - 1 and count(best) == alone:
+            break
         solution, proved = fractional_cover(sizes, need.astype(float), capacity, step, steps)
         bound = max(bound, proved)
         best = min([best, *(_rounded(solution, sizes, need, capacity, least) for least in (capacity, 0))], key=count)
-        if count(best) <= math.ceil(bound - 1e-6) * (1 + GAP):
+        if count(best) <= math.ceil(bound - 1e-6) + max(1, GAP * bound):
             break
     return out + best
 
