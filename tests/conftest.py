@@ -14,3 +14,10 @@ def spark():
     s = get_spark(app="corpuslens-tests", master="local[4]", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def planned(spark):
+    """Every registered query, built once on the smallest tables."""
+    import __spark_entry__ as E
+    return {name: fn(spark, SMOKE) for name, fn in E.queries().items()}

@@ -4,14 +4,6 @@ row with every row, and exact kNN limits to k per query before its shuffle."""
 import contextlib
 import io
 
-import __spark_entry__ as E
-
-from conftest import SMOKE
-
-PLAN_HEAVY = {"q_prompts", "q_code_context", "q_doc_context", "retrieve_topk", "ingest_summary",
-              "ingest_tree", "dense_ids", "by_embedding_id", "store_roundtrip", "q_doc_context_strict"}
-
-
 def _plan(df):
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
@@ -19,16 +11,14 @@ def _plan(df):
     return buf.getvalue()
 
 
-def test_no_cartesian_plans(spark):
-    for name, fn in E.queries().items():
-        if name in PLAN_HEAVY:
-            continue
-        plan = _plan(fn(spark, SMOKE))
+def test_no_cartesian_plans(planned):
+    for name, df in planned.items():
+        plan = _plan(df)
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_knn_limits_before_shuffle(spark):
-    plan = _plan(E.queries()["knn_l2"](spark, SMOKE))
+def test_knn_limits_before_shuffle(planned):
+    plan = _plan(planned["knn_l2"])
     assert "MapInArrow" in plan
     assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
