@@ -116,7 +116,8 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), path, capacity=1024, closing=2).select(
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return pack_documents(docs, path, capacity=1024, closing=2, remembered=600_000).select(
         "row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

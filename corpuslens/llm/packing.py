@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .memo import UnitMemo
+from .memo import REMEMBERED, UnitMemo
 from .staging import arrow_map, schema_with, staged
 
 #: Multiplicative weights: fall of a weight as its length is covered once, and
@@ -60,14 +60,14 @@ ODD = "[^\x00-\x1b\x20-\x84\x86-±´-¸º»¿-ɏ]"
 class ByteTokens:
     """A byte-level BPE tokenizer file; frequent pre-tokens are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work out
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unit, self.plain, self.odd = regex.compile(PRE_TOKENS), re.compile(PLAIN_TOKENS), re.compile(ODD)
-        self.memo = UnitMemo(self._ids)
+        self.memo = UnitMemo(self._ids, remembered)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,8 +81,8 @@ class ByteTokens:
 
 
 @lru_cache(maxsize=2)
-def byte_tokens(path: str) -> ByteTokens:
-    return ByteTokens(path)
+def byte_tokens(path: str, remembered: int) -> ByteTokens:
+    return ByteTokens(path, remembered)
 
 
 def _ranks(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -97,9 +97,9 @@ def _ranks(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(path: str, capacity: int, closing: int):
+def _pieces(path: str, capacity: int, closing: int, remembered: int):
     def run(batches):
-        tokens, seen = byte_tokens(path), np.zeros(capacity + 1, np.int64)
+        tokens, seen = byte_tokens(path, remembered), np.zeros(capacity + 1, np.int64)
         end = np.array([closing], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
@@ -126,18 +126,20 @@ def _pieces(path: str, capacity: int, closing: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 2, text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 2, text: str = "text",
+                 remembered: int = REMEMBERED) -> DataFrame:
     """Cut the tokens of every text (null: empty), each closed by the id
     ``closing``, into pieces of at most ``capacity`` tokens.
 
     Only texts of more tokens are cut, into full pieces after a first piece with
     the rest. Returns a staged table ``row`` (struct of all columns but the
     text), ``piece, start, length, ids_crc32`` and ``part, nth``, the task that
-    cut the piece and the piece's number there among those of its length.
+    cut the piece and the piece's number there among those of its length. A Python
+    worker remembers the ids of twice ``remembered`` pre-tokens (some 200 bytes each).
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     src = docs.select(F.struct(*rest).alias("row"), F.col(text).cast("string").alias("_text"))
-    out = arrow_map(src, _pieces(path, capacity, closing), schema_with(
+    out = arrow_map(src, _pieces(path, capacity, closing, remembered), schema_with(
         [src.schema["row"]], "piece int, start long, length long, ids_crc32 long, part int, nth long"))
     return staged(out, "pack-pieces")
 
@@ -318,11 +320,11 @@ def packed(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         [pieces.schema["row"]], "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, closing: int = 2, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenise, cut and pack ``docs(text, ...)``: one row for each piece.
 
     Null text is empty and still closes with ``closing``, so every row has a
     piece; repeated rows are packed one by one; other columns, of any name, stay
     in ``row``; an empty table gives no rows.
     """
-    return packed(token_pieces(docs, path, capacity, closing), capacity)
+    return packed(token_pieces(docs, path, capacity, closing, remembered=remembered), capacity)
