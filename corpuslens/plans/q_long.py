@@ -16,8 +16,8 @@ from ..sources import table
 from . import retrieve as R
 from .corpora import DOC_MODULES_SQL, MD_PAGES_SQL, doc_modules, md_pages
 from .ingest import index_corpus
-from .q_code import CALLS_SQL, ENTITIES_SQL
-from .q_graph import _EVENTS_SQL, _graph, _pairs
+from .q_code import CALLS_SQL, ENTITIES_SQL, parsed_parts
+from .q_graph import _EVENTS_SQL, _pairs
 from .q_retrieve import DIM, _EMB, _nearest_sql
 from .registry import register
 from .sqlparts import sql_embedding, sql_embedding_tokens, sql_tokens
@@ -124,5 +124,5 @@ SELECT p.src, p.dst, (e.src IS NOT NULL) AS has_edge, CAST(NULL AS INTEGER) AS l
 FROM pairs p LEFT JOIN edge_rows e ON e.src = p.src AND e.dst = p.dst""")
 def call_lines_strict(spark, sf):
     """E9 as written (Q2): an existing edge reports no lines."""
-    nodes, edges, sites = _graph(spark, sf)
-    return G.call_lines(sites, edges, _pairs(spark, sf), strict=True)
+    code = parsed_parts(spark, sf, materialize=True)
+    return G.call_lines(G.edge_calls(code), G.build_edges(code), _pairs(spark, sf), strict=True)
