@@ -236,7 +236,8 @@ def read_sources(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS):
     ``text`` is the strict UTF-8 decoding with ``\\r\\n`` and ``\\r`` read as
     ``\\n`` (how the reference opens files); undecodable files are quarantined.
     """
-    return decode_sources(read_listed(list_sources(spark, root, extensions), root))
+    # staged: the files of each kind and the undecodable ones are separate results
+    return decode_sources(stage(read_listed(list_sources(spark, root, extensions), root), "files-read"))
 
 
 def decode_sources(raw: DataFrame):
