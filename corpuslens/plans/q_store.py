@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import metadata as M
 from ..operators import questions as Q
 from ..operators import vectors as V
-from ..session import scratch_path, stage
+from ..session import materialize, scratch_path, stage
 from ..sources.store import TableStore
 from .corpora import MD_PAGES_SQL, PY_PARTS_SQL, md_pages, py_parts, with_ctes
 from .ingest import index_corpus, parse_corpus, write_index
@@ -95,7 +95,9 @@ def _all_fields(code, docs):
 def _records(spark, sf):
     """The stored records of both kinds with their ids; nothing is embedded."""
     parsed = parse_corpus(py_parts(spark, sf).select("file_path", "raw_code"), md_pages(spark, sf))
-    first = V.file_first_ids(V.chunk_counts(parsed.code_files, "raw_code", ["file_path"]), parsed.doc_files.select("file_path"))
+    # staged, as the range pass reads them twice
+    counts = V.chunk_counts(parsed.code_files, "raw_code", ["file_path"]).transform(materialize)
+    first = V.file_first_ids(counts, parsed.doc_files.select("file_path"))
     keys = stage(V.number_chunks(first), "keys")
     ids = V.ids_per_file(keys).filter(F.col("kind") == "code").select("file_path", "embedding_ids")
     doc_ids = keys.filter(F.col("kind") == "doc").select("file_path", "embedding_id")
