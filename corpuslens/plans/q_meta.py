@@ -148,9 +148,10 @@ keys AS (SELECT file_path, CAST(chunk_no AS INTEGER) AS chunk_no, kind,
 
 
 def _keys(spark, sf):
-    code, _ = C.parse_code(py_parts(spark, sf))
-    # per-file chunk counts: read by the range pass (twice) and the chunk
-    # expansion, so parse once into the checkpoint folder
+    # the texts of files that parse: counted in two branches (long ones by piece), so
+    # staged, or each branch would parse all files
+    code = C.parse_code(py_parts(spark, sf))[0].select("file_path", "raw_code").transform(materialize)
+    # per-file chunk counts: read by the range pass (twice) and the chunk expansion
     counts = V.chunk_counts(code, "raw_code", ["file_path"]).transform(materialize)
     first = V.file_first_ids(counts, md_pages(spark, sf).select("file_path"))
     return V.number_chunks(first, counts)

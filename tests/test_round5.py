@@ -7,6 +7,9 @@ import pyarrow as pa
 import pytest
 
 from corpuslens.operators import code as C
+from corpuslens.plans import q_graph, q_meta
+
+SMOKE = "/root/testdata/sf0.001"
 
 
 def _batch(texts):
@@ -33,3 +36,22 @@ def test_parsing_ends_with_its_reader():
     read = C._parse_batches([_batch(["x = 1\n"] * (3 * C.PARSED_FILES))])
     assert next(read).num_rows == C.PARSED_FILES
     read.close()  # neither waits nor leaves a process
+
+
+def _parses_of(spark, monkeypatch, build, module, column):
+    """How many parses the plan staged with ``column`` holds, and its columns."""
+    seen = []
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: seen.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or real(df))
+    build()
+    return [(cols, plan.count("MapInArrow")) for cols, plan in seen if column in cols]
+
+
+def test_keys_parse_each_file_once(spark, monkeypatch):
+    staged = _parses_of(spark, monkeypatch, lambda: q_meta.dense_ids(spark, SMOKE), q_meta, "file_path")
+    assert staged == [(["file_path", "raw_code"], 1), (["file_path", "n_chunks"], 0)]
+
+
+def test_graph_queries_stage_no_texts(spark, monkeypatch):
+    staged = _parses_of(spark, monkeypatch, lambda: q_graph.function_file(spark, SMOKE), q_graph, "entities")
+    assert staged == [(["file_path", "entities", "function_calls"], 1)]
