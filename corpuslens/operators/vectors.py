@@ -159,7 +159,7 @@ class HashedEmbedder:
         staged = df.select(*kept, read.alias("_read"))
         out_schema = T.StructType([f for f in staged.schema.fields if f.name not in (out_col, "_read")]
                                   + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
-        return arrow_map(staged, _bucket_counts_fn(self.dim, out_col, list(out_schema.names)), out_schema)
+        return arrow_map(staged, _token_counts_fn(self.dim, out_col, list(out_schema.names)), out_schema)
 
     def embed_text(self, df: DataFrame, text_col: str, out_col: str = "embedding",
                    keys: list[str] | None = None) -> DataFrame:
@@ -167,20 +167,35 @@ class HashedEmbedder:
         return self.embed_tokens(staged, "_tokens", out_col, df.columns if keys is None else keys)
 
 
-def _buckets(tokens: pa.Array, dim: int) -> np.ndarray:
-    """The bucket of each token; a token that repeats is hashed once."""
-    coded = tokens.dictionary_encode()
+def _token_counts_fn(dim: int, out_col: str, names: list[str]):
+    """``_bucket_counts_fn`` of rows of tokens."""
+    count = _bucket_counts_fn(dim, out_col, names)
+
+    def hashed(batches):
+        for rb in batches:
+            for lo in range(0, rb.num_rows, COUNTED_ROWS):
+                some = rb.slice(lo, COUNTED_ROWS)
+                at = some.schema.get_field_index("_read")
+                yield some.set_column(at, "_buckets", _buckets(some.column(at), dim))
+    return lambda batches: count(hashed(batches))
+
+
+def _buckets(tokens: pa.ListArray, dim: int) -> pa.ListArray:
+    """The buckets of each row's tokens; a token that repeats is hashed once."""
+    coded = tokens.flatten().dictionary_encode()
     digests = b"".join(hashlib.md5(t, usedforsecurity=False).digest() for t in coded.dictionary.cast(pa.binary()).to_pylist())
     bucket = np.frombuffer(digests, ">u4")[::4].astype(np.int64) % dim
-    return bucket[coded.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(np.r_[0, tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket[coded.indices.to_numpy(zero_copy_only=False)]),
+                                    mask=pa.array(tokens.is_null().to_numpy(zero_copy_only=False)))
 
 
 def _bucket_counts_fn(dim: int, out_col: str, names: list[str]):
     def counted(rb):
-        b = rb.column(rb.schema.get_field_index("_read"))
+        b = rb.column(rb.schema.get_field_index("_buckets"))
         n = len(b)
         lens = b.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        vals = _buckets(b.flatten(), dim)
+        vals = b.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(n, dtype=np.int64), lens)
         counts = np.bincount(row * dim + vals, minlength=n * dim).reshape(n, dim).astype(np.float64)
         norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))

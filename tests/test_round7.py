@@ -39,7 +39,7 @@ def test_a_token_that_repeats_is_hashed_once(monkeypatch):
     hashed, real = [], hashlib.md5
     monkeypatch.setattr(V.hashlib, "md5", lambda t, **kw: hashed.append(t) or real(t, **kw))
     rows = [["a", "é", "a"], None, [], ["a", "b", "", "a", "b"]] * 100
-    fn = V._bucket_counts_fn(8, "embedding", ["embedding"])
+    fn = V._token_counts_fn(8, "embedding", ["embedding"])
     got = pa.Table.from_batches(fn([pa.record_batch({"_read": pa.array(rows, pa.list_(pa.string()))})]))["embedding"].to_pylist()
     assert sorted(hashed) == sorted(t.encode() for t in ("a", "é", "b", ""))
     for row, vec in zip(rows, got):
