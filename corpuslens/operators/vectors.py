@@ -435,8 +435,9 @@ def _knn_block(V, vids, Q, qidx, k, rank_decimals, worst=None):
             np.matmul(single[1][s:s + step], single[0].T, out=product[:len(Qs)])
             np.less_equal(product[:len(Qs)].reshape(-1), 0, out=below[:n])
             below[n:] = False
-            at = _places(below)
-        if at is not None and len(at) <= MANY * k * len(Qs):
+            if np.count_nonzero(below) <= MANY * k * len(Qs):
+                at = _places(below)
+        if at is not None:
             cols, rows = np.divmod(at, len(V))
             dist = _exact(V, Qs, rows, cols)
             kept = _rank_key(dist, rank_decimals) <= worst[s:s + step][cols]
