@@ -1,9 +1,15 @@
-"""Names that stay off the driver."""
+"""Names that stay off the driver; vectors that are shuffled once, however many blocks of queries there are."""
 
+import math
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from corpuslens.operators import code as C
 from corpuslens.operators import questions as Q
+from corpuslens.operators import vectors as V
 
 
 def test_parsed_names_are_not_broadcast_on_an_estimate(spark):
@@ -16,3 +22,45 @@ def test_parsed_names_are_not_broadcast_on_an_estimate(spark):
     got = {r.query_id: r.prompt for r in found.collect()}
     assert '"function": [\n    "cut",\n    "grow"\n  ],\n  "class": [\n    "Tree"\n  ]' in got[1]
     assert '"function": [],\n  "class": []' in got[2] and got[3] is None
+
+
+def test_a_search_copies_no_vector_for_a_block_of_queries(spark):
+    rng = np.random.default_rng(3)
+    vectors, queries = rng.integers(0, 5, (230, 4)).astype(float), rng.integers(0, 5, (90, 4)).astype(float)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "embedding_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "query_id long, embedding array<double>")
+    found = V.knn(v, q, k=3, max_block_bytes=8 * 512, vector_block_bytes=2048)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan, plan
+    got = {(r.query_id, r["rank"]): (r.embedding_id, r.dist) for r in found.collect()}
+    for i, x in enumerate(queries):
+        dist = ((vectors - x) ** 2).sum(axis=1)
+        want = np.lexsort((np.arange(230), dist))[:3]
+        assert [got[i, n + 1] for n in range(3)] == [(j, dist[j]) for j in want.tolist()]
+
+
+@pytest.mark.parametrize("width", ["<f4", "<f8"])
+@pytest.mark.parametrize("classes", [True, False])
+def test_packed_rows_hold_every_sound_vector_once(width, classes):
+    vecs = [[1.0, 2.0], [0.5, -0.0], None, [math.nan, 0.0], [3.0], [math.inf, 1.0], [None, 1.0]] + [[float(i), 0.25] for i in range(20)]
+    sound = [0, 1, *range(7, 27)]
+    rb = pa.record_batch({"id": pa.array(np.arange(27) + (1 << 60)), "vec": pa.array(vecs, pa.list_(pa.float32() if width == "<f4" else pa.float64())),
+                          "cls": pa.array([f"c{i % 3}" if classes else None for i in range(27)], pa.string())})
+    rows = list(V._packed_fn(2, 6, width, classes)([rb.slice(0, 4), rb.slice(4, 17), rb.slice(21)]))
+    assert [r.num_rows for r in rows] == [1] * 5
+    got = []
+    for r in rows:
+        one = V._unpacked(pa.RecordBatch.from_arrays(r.columns, names=["v_ids", "v_vecs", "v_classes"]), 0, "v", "embedding_id", 2, width)
+        got += one.to_pylist()
+    assert got == [{"embedding_id": i + (1 << 60), "vec": vecs[i], "cls": f"c{i % 3}" if classes else None} for i in sound]
+
+
+def test_classes_meet_their_own(spark):
+    v = spark.createDataFrame([(i, [float(i % 11)], i % 4 if i % 9 else None) for i in range(120)], "embedding_id long, embedding array<float>, c int")
+    q = spark.createDataFrame([(f"q{i}", [float(i % 7)], i % 6 if i % 5 else None) for i in range(40)], "query_id string, embedding array<float>, c int")
+    got: dict = {}
+    for r in V.knn(v, q, k=2, same_class=("c", "c"), max_block_bytes=1024, vector_block_bytes=100).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.embedding_id
+    for i in range(40):
+        near = sorted((i2 for i2 in range(120) if i2 % 9 and i % 5 and i2 % 4 == i % 6), key=lambda j: ((j % 11 - i % 7) ** 2, j))[:2]
+        assert got.get(f"q{i}", {}) == {n + 1: j for n, j in enumerate(near)}
